@@ -1,6 +1,6 @@
 """Registered queries and the SQL each is checked against."""
 
-from tokenloom.catalog import text_queries  # noqa: F401
+from tokenloom.catalog import context_queries, text_queries  # noqa: F401
 from tokenloom.catalog.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

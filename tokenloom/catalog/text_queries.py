@@ -315,30 +315,28 @@ def tidy_sql(text: str) -> str:
     return strip_sql(f"regexp_replace({broken}, '  +', ' ', 'g')")
 
 
-def case_exact(rules) -> list:
-    """Rules of one case-sensitive word as inline flags the checking engine understands."""
-    return [(p.replace("(?-i:", "(?-i:"), r) for p, r in rules]
-
-
-def compare_sql(source: str, lang: str) -> str:
-    english = rules_sql(rules_sql("t", standard.SIMPLIFY), case_exact(standard.SYMBOLS))
+def standard_sql(source: str, telegraphic: bool = False) -> str:
+    """The standard tier as a chain of views; the last is ``standard_5`` with the text in ``t``."""
+    english = rules_sql(rules_sql("t", standard.SIMPLIFY), standard.SYMBOLS)
+    extra = rules_sql("t", standard.TELEGRAPHIC) if telegraphic else "t"
     return f"""standard_1 AS (SELECT *, {space_words_sql('text')} AS n, {strip_sql('text')} AS t FROM {source}),
-standard_2 AS MATERIALIZED (SELECT * REPLACE (CASE {lang} WHEN 'en' THEN {english}
+standard_2 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {english}
   WHEN 'es' THEN {rules_sql('t', standard.SPANISH)} ELSE t END AS t) FROM standard_1),
-standard_3 AS MATERIALIZED (SELECT * REPLACE (CASE {lang} WHEN 'en' THEN {lean_sql('t')} ELSE t END AS t)
+standard_3 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {lean_sql('t')} ELSE t END AS t)
   FROM standard_2),
-standard_4 AS (SELECT * REPLACE (CASE WHEN {lang} = 'en' AND n > {standard.LONG_PROMPT_WORDS}
-  THEN {abbreviate_sql('t')} ELSE t END AS t) FROM standard_3)"""
+standard_4 AS MATERIALIZED (SELECT * REPLACE ({extra} AS t) FROM standard_3),
+standard_5 AS (SELECT * REPLACE (CASE WHEN lang = 'en' AND n > {standard.LONG_PROMPT_WORDS}
+  THEN {abbreviate_sql('t')} ELSE t END AS t) FROM standard_4)"""
 
 
 @query(
     "compress_standard",
     f"""{view_sql('prompts_v')},
-{compare_sql('prompts_v', 'lang')}
+{standard_sql('prompts_v')}
 SELECT doc_id, compressed, o AS original_tokens, c AS compressed_tokens,
   round_even(greatest(0.0::DOUBLE, (1 - c::DOUBLE / o) * 100), 1) AS cr
 FROM (SELECT *, {token_count_sql('text')} AS o, {token_count_sql('compressed')} AS c FROM
-  (SELECT doc_id, text, {tidy_sql('t')} AS compressed FROM standard_4))""",
+  (SELECT doc_id, text, {tidy_sql('t')} AS compressed FROM standard_5))""",
 )
 def compress_standard(spark, sf_dir):
     rows = view(spark, sf_dir, "prompts_v").select("doc_id", "text", "lang")
@@ -348,11 +346,8 @@ def compress_standard(spark, sf_dir):
 @query(
     "compress_standard_telegraphic",
     f"""{view_sql('prompts_v')},
-{compare_sql('prompts_v', 'lang').replace('standard_4 AS (SELECT * REPLACE', 'standard_x AS MATERIALIZED (SELECT * REPLACE (' + rules_sql('t', standard.TELEGRAPHIC) + ' AS t) FROM standard_3), standard_4 AS (SELECT * REPLACE').replace('AS t) FROM standard_3)', 'AS t) FROM standard_3)', 1)}
-SELECT doc_id, {tidy_sql('t')} AS compressed FROM standard_4""".replace(
-        f"THEN {abbreviate_sql('t')} ELSE t END AS t) FROM standard_3)",
-        f"THEN {abbreviate_sql('t')} ELSE t END AS t) FROM standard_x)",
-    ),
+{standard_sql('prompts_v', telegraphic=True)}
+SELECT doc_id, {tidy_sql('t')} AS compressed FROM standard_5""",
 )
 def compress_standard_telegraphic(spark, sf_dir):
     rows = view(spark, sf_dir, "prompts_v")
@@ -501,8 +496,7 @@ def _hits_sql(text: str) -> str:
         "CASE WHEN regexp_matches({0}, {1}) THEN '{2}' END".format(
             text,
             quoted(
-                ("(?i)" if ignore else "")
-                + pattern.replace(",}+", ",}").replace("(?m)", "(?m)")
+                ("(?i)" if ignore else "") + pattern.replace(",}+", ",}")
             ),
             name,
         )

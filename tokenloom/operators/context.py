@@ -677,6 +677,29 @@ def dropped_messages(everything: DataFrame, kept: DataFrame) -> DataFrame:
     return left.join(right, same, "left_anti")
 
 
+def assemble(*parts: DataFrame) -> DataFrame:
+    """Message groups one after the other; ``part`` and ``turn`` give the new order."""
+    rows = None
+    for i, part in enumerate(parts):
+        placed = part.withColumn("part", F.lit(i))
+        rows = placed if rows is None else rows.unionByName(placed)
+    return rows
+
+
+def word_set_ops(conv: DataFrame, queries: DataFrame) -> DataFrame:
+    """Word sets of message and query: shared, either, message only, and the subset test."""
+    wanted = queries.select("conv_id", T.word_set(F.col("query")).alias("_q"))
+    rows = conv.select("conv_id", "turn", T.word_set(F.col("text")).alias("_w"))
+    return rows.join(wanted, "conv_id").select(
+        "conv_id",
+        "turn",
+        F.size(F.array_intersect("_w", "_q")).cast("long").alias("n_shared"),
+        F.size(F.array_union("_w", "_q")).cast("long").alias("n_either"),
+        F.size(F.array_except("_w", "_q")).cast("long").alias("n_message_only"),
+        (F.size(F.array_except("_w", "_q")) == 0).alias("is_subset"),
+    )
+
+
 # --- constraints ------------------------------------------------------------------------------
 
 

@@ -95,12 +95,17 @@ def sensitive_scan(df: DataFrame, text: str = "text") -> DataFrame:
 def sensitive_events(df: DataFrame, text: str = "text") -> DataFrame:
     """One event per text with a hit: its categories in report order and the highest risk."""
     kept = [c for c in df.columns if c != text]
-    rows = df.select(*kept, hits_column(F.col(text)).alias("_hits"))
-    rows = rows.filter(F.size("_hits") > 0)
-    risk = F.when(F.exists("_hits", lambda h: h["risk_level"] == "HIGH"), "HIGH").otherwise("MEDIUM")
-    return rows.select(
-        *kept, F.transform("_hits", lambda h: h["category"]).alias("categories"), risk.alias("risk_level")
-    )
+
+    # An inlined array of one or no event: a filter would be pushed below and scan twice.
+    def event(hits: Column) -> Column:
+        is_high = F.exists(hits, lambda h: h["risk_level"] == "HIGH")
+        made = F.struct(
+            F.transform(hits, lambda h: h["category"]).alias("categories"),
+            F.when(is_high, "HIGH").otherwise("MEDIUM").alias("risk_level"),
+        )
+        return F.when(F.size(hits) > 0, F.array(made))
+
+    return df.select(*kept, F.inline(let(hits_column(F.col(text)), event)))
 
 
 def key_hint(key: Column) -> Column:
