@@ -1,7 +1,8 @@
 """Structured Streaming twins of the batch jobs.
 
 Texts are measured by column functions before the state step; the handlers only walk the few
-rows one micro-batch brings per key, in event order. Keyed state is forgotten after
+rows one micro-batch brings per key, in event order. They refer to plain values only, so
+workers need not have this package installed. Keyed state is forgotten after
 ``forget_after`` of event time without activity.
 """
 
@@ -66,7 +67,7 @@ def stream_tool_cache(
     lateness: str = "10 minutes",
 ) -> DataFrame:
     """Tool cache over a call stream: ``call_id, session_id, ts, n_tools, is_clear``."""
-    span = ttl_s * 1_000_000
+    span, per_tool, billed = ttl_s * 1_000_000, T.TOKENS_PER_TOOL, U.CACHED_SHARE
 
     def handle(state: tuple, rows: pd.DataFrame):
         newest, tools, last = state
@@ -82,8 +83,8 @@ def stream_tool_cache(
             elif tools > 0:
                 hit = call.us - last <= span
                 last = max(last, call.us)
-            size = tools * T.TOKENS_PER_TOOL
-            saved = size - int(size * U.CACHED_SHARE) if hit else 0
+            size = tools * per_tool
+            saved = size - int(size * billed) if hit else 0
             out.append((call.call_id, call.session_id, tools or None, hit, saved))
         columns = ["call_id", "session_id", "tools", "cache_hit", "tokens_saved"]
         made = pd.DataFrame(out, columns=columns)
@@ -120,6 +121,7 @@ def stream_delta_prune(
     conv: DataFrame, forget_after_days: int = 7, lateness: str = "10 minutes"
 ) -> DataFrame:
     """Novelty decisions over a message stream: ``conv_id, turn, role, text, ts``."""
+    min_new = C.MIN_NEW_WORDS
 
     def handle(state: tuple, rows: pd.DataFrame):
         newest, known = state[0], set(state[1])
@@ -129,7 +131,7 @@ def stream_delta_prune(
             keep = (
                 m.role == "system"
                 or not known.issuperset(m.ents)
-                or len(set(m.words) - known) > C.MIN_NEW_WORDS
+                or len(set(m.words) - known) > min_new
             )
             if keep:
                 known.update(m.ents)
