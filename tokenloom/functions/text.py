@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.columns import count_matches, let
 
-# White space, as the inside of a character class and as plain characters.
-SPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# White space, as the inside of a character class and as plain characters. One category test
+# next to the Latin-1 bit set is several times faster than a list of ranges.
+SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 SPACE_CHARS = "".join(
     chr(code)
     for code in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680]
@@ -32,7 +31,7 @@ def unicode_pattern(pattern: str, ignore_case: bool = False) -> str:
 TOKEN_PATTERN = rf"""[^{SPACE},.:;!?()\[\]{{}}"']+"""
 TOKENS_PER_WORD = 1.3
 TOKENS_PER_TOOL = 120
-WORD_PATTERN = r"[\p{L}\p{N}_]+"
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
 ENTITY_PATTERN = (
     r"https?://\S+"
     r"|\b\d+(?:[.,/]\d+)*\s*(?:%|USD|EUR|GBP|k|M|B|ms|px|rem|em)?\b"
@@ -128,7 +127,7 @@ def token_count_tools(n_tools: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased letter, digit and underscore runs in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def word_set(text: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -146,7 +145,7 @@ def sentences(text: Column) -> Column:
 
 def sentence_key(sentence: Column, size: int) -> Column:
     """First ``size`` letters, digits and underscores: equal keys mark near-equal sentences."""
-    return F.substring(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}_]+", ""), 1, size)
+    return F.substring(F.regexp_replace(F.lower(sentence), WORD_BREAK, ""), 1, size)
 
 
 def entities(text: Column) -> Column:

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from tokenloom.functions.columns import let
 from tokenloom.functions.text import unicode_pattern
 
-# --- fixed values: categories in report order; the plain text is a cheap first test ---------------
-# Repeats are cut at the count that decides: more of the same changes nothing.
-_ROW = r"(?:[^\n,]{1,60},){4}"
+# --- fixed values: categories in report order ---------------------------------------------------
+# name, level, lower-case pieces of which one must occur, ignore case, pattern. Repeats are cut
+# at the count that decides, since more of the same changes nothing; a table's first line is
+# read from its last five cells.
+_CELL = r"[^\n,]{1,60}"
 CATEGORIES = [
     (
         "CONNECTION_STRING",
         "HIGH",
-        "://",
+        ["://"],
         True,
         r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|mssql|sqlserver)://\S{10}",
     ),
     (
         "API_KEY",
         "HIGH",
-        "",
+        ["sk-", "akia", "ghp_", "gho_", "xoxb-", "aiza"],
         True,
         r"sk-[A-Za-z0-9]{20}"
         r"|AKIA[0-9A-Z]{16}"
@@ -34,31 +36,43 @@ CATEGORIES = [
     (
         "PRIVATE_KEY",
         "HIGH",
-        "PRIVATE KEY-----",
+        ["private key-----"],
         False,
         r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
     ),
     (
         "JWT",
         "HIGH",
-        ".ey",
+        [".ey"],
         False,
         r"ey[A-Za-z0-9_\-]{10,}\.ey[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10}",
     ),
     (
         "ENV_FILE",
         "HIGH",
-        "=",
+        ["="],
         False,
         r"(?m)(?:(?:^|\n)[A-Z][A-Z0-9_]{2,}=[^\n]{3,}\n){3}",
     ),
-    ("SQL_DUMP", "MEDIUM", ";", True, r"(?:INSERT\s+INTO\s+\w+[^;]{5,};\s*){3}"),
-    ("STACK_TRACE", "MEDIUM", "(", True, r"Traceback \(most recent call last\)"),
-    ("CSV_DATA", "MEDIUM", ",", False, rf"{_ROW}[^\n,]{{1,60}}\n{_ROW}[^\n,]{{1,60}}\n{_ROW}"),
+    ("SQL_DUMP", "MEDIUM", ["insert"], True, r"(?:INSERT\s+INTO\s+\w+[^;]{5,};\s*){3}"),
+    (
+        "STACK_TRACE",
+        "MEDIUM",
+        ["traceback (most recent call last)"],
+        True,
+        r"Traceback \(most recent call last\)",
+    ),
+    (
+        "CSV_DATA",
+        "MEDIUM",
+        [","],
+        False,
+        rf"[^\n,](?:,{_CELL}){{4}}\n(?:{_CELL},){{4}}{_CELL}\n(?:{_CELL},){{4}}",
+    ),
     (
         "LARGE_JSON",
         "MEDIUM",
-        "{",
+        ["{"],
         False,
         r"\[\s*\{[^{}]{20,}+\}(?:\s*,\s*\{[^{}]{20,}+\}){9,}+\s*\]",
     ),
@@ -71,17 +85,19 @@ def hits_column(text: Column) -> Column:
     """Array of (category, risk_level) in report order, HIGH first; each category once."""
 
     def scan(t: Column) -> Column:
-        tests = []
-        for name, level, plain, ignore_case, pattern in CATEGORIES:
-            found = t.rlike(unicode_pattern(pattern, ignore_case))
-            if plain:
-                found = F.contains(t, F.lit(plain)) & found
-            tests.append(
-                F.when(found, F.struct(F.lit(name).alias("category"), F.lit(level).alias("risk_level")))
-            )
+        def test(low: Column) -> Column:
+            tests = []
+            for name, level, pieces, ignore_case, pattern in CATEGORIES:
+                possible = F.lit(False)
+                for piece in pieces:
+                    possible = possible | F.contains(low, F.lit(piece))
+                found = possible & t.rlike(unicode_pattern(pattern, ignore_case))
+                hit = F.struct(F.lit(name).alias("category"), F.lit(level).alias("risk_level"))
+                tests.append(F.when(found, hit))
+            return F.filter(F.array(*tests), lambda h: h.isNotNull())
+
         nothing = F.array().cast("array<struct<category:string,risk_level:string>>")
-        hits = F.filter(F.array(*tests), lambda h: h.isNotNull())
-        return F.when(F.length(t) >= MIN_CHARS, hits).otherwise(nothing)
+        return F.when(F.length(t) >= MIN_CHARS, let(F.lower(t), test)).otherwise(nothing)
 
     return let(text, scan)
 
