@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tokenloom.catalog import QUERIES  # noqa: E402
+from tokenloom.session import build_session  # noqa: E402
 
 HEADLINE = [
     "token_profile",
@@ -60,13 +61,14 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
+    spark = build_session(
+        "bench",
+        f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "16g",
+            "spark.ui.enabled": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

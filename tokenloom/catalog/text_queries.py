@@ -600,23 +600,23 @@ def conversation_contract(spark, sf_dir):
 
 @query(
     "request_text",
-    """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM
-  (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || 'second block' END AS text
-   FROM conversations) GROUP BY conv_id""",
+    """SELECT conv_id, turn, role || chr(10) || text || chr(10) || 'second block' AS text FROM conversations""",
 )
 def request_text(spark, sf_dir):
-    block = F.to_json(
+    """One request body per message: a plain message, then one made of blocks."""
+    blocks = F.to_json(
         F.array(
             F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
             F.struct(F.lit("image").alias("type"), F.lit("ignored").alias("text")),
             F.struct(F.lit("text").alias("type"), F.lit("second block").alias("text")),
         )
     )
-    conv = table(spark, sf_dir, "conversations").withColumn(
-        "content", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(block)
-    )
-    # One request body holds one conversation.
-    bodies = conv.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
+    bodies = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.array(
+            F.struct(F.lit("system").alias("role"), F.col("role").alias("content")),
+            F.struct(F.col("role"), blocks.alias("content")),
+        ).alias("messages"),
     )
-    return readers.request_text(bodies).select("conv_id", "text")
+    return readers.request_text(bodies).select("conv_id", "turn", "text")

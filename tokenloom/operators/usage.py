@@ -15,6 +15,7 @@ from tokenloom.plans.groups import (
     numbered,
     ordered_blocks,
     split_hot,
+    store_by,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -325,18 +326,21 @@ def sliding_limit(
         F.explode(_accepted(F.col("_a"), begin(empty), limit, span)["ids"]).alias("event_id")
     )
     if long_ones is not None:
-        numbered_rows = cut_lineage(
-            numbered(long_ones, ["session_id"], ["us", "event_id"], "_nth", None, hot).withColumn(
-                "_step", F.floor((F.col("_nth") - 1) / hot)
-            )
+        order = ["us", "event_id"]
+        placed = numbered(long_ones, ["session_id"], order, "_nth", None, hot)
+        # One directory per step: each round reads its own step only.
+        steps = store_by(
+            placed.withColumn("_step", F.floor((F.col("_nth") - 1) / hot).cast("int")), "_step"
         )
-        steps = numbered_rows.agg(F.max("_step")).first()[0] + 1
         state = None
-        for i in range(steps):
-            part = numbered_rows.filter(F.col("_step") == i).groupBy("session_id").agg(
+        for i in range(steps.agg(F.max("_step")).first()[0] + 1):
+            part = steps.filter(F.col("_step") == i).groupBy("session_id").agg(
                 F.array_sort(F.collect_list(attempt)).alias("_a")
             )
-            part = part.withColumn("_recent", empty) if state is None else part.join(state, "session_id")
+            if state is None:
+                part = part.withColumn("_recent", empty)
+            else:
+                part = part.join(state, "session_id")
             done = cut_lineage(
                 part.select(
                     "session_id",

@@ -9,6 +9,7 @@ from one summary row per key and range block.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,17 +25,28 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="tokenloom-")
+    folder = tempfile.mkdtemp(prefix="tokenloom-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` reliably, so that later jobs neither recompute it nor lose it."""
     context = df.sparkSession.sparkContext
+    folder = checkpoint_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+        context.setCheckpointDir(folder)
+    # Eager and reliable: the data outlives the executor that made it.
     return df.checkpoint(eager=True)
 
 
+def store_by(df: DataFrame, column: str) -> DataFrame:
+    """Write ``df`` to the shared folder, one directory per value of ``column``, and read it."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") > limit).drop("_n")
