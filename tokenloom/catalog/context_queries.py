@@ -233,7 +233,21 @@ def phrase_table_raw(spark, sf_dir):
     return C.phrase_table(table(spark, sf_dir, "conversations"))
 
 
-@query("apply_phrases")
+# Words are wrapped in marks so that whole-word matches become literal ones.
+@query(
+    "apply_phrases",
+    rf"""{CHAT}, {_phrase_sql('chat_v')},
+ordered AS (SELECT conv_id, symbol, len(string_split(phrase, ' ')) - 1 AS gain,
+    chr(2) || replace(phrase, ' ', chr(3) || ' ' || chr(2)) || chr(3) AS marked,
+    row_number() OVER (PARTITION BY conv_id ORDER BY len(phrase) DESC, rank) AS step FROM phrases),
+walk AS (SELECT conv_id, turn, role, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(2) || '\1' || chr(3), 'g') AS text,
+    CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS step FROM chat_v
+  UNION ALL SELECT w.conv_id, w.turn, w.role, regexp_replace(w.text, o.marked, o.symbol, 'gi'),
+    w.saved + len(regexp_extract_all(w.text, '(?i)' || o.marked)) * o.gain, o.step
+  FROM walk w JOIN ordered o ON o.conv_id = w.conv_id AND o.step = w.step + 1)
+SELECT conv_id, turn, role, replace(replace(max_by(text, step), chr(2), ''), chr(3), '') AS text, max_by(saved, step) AS saved
+FROM walk GROUP BY conv_id, turn, role""".replace("\\\\", "\\"),
+)
 def apply_phrases(spark, sf_dir):
     conv = chat(spark, sf_dir)
     return C.apply_phrases(conv, C.phrase_table(conv))

