@@ -12,6 +12,7 @@ from tokenloom.catalog.base import (
     key_sql,
     query,
     sentences_sql,
+    strip_sql,
     table,
     token_count_sql,
     token_words_sql,
@@ -20,7 +21,7 @@ from tokenloom.catalog.base import (
     view_sql,
     words_sql,
 )
-from tokenloom.catalog.text_queries import intent_sql
+from tokenloom.catalog.text_queries import aggressive_sql, intent_sql
 from tokenloom.functions import text as T
 from tokenloom.operators import context as C
 from tokenloom.operators import optimize as O
@@ -116,9 +117,9 @@ def word_sets(spark, sf_dir):
     return C.word_set_ops(conv, R.last_user_queries(conv))
 
 
-BM25_SQL = f"""{QUERIES_SQL},
-sents AS (SELECT conv_id, turn, CAST(unnest(range(len(s))) AS INTEGER) AS sent_no, unnest(s) AS sent
-  FROM (SELECT conv_id, turn, {sentences_sql('text')} AS s FROM chat_v)),
+def _bm25_sql(source: str) -> str:
+    return f"""sents AS (SELECT conv_id, turn, CAST(unnest(range(len(s))) AS INTEGER) AS sent_no, unnest(s) AS sent
+  FROM (SELECT conv_id, turn, {sentences_sql('text')} AS s FROM {source})),
 toks AS (SELECT conv_id, turn, sent_no, {words_sql('sent')} AS w FROM sents),
 stats AS (SELECT conv_id, turn, count(*) AS n, greatest(sum(len(w))::DOUBLE / count(*), 1.0) AS mean
   FROM toks GROUP BY conv_id, turn),
@@ -135,7 +136,28 @@ scored AS (SELECT conv_id, turn, sent_no, sent, coalesce(score, 0.0) AS score
   FROM sents LEFT JOIN hits USING (conv_id, turn, sent_no))"""
 
 
-@query("bm25", f"{CHAT}, {BM25_SQL} SELECT conv_id, turn, sent_no, round(score, 6) AS score FROM scored")
+def _filter_sql(source: str, ratios: str) -> str:
+    """``filtered_v``: ``source`` with the sentences kept at the ratio of each message."""
+    return f"""{_bm25_sql(source)},
+flags AS (SELECT *, sent_no = 0 OR {count_sql('sent', T.PERMANENT_PATTERN)} > 0 AS pinned FROM scored),
+sized AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (pinned) AS p FROM flags GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pinned ORDER BY round(score, 9) DESC, sent_no) AS nth
+  FROM flags),
+held AS (SELECT conv_id, turn, string_agg(sent, ' ' ORDER BY sent_no) AS text FROM ranked
+  JOIN sized USING (conv_id, turn) JOIN {ratios} USING (conv_id, turn)
+  WHERE pinned OR nth <= greatest(p, round_even(n * keep_ratio, 0)) - p GROUP BY conv_id, turn),
+filtered_v AS (SELECT c.conv_id, c.turn, c.role,
+    CASE WHEN keep_ratio >= 1 OR coalesce(n, 0) <= 1 THEN c.text ELSE held.text END AS text
+  FROM {source} c JOIN {ratios} r ON c.conv_id = r.conv_id AND c.turn = r.turn
+    LEFT JOIN sized s ON c.conv_id = s.conv_id AND c.turn = s.turn
+    LEFT JOIN held ON c.conv_id = held.conv_id AND c.turn = held.turn)"""
+
+
+@query(
+    "bm25",
+    f"""{CHAT}, {QUERIES_SQL}, {_bm25_sql('chat_v')}
+SELECT conv_id, turn, sent_no, round(score, 6) AS score FROM scored""",
+)
 def bm25(spark, sf_dir):
     conv = chat(spark, sf_dir)
     rows = R.bm25(conv, R.last_user_queries(conv))
@@ -144,19 +166,8 @@ def bm25(spark, sf_dir):
 
 @query(
     "sentence_filter",
-    f"""{CHAT}, {BM25_SQL},
-ratios AS ({_ratio_sql('lossless')}),
-flags AS (SELECT *, sent_no = 0 OR {count_sql('sent', T.PERMANENT_PATTERN)} > 0 AS pinned FROM scored),
-sized AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (pinned) AS p FROM flags GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pinned ORDER BY round(score, 9) DESC, sent_no) AS nth
-  FROM flags),
-kept AS (SELECT conv_id, turn, string_agg(sent, ' ' ORDER BY sent_no) AS text FROM ranked
-  JOIN sized USING (conv_id, turn) JOIN ratios USING (conv_id, turn)
-  WHERE pinned OR nth <= greatest(p, round_even(n * keep_ratio, 0)) - p GROUP BY conv_id, turn)
-SELECT c.conv_id, c.turn, c.role, CASE WHEN keep_ratio >= 1 OR coalesce(n, 0) <= 1 THEN c.text ELSE kept.text END AS text
-FROM chat_v c JOIN ratios r ON c.conv_id = r.conv_id AND c.turn = r.turn
-  LEFT JOIN sized s ON c.conv_id = s.conv_id AND c.turn = s.turn
-  LEFT JOIN kept ON c.conv_id = kept.conv_id AND c.turn = kept.turn""",
+    f"""{CHAT}, {QUERIES_SQL}, ratios AS ({_ratio_sql('lossless')}), {_filter_sql('chat_v', 'ratios')}
+SELECT * FROM filtered_v""",
 )
 def sentence_filter(spark, sf_dir):
     conv = chat(spark, sf_dir)
@@ -168,41 +179,44 @@ def sentence_filter(spark, sf_dir):
 
 # --- entity and phrase tables -----------------------------------------------------------------
 
-REGISTER_SQL = f"""register AS (SELECT conv_id, rank, entity, '§E' || rank AS symbol, n_messages FROM
+def _register_sql(source: str) -> str:
+    return f"""register AS (SELECT conv_id, rank, entity, '§E' || rank AS symbol, n_messages FROM
   (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n_messages DESC, entity) AS rank FROM
     (SELECT conv_id, entity, count(*) AS n_messages FROM
-      (SELECT conv_id, unnest({entities_sql('text')}) AS entity FROM chat_v)
+      (SELECT conv_id, unnest({entities_sql('text')}) AS entity FROM {source})
      GROUP BY conv_id, entity HAVING count(*) >= 2)))"""
 
 
+REGISTER_SQL = _register_sql("chat_v")
+REGISTER_BLOCK_SQL = """register_blocks AS (SELECT conv_id,
+  'ENTITIES: {' || string_agg(symbol || '=' || entity, ', ' ORDER BY rank) || '}' AS entity_register
+  FROM register GROUP BY conv_id)"""
+
+
+def _coded_sql(source: str) -> str:
+    """``coded_v``: messages of ``source`` with registered entities replaced."""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY len(entity) DESC, rank) AS step FROM register),
+hidden AS (SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS step FROM {source}
+  UNION ALL SELECT w.conv_id, w.turn, w.role, replace(w.text, o.entity, chr((57600 + o.rank)::INT)), o.step
+  FROM hidden w JOIN ordered o ON w.conv_id = o.conv_id AND o.step = w.step + 1),
+marked AS (SELECT conv_id, turn, role, max_by(text, step) AS text FROM hidden GROUP BY ALL),
+shown AS (SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS step FROM marked
+  UNION ALL SELECT s.conv_id, s.turn, s.role, replace(s.text, chr((57600 + o.rank)::INT), o.symbol), o.step
+  FROM shown s JOIN ordered o ON s.conv_id = o.conv_id AND o.step = s.step + 1),
+coded_v AS (SELECT conv_id, turn, role, max_by(text, step) AS text FROM shown GROUP BY ALL)"""
+
+
 @query("entity_register", f"{CHAT}, {REGISTER_SQL} SELECT * FROM register")
 def entity_register(spark, sf_dir):
     return C.entity_register(chat(spark, sf_dir))
 
 
-@query(
-    "register_block",
-    f"""{CHAT}, {REGISTER_SQL}
-SELECT conv_id, 'ENTITIES: {{' || string_agg(symbol || '=' || entity, ', ' ORDER BY rank) || '}}' AS entity_register
-FROM register GROUP BY conv_id""",
-)
+@query("register_block", f"{CHAT}, {REGISTER_SQL}, {REGISTER_BLOCK_SQL} SELECT * FROM register_blocks")
 def register_block(spark, sf_dir):
     return C.register_block(C.entity_register(chat(spark, sf_dir)))
 
 
-@query(
-    "apply_register",
-    f"""{CHAT}, {REGISTER_SQL},
-ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY len(entity) DESC, rank) AS step FROM register),
-walk AS (SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS step FROM chat_v
-  UNION ALL SELECT w.conv_id, w.turn, w.role, replace(w.text, o.entity, chr((57600 + o.rank)::INT)), o.step
-  FROM walk w JOIN ordered o ON w.conv_id = o.conv_id AND o.step = w.step + 1),
-coded AS (SELECT conv_id, turn, role, max_by(text, step) AS text FROM walk GROUP BY ALL),
-shown AS (SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS step FROM coded
-  UNION ALL SELECT s.conv_id, s.turn, s.role, replace(s.text, chr((57600 + o.rank)::INT), o.symbol), o.step
-  FROM shown s JOIN ordered o ON s.conv_id = o.conv_id AND o.step = s.step + 1)
-SELECT conv_id, turn, role, max_by(text, step) AS text FROM shown GROUP BY ALL""",
-)
+@query("apply_register", f"{CHAT}, {REGISTER_SQL}, {_coded_sql('chat_v')} SELECT * FROM coded_v")
 def apply_register(spark, sf_dir):
     conv = chat(spark, sf_dir)
     return C.apply_register(conv, C.entity_register(conv))
@@ -233,21 +247,24 @@ def phrase_table_raw(spark, sf_dir):
     return C.phrase_table(table(spark, sf_dir, "conversations"))
 
 
-# Words are wrapped in marks so that whole-word matches become literal ones.
-@query(
-    "apply_phrases",
-    rf"""{CHAT}, {_phrase_sql('chat_v')},
-ordered AS (SELECT conv_id, symbol, len(string_split(phrase, ' ')) - 1 AS gain,
+def _phrased_sql(source: str) -> str:
+    """``phrased_v``: messages of ``source`` with their phrases coded, and the words saved.
+
+    Words are wrapped in marks so that whole-word matches become literal ones.
+    """
+    return rf"""phrase_steps AS (SELECT conv_id, symbol, len(string_split(phrase, ' ')) - 1 AS gain,
     chr(2) || replace(phrase, ' ', chr(3) || ' ' || chr(2)) || chr(3) AS marked,
     row_number() OVER (PARTITION BY conv_id ORDER BY len(phrase) DESC, rank) AS step FROM phrases),
-walk AS (SELECT conv_id, turn, role, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(2) || '\1' || chr(3), 'g') AS text,
-    CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS step FROM chat_v
+phrase_walk AS (SELECT conv_id, turn, role, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(2) || '\1' || chr(3), 'g') AS text,
+    CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS step FROM {source}
   UNION ALL SELECT w.conv_id, w.turn, w.role, regexp_replace(w.text, o.marked, o.symbol, 'gi'),
     w.saved + len(regexp_extract_all(w.text, '(?i)' || o.marked)) * o.gain, o.step
-  FROM walk w JOIN ordered o ON o.conv_id = w.conv_id AND o.step = w.step + 1)
-SELECT conv_id, turn, role, replace(replace(max_by(text, step), chr(2), ''), chr(3), '') AS text, max_by(saved, step) AS saved
-FROM walk GROUP BY conv_id, turn, role""".replace("\\\\", "\\"),
-)
+  FROM phrase_walk w JOIN phrase_steps o ON o.conv_id = w.conv_id AND o.step = w.step + 1),
+phrased_v AS (SELECT conv_id, turn, role, replace(replace(max_by(text, step), chr(2), ''), chr(3), '') AS text,
+    max_by(saved, step) AS saved FROM phrase_walk GROUP BY conv_id, turn, role)"""
+
+
+@query("apply_phrases", f"{CHAT}, {_phrase_sql('chat_v')}, {_phrased_sql('chat_v')} SELECT * FROM phrased_v")
 def apply_phrases(spark, sf_dir):
     conv = chat(spark, sf_dir)
     return C.apply_phrases(conv, C.phrase_table(conv))
@@ -277,36 +294,40 @@ def delta_prune_long(spark, sf_dir):
     return C.mark_novel(chat(spark, sf_dir), limit=1).select("conv_id", "turn", "kept")
 
 
-def _budget_sql(score: str) -> str:
-    return f"""{QUERIES_SQL},
-scored AS (SELECT conv_id, turn, role, text, {token_count_sql('text')} AS tokens, {score} AS score,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM chat_v JOIN queries_v USING (conv_id)),
-room AS (SELECT conv_id, greatest(0, {SMALL_BUDGET} - CAST(sum(tokens) FILTER (back <= {SMALL_KEEP}) AS BIGINT)) AS room
-  FROM scored GROUP BY conv_id),
-head AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS i FROM scored WHERE back > {SMALL_KEEP}),
-walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, room, CAST(NULL AS BIGINT) AS turn, false AS taken FROM room
+def _budget_sql(score: str, source: str, budget: int, keep: int) -> str:
+    """``pruned_v``: messages of ``source`` within the budget."""
+    return f"""weighed AS (SELECT conv_id, turn, role, text, {token_count_sql('text')} AS tokens, {score} AS score,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {source} JOIN queries_v USING (conv_id)),
+room AS (SELECT conv_id, greatest(0, {budget} - CAST(sum(tokens) FILTER (back <= {keep}) AS BIGINT)) AS room
+  FROM weighed GROUP BY conv_id),
+head AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS i FROM weighed WHERE back > {keep}),
+fill AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, room, CAST(NULL AS BIGINT) AS turn, false AS taken FROM room
   UNION ALL SELECT h.conv_id, h.i, CASE WHEN h.tokens <= w.room THEN w.room - h.tokens ELSE w.room END, h.turn, h.tokens <= w.room
-  FROM walk w JOIN head h ON h.conv_id = w.conv_id AND h.i = w.i + 1)
-SELECT conv_id, turn, role, text FROM scored WHERE back <= {SMALL_KEEP}
-UNION ALL SELECT conv_id, turn, role, text FROM head JOIN walk USING (conv_id, turn) WHERE taken"""
+  FROM fill w JOIN head h ON h.conv_id = w.conv_id AND h.i = w.i + 1),
+pruned_v AS (SELECT conv_id, turn, role, text FROM weighed WHERE back <= {keep}
+  UNION ALL SELECT conv_id, turn, role, text FROM head JOIN fill USING (conv_id, turn) WHERE taken)"""
 
 
 _BLEND = f"""CASE WHEN query = '' THEN {density_sql('text')} ELSE 0.5::DOUBLE * {_jaccard_sql(
     _set_sql('text', T.JACCARD_STOP), _set_sql('query', T.JACCARD_STOP))} + 0.5::DOUBLE * {density_sql('text')} END"""
 
 
-@query("budget_prune", f"{CHAT}, {_budget_sql(_BLEND)}")
+def _pruned_query(score: str) -> str:
+    return f"{CHAT}, {QUERIES_SQL}, {_budget_sql(score, 'chat_v', SMALL_BUDGET, SMALL_KEEP)} SELECT * FROM pruned_v"
+
+
+@query("budget_prune", _pruned_query(_BLEND))
 def budget_prune(spark, sf_dir):
     conv = chat(spark, sf_dir)
     return C.budget_prune(conv, R.last_user_queries(conv), SMALL_BUDGET, SMALL_KEEP)
 
 
-@query("budget_prune_by_facts", f"{CHAT}, {_budget_sql(density_sql('text'))}")
+@query("budget_prune_by_facts", _pruned_query(density_sql("text")))
 def budget_prune_by_facts(spark, sf_dir):
     return C.budget_prune(chat(spark, sf_dir), None, SMALL_BUDGET, SMALL_KEEP)
 
 
-@query("budget_prune_per_conversation", f"{CHAT}, {_budget_sql(_BLEND)}")
+@query("budget_prune_per_conversation", _pruned_query(_BLEND))
 def budget_prune_per_conversation(spark, sf_dir):
     """Budgets as a table: the form whose budget may grow with the conversation."""
     conv = chat(spark, sf_dir)
@@ -317,35 +338,41 @@ def budget_prune_per_conversation(spark, sf_dir):
 
 # --- summaries and constraints ------------------------------------------------------------------
 
-SENTS_SQL = f"""sents AS (SELECT conv_id, turn, role, unnest(range(len(s))) AS sent_no, unnest(s) AS sent
-  FROM (SELECT conv_id, turn, role, {sentences_sql('text')} AS s FROM chat_v))"""
+def _said_sql(source: str, name: str = "said", text: str = "text") -> str:
+    return f"""{name} AS (SELECT conv_id, turn, role, unnest(range(len(s))) AS sent_no, unnest(s) AS sent
+  FROM (SELECT conv_id, turn, role, {sentences_sql(text)} AS s FROM {source}))"""
 
 
-def _summary_sql(budget: int) -> str:
-    return f"""{CHAT}, {SENTS_SQL},
-scored AS (SELECT *, CASE WHEN role = 'user' THEN {intent_sql('sent')} ELSE {density_sql('sent')} * 4.0::DOUBLE END AS score,
-    {key_sql('sent', C.SUMMARY_KEY_CHARS)} AS key, {token_count_sql('sent')} AS tokens FROM sents WHERE role <> 'system'),
+def _summary_sql(source: str, budget: int) -> str:
+    """``summaries_v``: extractive summaries of ``source``."""
+    return f"""{_said_sql(source)},
+rated AS (SELECT *, CASE WHEN role = 'user' THEN {intent_sql('sent')} ELSE {density_sql('sent')} * 4.0::DOUBLE END AS score,
+    {key_sql('sent', C.SUMMARY_KEY_CHARS)} AS key, {token_count_sql('sent')} AS tokens FROM said WHERE role <> 'system'),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY score DESC, turn, sent_no) AS nth
-  FROM scored WHERE score > 0) WHERE nth = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, sent_no) AS i FROM best),
-walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({budget} AS BIGINT) AS room, '' AS sent, false AS taken
-    FROM (SELECT DISTINCT conv_id FROM chat_v)
+  FROM rated WHERE score > 0) WHERE nth = 1),
+line AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, sent_no) AS i FROM best),
+pick AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({budget} AS BIGINT) AS room, '' AS sent, false AS taken
+    FROM (SELECT DISTINCT conv_id FROM {source})
   UNION ALL SELECT r.conv_id, r.i, CASE WHEN r.tokens <= w.room THEN w.room - r.tokens ELSE w.room END, r.sent, r.tokens <= w.room
-  FROM walk w JOIN ranked r ON r.conv_id = w.conv_id AND r.i = w.i + 1),
-picked AS (SELECT conv_id, string_agg(sent, ' ' ORDER BY i) AS s FROM walk WHERE taken GROUP BY conv_id),
-firsts AS (SELECT conv_id, min_by(sent, (turn, sent_no)) AS s FROM sents
-  WHERE role = 'user' AND (conv_id, turn) IN (SELECT (conv_id, min(turn)) FROM chat_v WHERE role = 'user' GROUP BY conv_id)
-  GROUP BY conv_id)
-SELECT c.conv_id, coalesce(p.s, f.s, '') AS summary FROM (SELECT DISTINCT conv_id FROM chat_v) c
-  LEFT JOIN picked p ON p.conv_id = c.conv_id LEFT JOIN firsts f ON f.conv_id = c.conv_id"""
+  FROM pick w JOIN line r ON r.conv_id = w.conv_id AND r.i = w.i + 1),
+picked AS (SELECT conv_id, string_agg(sent, ' ' ORDER BY i) AS s FROM pick WHERE taken GROUP BY conv_id),
+firsts AS (SELECT conv_id, min_by(sent, (turn, sent_no)) AS s FROM said
+  WHERE role = 'user' AND (conv_id, turn) IN (SELECT (conv_id, min(turn)) FROM {source} WHERE role = 'user' GROUP BY conv_id)
+  GROUP BY conv_id),
+summaries_v AS (SELECT c.conv_id, coalesce(p.s, f.s, '') AS summary FROM (SELECT DISTINCT conv_id FROM {source}) c
+  LEFT JOIN picked p ON p.conv_id = c.conv_id LEFT JOIN firsts f ON f.conv_id = c.conv_id)"""
+
 
+def _summary_query(budget: int) -> str:
+    return f"{CHAT}, {_summary_sql('chat_v', budget)} SELECT * FROM summaries_v"
 
-@query("summary", _summary_sql(C.SUMMARY_BUDGET))
+
+@query("summary", _summary_query(C.SUMMARY_BUDGET))
 def summary(spark, sf_dir):
     return C.summarize(chat(spark, sf_dir))
 
 
-@query("summary_small", _summary_sql(30))
+@query("summary_small", _summary_query(30))
 def summary_small(spark, sf_dir):
     return C.summarize(chat(spark, sf_dir), budget=30)
 
@@ -358,13 +385,14 @@ def summary_rolling(spark, sf_dir):
     return C.summarize(conv.filter("turn >= 4"), old, budget=60)
 
 
-PINS_SQL = f"""pins AS (SELECT conv_id, turn, CAST(sent_no AS INTEGER) AS sent_no, sent FROM
+def _pins_sql(said: str) -> str:
+    return f"""pins AS (SELECT conv_id, turn, CAST(sent_no AS INTEGER) AS sent_no, sent FROM
   (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, sent_no) AS nth FROM
-    (SELECT *, {key_sql('sent', C.PIN_KEY_CHARS)} AS key FROM sents WHERE role IN ('user', 'system')
+    (SELECT *, {key_sql('sent', C.PIN_KEY_CHARS)} AS key FROM {said} WHERE role IN ('user', 'system')
       AND {count_sql('sent', T.PERMANENT_PATTERN)} > 0)) WHERE nth = 1)"""
 
 
-@query("pins", f"{CHAT}, {SENTS_SQL}, {PINS_SQL} SELECT * FROM pins")
+@query("pins", f"{CHAT}, {_said_sql('chat_v')}, {_pins_sql('said')} SELECT * FROM pins")
 def pins(spark, sf_dir):
     return C.pinned_sentences(chat(spark, sf_dir))
 
@@ -394,25 +422,105 @@ def assemble(spark, sf_dir):
 # --- full job ---------------------------------------------------------------------------------
 
 
+OPTIMIZE = {"budget": 400, "keep_last": 6, "summarize_at": 6, "prefix": 1, "tail": 2}
+
+
 def _optimised(spark, sf_dir, **options):
     conv = chat(spark, sf_dir)
-    settings = {"budget": 400, "summarize_at": 6, "prefix": 1, "tail": 2, **options}
-    return O.optimize_context(conv, R.last_user_queries(conv), **settings)
+    return O.optimize_context(conv, R.last_user_queries(conv), **{**OPTIMIZE, **options})
+
+
+def _report(rows):
+    """The result without the message array: the prompt shows the same messages."""
+    return rows.withColumn("n_messages", F.size("messages").cast("long")).drop("messages")
 
 
-@query("optimize")
+def _optimize_sql(mode: str = "lossless", use_kv: bool = True, **options) -> str:
+    """The full job step by step over the same views as its parts."""
+    o = {**OPTIMIZE, **options}
+    prefix, tail = o["prefix"], o["tail"]
+    base = " ".join(f"WHEN '{r}' THEN {v}::DOUBLE" for r, v in C.ROLE_KEEP.items())
+    if use_kv:
+        shape = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS total FROM pruned_v),
+cut AS (SELECT *, CASE WHEN total <= {prefix + tail} OR i <= {prefix} THEN 'prefix' WHEN i > total - {tail} THEN 'tail'
+    ELSE 'middle' END AS segment FROM placed),
+aged AS (SELECT *, count(*) FILTER (segment = 'middle') OVER (PARTITION BY conv_id) AS mid FROM cut),
+shares AS (SELECT conv_id, turn, segment, CASE WHEN segment = 'middle' AND role <> 'system' THEN greatest({C.MIN_KEEP}::DOUBLE,
+    CASE role {base} ELSE 0.75::DOUBLE END * exp(-{C.DECAY[mode]}::DOUBLE * (mid - i + {prefix})::DOUBLE / greatest(mid - 1, 1)))
+    ELSE 1.0::DOUBLE END AS keep_ratio FROM aged),
+{_filter_sql('pruned_v', 'shares')},
+shaped_v AS (SELECT f.conv_id, f.turn, f.role, segment, p.text AS before, f.text FROM filtered_v f
+  JOIN shares USING (conv_id, turn) JOIN pruned_v p ON p.conv_id = f.conv_id AND p.turn = f.turn)"""
+        pins = f"""{_said_sql('shaped_v', 'before_said', 'before')}, {_pins_sql('before_said')},
+pin_texts AS (SELECT conv_id, '[CONSTRAINTS]' || chr(10) || string_agg(sent, ' ' ORDER BY turn, sent_no) AS block FROM pins GROUP BY conv_id),
+gains AS (SELECT conv_id, sum({token_count_sql('before')} - {token_count_sql('text')}) FILTER (segment = 'middle') AS saved
+  FROM shaped_v GROUP BY conv_id),
+pin_blocks AS (SELECT conv_id, block AS kv_pinned FROM pin_texts JOIN gains USING (conv_id) WHERE saved > {token_count_sql('block')})"""
+    else:
+        shape = "shaped_v AS (SELECT *, 'middle' AS segment, text AS before FROM pruned_v)"
+        pins = "pin_blocks AS (SELECT conv_id, '' AS kv_pinned FROM queries_v WHERE false)"
+    short = aggressive_sql if mode == "aggressive" else str
+    return f"""{CHAT}, {QUERIES_SQL}, {NOVELTY_SQL},
+kept_v AS (SELECT m.conv_id, m.turn, m.role, m.text FROM msgs m JOIN walk w ON w.conv_id = m.conv_id AND w.i = m.i WHERE w.kept),
+{_register_sql('kept_v')}, {REGISTER_BLOCK_SQL}, {_coded_sql('kept_v')},
+{_budget_sql(_BLEND, 'coded_v', o['budget'], o['keep_last'])},
+{shape},
+facts AS (SELECT conv_id, query, n_messages, delta_dropped, {tokens_sql(f"words + {token_words_sql('query')}")} AS original_tokens
+  FROM queries_v JOIN (SELECT conv_id, count(*) AS n_messages, CAST(sum({token_words_sql('text')}) AS BIGINT) AS words
+    FROM chat_v GROUP BY conv_id) USING (conv_id)
+  JOIN (SELECT conv_id, count(*) FILTER (NOT kept) AS delta_dropped FROM walk GROUP BY conv_id) USING (conv_id)),
+due AS (SELECT conv_id FROM facts WHERE n_messages >= {o['summarize_at']} OR original_tokens > {o['budget']}),
+lost AS (SELECT * FROM coded_v a WHERE NOT EXISTS (SELECT 1 FROM shaped_v s
+  WHERE s.conv_id = a.conv_id AND s.role = a.role AND s.text = a.text)),
+retold_v AS (SELECT * FROM lost WHERE conv_id IN (FROM due) UNION ALL
+  SELECT * FROM coded_v WHERE conv_id IN (FROM due) AND conv_id NOT IN (SELECT conv_id FROM lost)),
+{_summary_sql('retold_v', C.SUMMARY_BUDGET)},
+{pins},
+middle_v AS (SELECT * FROM shaped_v WHERE segment = 'middle'),
+{_phrase_sql('middle_v')}, {_phrased_sql('middle_v')},
+tables AS (SELECT conv_id, 'SYMBOLS: {{' || string_agg(symbol || '=' || phrase, ', ' ORDER BY rank) || '}}' AS symbols,
+    CAST(sum({token_words_sql("symbol || '=' || phrase")}) AS BIGINT) AS words FROM phrases GROUP BY conv_id),
+coding AS (SELECT conv_id, symbols, saved FROM tables JOIN (SELECT conv_id, CAST(sum(saved) AS BIGINT) AS saved FROM phrased_v GROUP BY conv_id)
+  USING (conv_id) WHERE saved > {tokens_sql('words')}),
+said_v AS (SELECT s.conv_id, s.turn, s.role, {short('coalesce(p.text, s.text)')} AS content FROM shaped_v s
+  LEFT JOIN (SELECT phrased_v.* FROM phrased_v JOIN coding USING (conv_id)) p ON p.conv_id = s.conv_id AND p.turn = s.turn),
+talks AS (SELECT conv_id, count(*) AS n, string_agg(upper(role) || ': ' || content, chr(10) ORDER BY turn) AS talk,
+    CAST(sum({token_words_sql('content')}) AS BIGINT) AS words FROM said_v GROUP BY conv_id),
+parts AS (SELECT conv_id, {short('query')} AS user, n_messages AS n_all, delta_dropped, original_tokens, coalesce(summary, '') AS new_summary,
+    coalesce(entity_register, '') AS entity_register, coalesce(kv_pinned, '') AS kv_pinned, coalesce(symbols, '') AS symbols,
+    coalesce(saved, 0) AS huffman_tokens_saved, coalesce(n, 0) AS n_messages, talk, coalesce(words, 0) AS words
+  FROM facts LEFT JOIN summaries_v USING (conv_id) LEFT JOIN register_blocks USING (conv_id) LEFT JOIN pin_blocks USING (conv_id)
+  LEFT JOIN coding USING (conv_id) LEFT JOIN talks USING (conv_id)),
+systems AS (SELECT *, {strip_sql(f"concat_ws(chr(10), nullif(kv_pinned, ''), nullif(new_summary, ''), nullif(entity_register, ''), nullif(symbols, ''))")} AS system,
+    {tokens_sql(f"words + {token_words_sql('user')}")} AS optimized_tokens FROM parts)
+SELECT conv_id, concat_ws(chr(10) || chr(10), CASE WHEN system <> '' THEN '[CONTEXT]' || chr(10) || system END,
+    '[CONVERSATION]' || chr(10) || talk, '[QUERY]' || chr(10) || user) AS optimized_prompt, system, user, new_summary,
+  greatest(0, original_tokens - optimized_tokens) AS tokens_saved_estimate, original_tokens, optimized_tokens,
+  n_all - n_messages AS messages_pruned, delta_dropped, huffman_tokens_saved, entity_register, kv_pinned, n_messages FROM systems"""
+
+
+@query("optimize", _optimize_sql())
 def optimize(spark, sf_dir):
-    return _optimised(spark, sf_dir)
+    return _report(_optimised(spark, sf_dir))
+
+
+TIGHT = {"budget": 150, "keep_last": 4, "summarize_at": 3}
+
+
+@query("optimize_tight", _optimize_sql(**TIGHT))
+def optimize_tight(spark, sf_dir):
+    return _report(_optimised(spark, sf_dir, **TIGHT))
 
 
-@query("optimize_aggressive")
+@query("optimize_aggressive", _optimize_sql("aggressive", keep_last=2))
 def optimize_aggressive(spark, sf_dir):
-    return _optimised(spark, sf_dir, mode="aggressive", keep_last=2)
+    return _report(_optimised(spark, sf_dir, mode="aggressive", keep_last=2))
 
 
-@query("optimize_without_layout")
+@query("optimize_without_layout", _optimize_sql(use_kv=False))
 def optimize_without_layout(spark, sf_dir):
-    return _optimised(spark, sf_dir, use_kv=False)
+    return _report(_optimised(spark, sf_dir, use_kv=False))
 
 
 @query(

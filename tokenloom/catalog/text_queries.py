@@ -252,11 +252,13 @@ def compress_basic(spark, sf_dir):
     return C.compress_basic(view(spark, sf_dir, "prompts_v").select("doc_id", "text")).drop("text")
 
 
+def aggressive_sql(text: str) -> str:
+    return strip_sql(rules_sql(strip_sql(text), basic.AGGRESSIVE))
+
+
 @query(
     "compress_aggressive",
-    f"""{view_sql('chat_v')}
-SELECT conv_id, turn, {strip_sql(rules_sql(strip_sql('text'), basic.AGGRESSIVE))} AS compressed
-FROM chat_v""",
+    f"{view_sql('chat_v')} SELECT conv_id, turn, {aggressive_sql('text')} AS compressed FROM chat_v",
 )
 def compress_aggressive(spark, sf_dir):
     conv = view(spark, sf_dir, "chat_v")
