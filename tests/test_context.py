@@ -245,3 +245,15 @@ def test_compress_history_order(chat):
     assert [r["role"] for r in rows] == ["system", "user", "assistant", "user", "assistant", "user"]
     assert rows[1]["text"].endswith("[QUERY]\ne")
     assert [r["text"] for r in rows[2:]] == ["b", "c", "d", "e"]
+
+
+def test_repeated_phrases_are_coded_when_they_pay(chat, spark):
+    phrase = "error rate limit reached in region"
+    conv = chat(*[("user", f"Code {i}11 {phrase} and {phrase} and {phrase}") for i in range(1, 15)])
+    queries = spark.createDataFrame([(1, "status")], "conv_id long, query string")
+    row = O.optimize_context(conv, queries, use_kv=False, keep_last=20).first()
+    assert row["huffman_tokens_saved"] > 0
+    assert "SYMBOLS: {§H1=" in row["system"] and "§H1" in row["messages"][0]["content"]
+    assert row["optimized_tokens"] < row["original_tokens"]
+    plain = O.optimize_context(conv.limit(2), queries, use_kv=False).first()
+    assert plain["huffman_tokens_saved"] == 0 and "SYMBOLS" not in plain["system"]

@@ -12,6 +12,7 @@ from tokenloom.catalog.base import (
     key_sql,
     query,
     sentences_sql,
+    space_words_sql,
     strip_sql,
     table,
     token_count_sql,
@@ -294,9 +295,9 @@ def delta_prune_long(spark, sf_dir):
     return C.mark_novel(chat(spark, sf_dir), limit=1).select("conv_id", "turn", "kept")
 
 
-def _budget_sql(score: str, source: str, budget: int, keep: int) -> str:
+def _budget_sql(score: str, source: str, budget: int | str, keep: int) -> str:
     """``pruned_v``: messages of ``source`` within the budget."""
-    return f"""weighed AS (SELECT conv_id, turn, role, text, {token_count_sql('text')} AS tokens, {score} AS score,
+    return f"""weighed AS (SELECT *, {token_count_sql('text')} AS tokens, {score} AS score,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {source} JOIN queries_v USING (conv_id)),
 room AS (SELECT conv_id, greatest(0, {budget} - CAST(sum(tokens) FILTER (back <= {keep}) AS BIGINT)) AS room
   FROM weighed GROUP BY conv_id),
@@ -377,7 +378,19 @@ def summary_small(spark, sf_dir):
     return C.summarize(chat(spark, sf_dir), budget=30)
 
 
-@query("summary_rolling")
+_MERGED = f"regexp_extract_all({strip_sql("rtrim(o.summary, ' ' || chr(9) || chr(10) || chr(13)) || ' ' || n.summary")}, '\\S+')"
+
+
+@query(
+    "summary_rolling",
+    f"""{CHAT}, early AS (SELECT * FROM chat_v WHERE turn < 4), late AS (SELECT * FROM chat_v WHERE turn >= 4),
+o AS (WITH RECURSIVE {_summary_sql('early', 60)} SELECT * FROM summaries_v),
+n AS (WITH RECURSIVE {_summary_sql('late', 60)} SELECT * FROM summaries_v)
+SELECT conv_id, CASE WHEN coalesce(o.summary, '') = '' THEN {strip_sql('n.summary')}
+  WHEN len({_MERGED}) > {int(60 / 1.3)} THEN array_to_string({_MERGED}[-{int(60 / 1.3)}:], ' ')
+  ELSE {strip_sql("rtrim(o.summary, ' ' || chr(9) || chr(10) || chr(13)) || ' ' || n.summary")} END AS summary
+FROM n LEFT JOIN o USING (conv_id)""",
+)
 def summary_rolling(spark, sf_dir):
     """Second half of each conversation merged into the summary of the first."""
     conv = chat(spark, sf_dir)
@@ -435,8 +448,13 @@ def _report(rows):
     return rows.withColumn("n_messages", F.size("messages").cast("long")).drop("messages")
 
 
-def _optimize_sql(mode: str = "lossless", use_kv: bool = True, **options) -> str:
-    """The full job step by step over the same views as its parts."""
+def _optimize_sql(
+    mode: str = "lossless", use_kv: bool = True, summary_budget: int = C.SUMMARY_BUDGET, **options
+) -> str:
+    """The full job step by step over the same views as its parts.
+
+    ``budget`` may be an expression over the conversation's messages.
+    """
     o = {**OPTIMIZE, **options}
     prefix, tail = o["prefix"], o["tail"]
     base = " ".join(f"WHEN '{r}' THEN {v}::DOUBLE" for r, v in C.ROLE_KEEP.items())
@@ -464,18 +482,19 @@ pin_blocks AS (SELECT conv_id, block AS kv_pinned FROM pin_texts JOIN gains USIN
     return f"""{CHAT}, {QUERIES_SQL}, {NOVELTY_SQL},
 kept_v AS (SELECT m.conv_id, m.turn, m.role, m.text FROM msgs m JOIN walk w ON w.conv_id = m.conv_id AND w.i = m.i WHERE w.kept),
 {_register_sql('kept_v')}, {REGISTER_BLOCK_SQL}, {_coded_sql('kept_v')},
-{_budget_sql(_BLEND, 'coded_v', o['budget'], o['keep_last'])},
+budgets AS (SELECT conv_id, CAST({o['budget']} AS BIGINT) AS budget FROM chat_v GROUP BY conv_id),
+{_budget_sql(_BLEND, '(SELECT * FROM coded_v JOIN budgets USING (conv_id))', 'any_value(budget)', o['keep_last'])},
 {shape},
-facts AS (SELECT conv_id, query, n_messages, delta_dropped, {tokens_sql(f"words + {token_words_sql('query')}")} AS original_tokens
-  FROM queries_v JOIN (SELECT conv_id, count(*) AS n_messages, CAST(sum({token_words_sql('text')}) AS BIGINT) AS words
+facts AS (SELECT conv_id, query, budget, n_messages, delta_dropped, {tokens_sql(f"words + {token_words_sql('query')}")} AS original_tokens
+  FROM queries_v JOIN budgets USING (conv_id) JOIN (SELECT conv_id, count(*) AS n_messages, CAST(sum({token_words_sql('text')}) AS BIGINT) AS words
     FROM chat_v GROUP BY conv_id) USING (conv_id)
   JOIN (SELECT conv_id, count(*) FILTER (NOT kept) AS delta_dropped FROM walk GROUP BY conv_id) USING (conv_id)),
-due AS (SELECT conv_id FROM facts WHERE n_messages >= {o['summarize_at']} OR original_tokens > {o['budget']}),
+due AS (SELECT conv_id FROM facts WHERE n_messages >= {o['summarize_at']} OR original_tokens > budget),
 lost AS (SELECT * FROM coded_v a WHERE NOT EXISTS (SELECT 1 FROM shaped_v s
   WHERE s.conv_id = a.conv_id AND s.role = a.role AND s.text = a.text)),
 retold_v AS (SELECT * FROM lost WHERE conv_id IN (FROM due) UNION ALL
   SELECT * FROM coded_v WHERE conv_id IN (FROM due) AND conv_id NOT IN (SELECT conv_id FROM lost)),
-{_summary_sql('retold_v', C.SUMMARY_BUDGET)},
+{_summary_sql('retold_v', summary_budget)},
 {pins},
 middle_v AS (SELECT * FROM shaped_v WHERE segment = 'middle'),
 {_phrase_sql('middle_v')}, {_phrased_sql('middle_v')},
@@ -534,12 +553,39 @@ def optimize_original_tokens(spark, sf_dir):
     return _optimised(spark, sf_dir).select("conv_id", "original_tokens", "delta_dropped")
 
 
-@query("context_stats")
+@query(
+    "context_stats",
+    f"""SELECT 'lossless' AS mode, 'p' || (conv_id % 3) AS platform, count(*) AS n,
+  CAST(sum(tokens_saved_estimate) AS BIGINT) AS tokens_saved, CAST(sum(messages_pruned) AS BIGINT) AS messages_pruned
+FROM ({_optimize_sql()}) GROUP BY ALL""",
+)
 def context_stats(spark, sf_dir):
     rows = _optimised(spark, sf_dir).withColumn("mode", F.lit("lossless"))
     return O.context_stats(rows.withColumn("platform", F.concat(F.lit("p"), F.col("conv_id") % 3)))
 
 
-@query("proxy_history")
+_PROXY_TOKENS = "greatest(1, {} * 4 // 3)"
+_PROXY_SIZE = f"CAST(sum({_PROXY_TOKENS.format(space_words_sql('text'))}) AS BIGINT)"
+
+
+def _proxy_sql() -> str:
+    made = _optimize_sql(
+        budget=f"greatest({O.PROXY_MIN_BUDGET}, {_PROXY_SIZE} // 2)",
+        keep_last=O.PROXY["keep_last"],
+        summarize_at=O.PROXY["summarize_at"],
+        summary_budget=O.PROXY["summary_budget"],
+        prefix=C.KV_PREFIX,
+        tail=C.KV_TAIL,
+    )
+    size = _PROXY_TOKENS.format(space_words_sql("optimized_prompt"))
+    return f"""{CHAT}, made AS ({made}),
+sizes AS (SELECT conv_id, {_PROXY_SIZE} AS size FROM chat_v GROUP BY conv_id)
+SELECT conv_id, 0 AS part, turn, role, text, CAST(NULL AS BIGINT) AS saved FROM chat_v WHERE role = 'system'
+UNION ALL SELECT conv_id, 1, NULL, 'user', optimized_prompt, greatest(0, size - {size}) FROM made JOIN sizes USING (conv_id)
+UNION ALL SELECT conv_id, 2, turn, role, text, NULL FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth
+  FROM chat_v WHERE role <> 'system') WHERE nth <= {O.PROXY_TAIL}"""
+
+
+@query("proxy_history", _proxy_sql())
 def proxy_history(spark, sf_dir):
     return O.compress_history(chat(spark, sf_dir))

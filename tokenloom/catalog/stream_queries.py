@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.catalog.base import VIEWS, query, view_sql
-from tokenloom.catalog.context_queries import CHAT, NOVELTY_SQL
+from tokenloom.catalog.context_queries import CHAT, NOVELTY_SQL, _summary_query
 from tokenloom.catalog.text_queries import _EVENTS
 from tokenloom.catalog.tool_queries import SEEN_SQL
 from tokenloom.catalog.usage_queries import (
@@ -21,6 +21,7 @@ from tokenloom.catalog.usage_queries import (
     SLIM,
     TTL,
 )
+from tokenloom.operators import context as C
 from tokenloom.plans.groups import checkpoint_folder
 from tokenloom.sources import sinks
 from tokenloom.streaming import stateful as S
@@ -96,7 +97,7 @@ def stream_delta_prune(spark, sf_dir):
     return drain(S.stream_delta_prune(_chat_stream(spark, sf_dir)))
 
 
-@query("stream_summary")
+@query("stream_summary", _summary_query(C.SUMMARY_BUDGET))
 def stream_summary(spark, sf_dir):
     return drain(S.stream_summary(_chat_stream(spark, sf_dir)))
 
