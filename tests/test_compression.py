@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions.rewrite import RuleSet, needed_word
+from tokenloom.functions.rewrite import RuleSet, needed_words
 from tokenloom.functions.rules import basic, packs, pro, standard, vocabulary
 from tokenloom.operators import compression as C
 from tokenloom.operators import routing as R
@@ -58,12 +58,15 @@ def test_skipping_rules_changes_nothing(spark, name):
         assert row["fast"] == row["all"]
 
 
-def test_needed_word():
-    assert needed_word(r"\bmachine learning\b") == ("learning", True)
-    assert needed_word(r"\bendpoint(s)?\b") == ("endpoint", False)
-    assert needed_word(r"please ")[0] == "please"
-    assert needed_word(r" {2,}") == ("", False)
-    assert needed_word(r"(?:fell|dropped)\s+from\s+x")[0] == "from"
+def test_needed_words():
+    assert needed_words(r"\bmachine learning\b") == [({"learning"}, set()), ({"machine"}, set())]
+    assert needed_words(r"\bendpoint(s)?\b") == [(set(), {"endpoint"})]
+    assert needed_words(r"please ") == [(set(), {"please"})]
+    assert needed_words(r" {2,}") == [(set(), {"  "})]
+    assert needed_words(r" +") == [(set(), {""})]
+    assert needed_words(r"\b(do|did)\b x?") == [({"do", "did"}, set())]
+    assert ({"from"}, set()) in needed_words(r"(?:fell|went\s+down)\s+from\s+x")
+    assert needed_words(r"\bindemnif(y|ication)\b")[0] == (set(), {"indemnif"})
 
 
 def test_table_sizes():

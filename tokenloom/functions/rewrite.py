@@ -2,8 +2,8 @@ r"""Apply an ordered list of substitution rules to a text column.
 
 The rules travel as one constant array and are folded over the text, so the plan stays one
 expression however long the list is. Before the fold each row drops the rules that cannot
-match: a rule names a word that must occur in the text, or in the output of an earlier rule
-that itself may apply. Looking words up is far cheaper than scanning with every pattern.
+match: every word a pattern demands must occur in the text, or in the output of an earlier
+rule that itself may apply. Looking words up is far cheaper than scanning with every pattern.
 """
 
 from __future__ import annotations
@@ -20,17 +20,19 @@ from tokenloom.functions.text import SPACE, unicode_pattern
 
 RULE_TYPE = (
     "array<struct<pattern:string,replacement:string,"
-    "words:array<string>,parts:array<string>,glue:string>>"
+    "needs:array<struct<words:array<string>,parts:array<string>>>,glue:string>>"
 )
 Rule = tuple[str, str]
 _BORDER, _UNSURE = "\x00", "\x01"
 
 
-def needed_word(pattern: str) -> tuple[str, bool]:
-    """A lower-case word in every match of ``pattern``, and whether it stands alone there.
+def needed_words(pattern: str) -> list[tuple[set[str], set[str]]]:
+    """What every match of ``pattern`` contains: for each entry one of its words or parts.
 
-    The word is empty when none is certain.
+    Words stand alone in the match, parts may touch other letters. All lower case.
     """
+    if pattern == " {2,}":
+        return [(set(), {"  "})]
     p = re.sub(r"\(\?[a-zA-Z]+\)|\?-i:", "", pattern)
     p = re.sub(r"\\b|\\s\+|\[- \]", _BORDER, p)
     p = re.sub(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})*", _UNSURE, p)
@@ -38,20 +40,34 @@ def needed_word(pattern: str) -> tuple[str, bool]:
     p = re.sub(r"\\.", _BORDER, p)
     p = re.sub(r"\(\?(?:=|!|<=|<!)[^()]*\)", _UNSURE, p)
     p = re.sub(r"[ ',/-]", _BORDER, p)
-    p = re.sub(rf"{_BORDER}(?:\((?:[^()|]*{_BORDER}\|)*[^()|]*{_BORDER}\)\?)+", _BORDER, p)
+    p = re.sub(rf"{_BORDER}(?:\((?:[^()|]*{_BORDER}\|)*[^()|]*{_BORDER}\)\?)+", _BORDER, p).lower()
+    needs = []
+
+    def choice(match: re.Match) -> str:
+        """A group of plain words is one entry of its own."""
+        options = re.split(r"\|", match[1])
+        if all(re.fullmatch(r"[a-z0-9]+", o) for o in options):
+            before, after = p[: match.start()][-1:], p[match.end() :][:1]
+            alone = before == _BORDER and after == _BORDER
+            needs.append((set(options), set()) if alone else (set(), set(options)))
+        return _UNSURE
+
     previous = None
     while previous != p:
         previous = p
         p = re.sub(r"\((?:\?:)?[^()]*\)[?*]", _UNSURE, p)
-        p = re.sub(r"\((?:\?:)?[^()|]*\|[^()]*\)", _UNSURE, p)
+        p = re.sub(r"\((?:\?:)?([^()|]*\|[^()]*)\)", choice, p)
         p = re.sub(r"\((?:\?:)?([^()|]*)\)", r"\1", p)
     if "|" in p:
-        return "", False
-    p = re.sub(r".(?:[?*]|\{[^}]*\})", _UNSURE, p).lower()
-    whole = re.findall(rf"(?<={_BORDER})[a-z0-9]+(?={_BORDER})", p)
-    if whole:
-        return max(whole, key=len), True
-    return max(re.findall(r"[^\W_]+", p), key=len, default=""), False
+        return [(set(), {""})]
+    p = re.sub(r".(?:[?*]|\{[^}]*\})", _UNSURE, p)
+    for match in re.finditer(r"[^\W_]+", p):
+        before, after = p[: match.start()][-1:], p[match.end() :][:1]
+        alone = before == _BORDER and after == _BORDER and match[0].isascii()
+        needs.append(({match[0]}, set()) if alone else (set(), {match[0]}))
+    # Lookups before substring tests; the longest, rarest first.
+    needs.sort(key=lambda n: (not n[0], -min(len(w) for w in n[0] | n[1])))
+    return needs or [(set(), {""})]
 
 
 def _starts_at_border(pattern: str) -> bool:
@@ -88,6 +104,9 @@ class RuleSet:
         self.ascii = ascii
 
     def pattern(self, pattern: str) -> str:
+        if pattern == " +":
+            # Runs of one need no rewriting.
+            return " {2,}"
         if not self.ascii:
             return unicode_pattern(pattern, ignore_case=True)
         pattern = re.sub(r"(?<=[A-Za-z)])\\b(?= )|(?<= )\\b(?=[A-Za-z])", "", pattern)
@@ -100,19 +119,21 @@ class RuleSet:
     def entries(self) -> list[dict]:
         made: list[dict] = []
         for pattern, replacement in self.rules:
-            word, whole = needed_word(pattern)
             glue = _glue_pattern(pattern, replacement)
-            words, parts = ({word}, set()) if whole else (set(), {word})
-            for earlier in made:
-                if word and word in earlier["replacement"].lower():
-                    words.update(earlier["words"])
-                    parts.update(earlier["parts"])
+            needs = []
+            for words, parts in needed_words(pattern):
+                words, parts = set(words), set(parts)
+                for earlier in made:
+                    output = earlier["replacement"].lower()
+                    if any(w and w in output for w in words | parts):
+                        words.update(earlier["needs"][0]["words"])
+                        parts.update(earlier["needs"][0]["parts"])
+                needs.append({"words": sorted(words), "parts": sorted(parts)})
             made.append(
                 {
                     "pattern": self.pattern(pattern),
                     "replacement": replacement,
-                    "words": sorted(words),
-                    "parts": sorted(parts),
+                    "needs": needs,
                     "glue": self.pattern(glue) if glue else None,
                 }
             )
@@ -123,22 +144,23 @@ class RuleSet:
 
     def usable(self, text: Column) -> Column:
         """The rules whose word occurs in ``text``."""
-        known = sorted({w for e in self.entries() for w in e["words"]})
-        if not known:
-            return self.column()
+        known = sorted({w for e in self.entries() for n in e["needs"] for w in n["words"]})
         separators = "[^a-z0-9]+" if self.ascii else r"[^\p{L}\p{N}]+"
 
         def select(low: Column) -> Column:
             present = F.array_intersect(
                 F.split(low, separators), F.from_json(F.lit(json.dumps(known)), "array<string>")
             )
+
+            def possible(rule: Column, hits: Column) -> Column:
+                return F.forall(
+                    rule["needs"],
+                    lambda n: F.arrays_overlap(n["words"], hits)
+                    | F.exists(n["parts"], lambda p: F.contains(low, p)),
+                )
+
             return let(
-                present,
-                lambda hits: F.filter(
-                    self.column(),
-                    lambda r: F.arrays_overlap(r["words"], hits)
-                    | F.exists(r["parts"], lambda p: F.contains(low, p)),
-                ),
+                present, lambda hits: F.filter(self.column(), lambda r: possible(r, hits))
             )
 
         return let(F.lower(text), select)

@@ -95,7 +95,10 @@ def _param_column(entry: Column, required: Column) -> Column:
     """One normalised parameter from a ``properties`` map entry."""
     fields = F.struct(
         F.from_json(entry["value"], "type string, enum array<string>").alias("f"),
-        F.try_parse_json(entry["value"]).alias("v"),
+        # Parsed a second time, with types, only where a default may be present.
+        F.when(
+            F.contains(entry["value"], F.lit('"default"')), F.try_parse_json(entry["value"])
+        ).alias("v"),
     )
 
     def build(p: Column) -> Column:
