@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ TRICKY = [
     "You should build it. could you please list x? Please Note that y. Make sure to z. \nPlease Go",
     "Eres un experto en SQL. Actúa como un juez, por favor explica la configuración. Está",
     "the team, which is a large group, called Foo Bar, did win, enabling the merge. éclass classé",
+    "in 30 seconds, 5 minutes; 2 hours, 3 days. 4 weeks, 6 months, 7 years, 10 percent, 9 ms",
+    "For context: a. As we said before, b. Just a quick note: c. To be clear, d. at this point in time",
     "Earnings before interest, taxes and depreciation plus amortization; price-to-earnings",
 ]
 
@@ -48,7 +52,8 @@ def phrases():
 
 @pytest.mark.parametrize("name", SETS)
 def test_skipping_rules_changes_nothing(spark, name):
-    texts = TRICKY + [" and ".join(phrases()), " ".join(r[0] for r in SETS[name].rules)]
+    pieces = [part for text in TRICKY for part in re.split(r"(?<=[.,;])", text)]
+    texts = TRICKY + pieces + list(phrases()) + [" and ".join(phrases()), " ".join(r[0] for r in SETS[name].rules)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     text = F.col("text")
     rows = df.select(
@@ -66,6 +71,8 @@ def test_needed_words():
     assert needed_words(r" +") == [(set(), {""})]
     assert needed_words(r"\b(do|did)\b x?") == [({"do", "did"}, set())]
     assert ({"from"}, set()) in needed_words(r"(?:fell|went\s+down)\s+from\s+x")
+    assert needed_words(r"\bx(?!\s+(?:per|each))") == [(set(), {"x"})]
+    assert needed_words(r"\b(?:a (b|c) )?done\b") == [(set(), {"done"})]
     assert needed_words(r"\bindemnif(y|ication)\b")[0] == (set(), {"indemnif"})
 
 

@@ -38,15 +38,16 @@ def needed_words(pattern: str) -> list[tuple[set[str], set[str]]]:
     p = re.sub(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})*", _UNSURE, p)
     p = re.sub(r"\\[BdDwWsS](?:[?*+]|\{[^}]*\})*", _UNSURE, p)
     p = re.sub(r"\\.", _BORDER, p)
-    p = re.sub(r"\(\?(?:=|!|<=|<!)[^()]*\)", _UNSURE, p)
+    p = re.sub(r"\(\?(?:=|!|<=|<!)(?:[^()]|\([^()]*\))*\)", _UNSURE, p)
     p = re.sub(r"[ ',/-]", _BORDER, p)
     p = re.sub(rf"{_BORDER}(?:\((?:[^()|]*{_BORDER}\|)*[^()|]*{_BORDER}\)\?)+", _BORDER, p).lower()
     needs = []
 
     def choice(match: re.Match) -> str:
-        """A group of plain words is one entry of its own."""
+        """A group of plain words, not inside another group, is one entry of its own."""
         options = re.split(r"\|", match[1])
-        if all(re.fullmatch(r"[a-z0-9]+", o) for o in options):
+        outside = p[: match.start()].count("(") == p[: match.start()].count(")")
+        if outside and all(re.fullmatch(r"[a-z0-9]+", o) for o in options):
             before, after = p[: match.start()][-1:], p[match.end() :][:1]
             alone = before == _BORDER and after == _BORDER
             needs.append((set(options), set()) if alone else (set(), set(options)))
@@ -55,9 +56,9 @@ def needed_words(pattern: str) -> list[tuple[set[str], set[str]]]:
     previous = None
     while previous != p:
         previous = p
-        p = re.sub(r"\((?:\?:)?[^()]*\)[?*]", _UNSURE, p)
-        p = re.sub(r"\((?:\?:)?([^()|]*\|[^()]*)\)", choice, p)
-        p = re.sub(r"\((?:\?:)?([^()|]*)\)", r"\1", p)
+        p = re.sub(r"\((?:\?:)?[^()]*\)(?:[?*]|\{[^}]*\})", _UNSURE, p)
+        p = re.sub(r"\((?:\?:)?([^()|]*\|[^()]*)\)(?![?*{])", choice, p)
+        p = re.sub(r"\((?:\?:)?([^()|]*)\)(?![?*{])", r"\1", p)
     if "|" in p:
         return [(set(), {""})]
     p = re.sub(r".(?:[?*]|\{[^}]*\})", _UNSURE, p)
