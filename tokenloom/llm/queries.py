@@ -45,3 +45,10 @@ def op10_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.word_codec import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
