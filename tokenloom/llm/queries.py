@@ -52,3 +52,35 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+SQL["op8_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
