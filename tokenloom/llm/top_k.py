@@ -105,8 +105,8 @@ def meet(queries: DataFrame, candidates: DataFrame, lanes: int) -> DataFrame:
     return candidates.join(queries, ["lane", "dim"])
 
 
-def histograms(met: DataFrame, step: int) -> DataFrame:
-    """Per query and bin of its interval, the scores counted: query_id, bin, n. A block leaves out
+def histograms(met: DataFrame, width: int, step: int) -> DataFrame:
+    """Per query and bin of its interval (``width`` scores, ``step`` to a bin), the scores counted: query_id, bin, n. A block leaves out
     bins below the one in which its own count reaches what the query still wants."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +115,8 @@ def histograms(met: DataFrame, step: int) -> DataFrame:
                 q_ids, _, scores = _scores(row)
                 low = np.frombuffer(row["q_low"], dtype=np.int64)[:, None]
                 want = np.frombuffer(row["q_want"], dtype=np.int64)[:, None]
-                bins = np.where(scores == OWN, -1, (scores - low) // step)
-                inside = (bins >= 0) & (bins < BINS)
+                inside = (scores != OWN) & (scores >= low) & (scores < low + width)
+                bins = (scores - low) // step
                 at = (np.arange(len(q_ids))[:, None] * BINS + bins)[inside]
                 counts = np.bincount(at, minlength=len(q_ids) * BINS).reshape(-1, BINS)
                 higher = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
@@ -195,7 +195,7 @@ def top_k(
     while width > 1:
         step = -(-width // BINS)
         met = meet(packed(spans, QUERY_BLOCK, "q", ("low", "want")), candidates, lanes)
-        spans = stored(narrowed(spans, histograms(met, step), step))
+        spans = stored(narrowed(spans, histograms(met, width, step), step))
         width = step
     best = reaching(meet(packed(spans, QUERY_BLOCK, "q", ("low", "want")), candidates, lanes), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
