@@ -84,3 +84,44 @@ WITH v AS (
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
+
+
+@query
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.quotes import link_replies, quoting_messages
+
+    linked = link_replies(quoting_messages(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "role", "text", "parent_turn", "root_turn", "depth", "position")
+
+
+SQL["op6_quotation_links"] = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, role, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text,
+    trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS plain,
+    lag(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) OVER w AS quoted,
+    lag(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 2) OVER w AS quoted2
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), firsts AS (
+  SELECT conv_id, plain, min(turn) AS turn FROM said WHERE plain <> '' GROUP BY conv_id, plain
+), tree AS (
+  SELECT s.conv_id, s.turn, s.role, s.text, coalesce(f.turn, g.turn) AS parent_turn
+  FROM said s
+  LEFT JOIN firsts f ON f.conv_id = s.conv_id AND f.plain = s.quoted AND f.turn < s.turn
+  LEFT JOIN firsts g ON g.conv_id = s.conv_id AND g.plain = s.quoted2 AND g.turn < s.turn
+), walk AS (
+  SELECT conv_id, turn, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM tree WHERE parent_turn IS NULL
+  UNION ALL
+  SELECT t.conv_id, t.turn, w.root_turn, w.depth + 1
+  FROM tree t JOIN walk w ON w.conv_id = t.conv_id AND w.turn = t.parent_turn
+)
+SELECT t.conv_id, t.turn, t.role, t.text, t.parent_turn, w.root_turn, w.depth,
+  row_number() OVER (PARTITION BY t.conv_id ORDER BY w.root_turn, w.depth, t.turn) AS position
+FROM tree t JOIN walk w ON w.conv_id = t.conv_id AND w.turn = t.turn
+"""
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
