@@ -125,3 +125,17 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
