@@ -162,3 +162,14 @@ def near_duplicates(
         F.when(lone, F.lit(True)).otherwise(F.col("doc_id") == F.col("component_id")).alias("kept"),
         F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The whole rows of ``docs`` that stand for their group: one document of each component, and
+    every document that is in none. Rows with a null doc_id stay; of rows with the same doc_id and
+    text one stays."""
+    # Groups of one are kept as they are: only the others' ids need to be known.
+    gone = near_duplicates(docs, words, threshold).filter("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(left.filter("doc_id IS NULL"))

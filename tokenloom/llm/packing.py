@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +30,26 @@ END_ID = 1
 PIECES = 20_000
 
 
+SPACES = " \t\n\r\v\f"
+# Sentence marks: the tokenizer takes none together with a letter, and no special token has one.
+MARKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"])
+LETTERS = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+
+
+def words_and_marks(data: np.ndarray) -> np.ndarray:
+    """Cut in front of white space and between an ASCII letter and a sentence mark."""
+    cut = before_space(data)
+    cut[1:] |= MARKS[data[1:]] & LETTERS[data[:-1]]
+    return cut
+
+
 class SpacedWordIds(WordIds):
-    """Word table for a tokenizer that drops white space and marks the last piece of a word.
+    """Word table for a tokenizer that drops white space and case and marks the last piece of a word.
 
     New words of letters are encoded many at a time, as lines of one text; the marks tell where
-    each ends. A word with sentence marks behind it is its letters' ids and the marks' ids.
+    each ends.
     """
 
-    spaces, marks = " \t\n\r\v\f", ".,;:!?|"
-
     def __init__(self, path: str, mark: str = "</w>"):
         super().__init__(path)
         vocabulary = load_tokenizer(path).get_vocab()
@@ -47,27 +59,22 @@ class SpacedWordIds(WordIds):
     def learn(self, words: Iterable[str]) -> None:
         if len(self) >= self.limit:
             self.turn()
-        bare = {w: w.strip(self.spaces).rstrip(self.marks) for w in self.new(set(words))}
-        simple = {b for b in bare.values() if b.lower().isalpha()}
-        letters = self.new(simple)
+        new = self.new(set(words))
+        letters = [w for w in new if w.lower().isalpha()]
         for at in range(0, len(letters), 5_000):
             part = letters[at : at + 5_000]
             self.update(zip(part, self.lines(part), strict=True))
-        rest = [w for w, b in bare.items() if b not in simple]
+        rest = [w for w in new if not w.lower().isalpha()]
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
-            self.update(zip(part, super().encode(part), strict=True))
-        for w, b in bare.items():
-            if b in simple and b != w:
-                marks = w.strip(self.spaces)[len(b) :]
-                self[w] = self[b] + self[marks] if marks else self[b]
+            self.update(zip(part, self.encode(part), strict=True))
 
     def lines(self, words: list[str]) -> list[bytes]:
         made = load_tokenizer(self.path).encode_batch_fast(["\n".join(words)], add_special_tokens=False)
         ids = np.array(made[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last_piece[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):  # a letter fell apart in lower case
-            return super().encode(words)
+            return self.encode(words)
         data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -81,10 +88,14 @@ def token_ids(texts: pa.Array, tokenizer: str, end_id: int | None = END_ID) -> l
     """Ids of each text and the end id, for a tokenizer that drops white space: a text's ids are
     those of its words, one after another. Each distinct word is encoded once."""
     table = spaced_word_ids(tokenizer)
-    words = Words(texts, before_space)
-    table.learn(words.distinct)
+    # Capitals are alike to the tokenizer, but for the strings of special tokens.
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring(texts, "<|")
+    words = Words(pc.if_else(odd, texts, pc.ascii_lower(texts)), words_and_marks)
+    bare = [w.strip(SPACES) for w in words.distinct]
+    table.learn(bare)
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-    return [x.tobytes() + end for x in words.joined([table[w] for w in words.distinct])]
+    return [x.tobytes() + end for x in words.joined([table[w] for w in bare])]
 
 
 def encode_partitions(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
@@ -123,7 +134,8 @@ def global_offsets(encoded: DataFrame) -> DataFrame:
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("first"))
-    return encoded.join(starts, "part").withColumn("at", F.col("first") + F.col("before"))
+    # One row for each task of the first pass.
+    return encoded.join(F.broadcast(starts), "part").withColumn("at", F.col("first") + F.col("before"))
 
 
 def cut_windows(placed: DataFrame, size: int = SIZE) -> DataFrame:
