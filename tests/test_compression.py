@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -28,6 +29,9 @@ SETS = {
 
 # Glued words, outputs that trigger later rules, and every vocabulary phrase.
 TRICKY = [
+    "DEBUGI WOULD LIKE YOU TO  12",
+    "generanecesito que , y",
+    "have. just'actuallywere a ver please y",
     "Toucan you see machine learning? misplease me. defix bug and rewrite tests forget it",
     "no explanation, each and every one; given the context: please do not do it, it is not done",
     "Gradient Descent and gradient descent, cost per Click, cost per click, emergency ROOM",
@@ -164,6 +168,43 @@ def test_custom_rules_are_literal(spark):
     assert [r["hits"] for r in C.rule_hits(df, rules).orderBy("rule").collect()] == [2, 1]
 
 
+def test_equal_rules_are_counted_each(spark):
+    df = spark.createDataFrame([("the end of the day",), ("no",)], "text string")
+    rules = spark.createDataFrame(
+        [(3, "the", "x"), (7, "the", "y"), (9, "day", "")], "pos long, pattern string, replacement string"
+    )
+    rows = [tuple(r) for r in C.rule_hits(df, rules).orderBy("rule").collect()]
+    assert rows == [(3, 2, 1), (7, 2, 1), (9, 1, 1)]
+
+
+FRAGMENTS = re.compile(r"[A-Za-z\u00c0-\u024f§µ0-9]+|[^\sA-Za-z0-9]")
+
+
+@pytest.mark.parametrize("name", sorted(SETS))
+def test_glued_words_meet_every_rule(spark, name):
+    """Random texts of rule fragments, words often glued: skipping rules changes nothing."""
+    chance = random.Random(name)
+    rules = SETS[name]
+    words = [w for p, r in rules.rules for w in FRAGMENTS.findall(re.sub(r"\\.|\(\?[^)]*\)", " ", p)) + [r] if w]
+    words += ["a", "it", "12", "é", ",", ".", "x"]
+    texts = []
+    for _ in range(1000):
+        parts = []
+        for _ in range(chance.randint(1, 7)):
+            word = chance.choice(words)
+            word = chance.choice([word, word, word.upper(), word.capitalize()])
+            parts += [word, chance.choice(["", "", " ", " ", "  ", "'", ", "])]
+        texts.append(("".join(parts),))
+        pattern = chance.choice(rules.rules)[0]
+        plain = re.sub(r"\\[bB]|\(\?[a-zA-Z:-]+|[()?|*+\[\]^$]", "", pattern).replace("\\s", " ")
+        texts.append((chance.choice(words) + plain + chance.choice(["", " "]) + chance.choice(words),))
+    df = spark.createDataFrame(texts, "text string").repartition(4)
+    both = df.select(
+        "text", rules.apply(F.col("text")).alias("fast"), rules.apply(F.col("text"), guarded=False).alias("slow")
+    )
+    assert both.filter("fast <> slow").limit(5).collect() == []
+
+
 def test_decode_reverses_symbols(spark):
     df = spark.createDataFrame([("§E1 and §E12",)], "text string")
     table = F.from_json(

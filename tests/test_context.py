@@ -257,3 +257,15 @@ def test_repeated_phrases_are_coded_when_they_pay(chat, spark):
     assert row["optimized_tokens"] < row["original_tokens"]
     plain = O.optimize_context(conv.limit(2), queries, use_kv=False).first()
     assert plain["huffman_tokens_saved"] == 0 and "SYMBOLS" not in plain["system"]
+
+
+def test_symbols_in_texts_with_private_use_characters(spark, chat):
+    """Any character may stand in a text: none is taken for a mark."""
+    text = "Acme Cloud has 45 GB  and Acme Cloud 45 GB \\E \\Q."
+    conv = chat(("user", text), ("user", "Acme Cloud gives 45 GB and 4"))
+    register = spark.createDataFrame(
+        [(1, 1, "Acme Cloud"), (1, 2, "45 GB"), (1, 3, "1"), (1, 4, "\\E")], "conv_id long, rank int, entity string"
+    )
+    rows = C.apply_register(conv, register).orderBy("turn").collect()
+    assert rows[0]["text"] == "§E1 has §E2  and §E1 §E2 §E4 \\Q."
+    assert rows[1]["text"] == "§E1 gives §E2 and 4"

@@ -105,6 +105,18 @@ def test_stats_stream(spark, tmp_path):
     same(rows.withColumn("tokens_saved", F.col("tokens_saved").cast("long")), batch.withColumn("tokens_saved", F.col("tokens_saved").cast("long")))
 
 
+def test_late_row_leaves_other_periods_alone(spark, tmp_path):
+    """Two a day: a late row of the day before counts in its own day only."""
+    at = ["02 00:01", "02 00:02", "02 00:03", "01 23:59", "02 00:04", "02 00:05", "02 00:06"]
+    rows = [(i, "u", f"2024-01-{t}:00") for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "event_id long, user string, t string")
+    df = df.select("event_id", "user", F.to_timestamp("t").alias("ts"))
+    stream = in_files(spark, df, "event_id", tmp_path / "in", 3)
+    for kind, expected in (("daily", [0, 1, 3]), ("monthly", [0, 1])):
+        out = drain(S.stream_limits(stream, kind, "user", 2, lateness="1 hour")).filter("allowed")
+        assert sorted(r["event_id"] for r in out.collect()) == expected
+
+
 def test_event_stream_sink(spark, tmp_path):
     df = messages(spark).select(
         F.lit("s").alias("session_id"), F.lit("k").alias("api_key"), F.array(F.lit("JWT")).alias("categories"),

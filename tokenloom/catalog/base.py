@@ -39,7 +39,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "turn",
             "role",
             """CASE
-    WHEN turn % 4 = 3 THEN 'ok thanks, 45 GB noted'
+    WHEN turn % 4 = 3 THEN 'ok thanks, 45 GB noted. ' || text
     WHEN turn % 4 = 0 THEN 'We must use Acme Cloud with 45 GB. The error rate limit is 15 and the region is EU. ' || text
     WHEN turn % 4 = 1 THEN 'Acme Cloud gives 45 GB in EU. The error rate limit of 15 was set. ' || text
     ELSE 'Raise the error rate limit to ' || CAST(20 + conv_id % 30 AS STRING) || ' please. ' || text
@@ -216,8 +216,8 @@ def density_sql(text: str) -> str:
     return f"least(1.0::DOUBLE, {hits}::DOUBLE / greatest({words} * 0.1::DOUBLE, 1.0::DOUBLE))"
 
 
-def key_sql(sentence: str, size: int) -> str:
-    return rf"left(regexp_replace(lower({sentence}), '[^\p{{L}}\p{{N}}_]+', '', 'g'), {size})"
+def key_sql(sentence: str) -> str:
+    return rf"regexp_replace(lower({sentence}), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
 
 def in_list(words: tuple[str, ...] | list[str]) -> str:

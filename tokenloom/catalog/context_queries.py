@@ -348,7 +348,7 @@ def _summary_sql(source: str, budget: int) -> str:
     """``summaries_v``: extractive summaries of ``source``."""
     return f"""{_said_sql(source)},
 rated AS (SELECT *, CASE WHEN role = 'user' THEN {intent_sql('sent')} ELSE {density_sql('sent')} * 4.0::DOUBLE END AS score,
-    {key_sql('sent', C.SUMMARY_KEY_CHARS)} AS key, {token_count_sql('sent')} AS tokens FROM said WHERE role <> 'system'),
+    {key_sql('sent')} AS key, {token_count_sql('sent')} AS tokens FROM said WHERE role <> 'system'),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY score DESC, turn, sent_no) AS nth
   FROM rated WHERE score > 0) WHERE nth = 1),
 line AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, sent_no) AS i FROM best),
@@ -401,7 +401,7 @@ def summary_rolling(spark, sf_dir):
 def _pins_sql(said: str) -> str:
     return f"""pins AS (SELECT conv_id, turn, CAST(sent_no AS INTEGER) AS sent_no, sent FROM
   (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, sent_no) AS nth FROM
-    (SELECT *, {key_sql('sent', C.PIN_KEY_CHARS)} AS key FROM {said} WHERE role IN ('user', 'system')
+    (SELECT *, {key_sql('sent')} AS key FROM {said} WHERE role IN ('user', 'system')
       AND {count_sql('sent', T.PERMANENT_PATTERN)} > 0)) WHERE nth = 1)"""
 
 

@@ -132,21 +132,22 @@ def stream_daily_quota(spark, sf_dir):
 
 @query(
     "stream_free_limit",
-    f"""{CALLS} SELECT call_id AS event_id,
-  row_number() OVER (PARTITION BY platform, date_trunc('month', ts) ORDER BY ts, call_id) <= 60 AS allowed
-FROM (SELECT *, {_SHIFTED} AS tier FROM calls_v) WHERE api_key IS NULL AND tier <> 'standard'""",
+    f"""{CALLS} SELECT call_id AS event_id, NOT counted OR
+  row_number() OVER (PARTITION BY counted, platform, date_trunc('month', ts) ORDER BY ts, call_id) <= 60 AS allowed
+FROM (SELECT *, api_key IS NULL AND {_SHIFTED} <> 'standard' AS counted FROM calls_v)""",
 )
 def stream_free_limit(spark, sf_dir):
     calls = stamped(stream_view(spark, sf_dir, "calls_v")).withColumn("tier", F.expr(_SHIFTED))
-    counted = calls.filter("api_key IS NULL AND tier <> 'standard'")
-    return drain(
-        S.stream_limits(counted.withColumnRenamed("call_id", "event_id"), "monthly", "platform", 60)
-    )
+    calls = calls.withColumnRenamed("call_id", "event_id")
+    limited = "api_key IS NULL AND tier <> 'standard'"
+    counted = drain(S.stream_limits(calls.filter(limited), "monthly", "platform", 60))
+    exempt = drain(calls.filter(f"NOT ({limited})").select("event_id", F.lit(True).alias("allowed")))
+    return counted.unionByName(exempt)
 
 
 @query("stream_seen_tools", SEEN_SQL)
 def stream_seen_tools(spark, sf_dir):
-    turns = stamped(open_stream(spark, sf_dir, "events").filter("event_type = 'signup'")).selectExpr(
+    turns = stamped(open_stream(spark, sf_dir, "events")).selectExpr(
         "'s' || CAST(user_id AS STRING) AS session_id",
         "event_id AS turn",
         "ts",

@@ -576,10 +576,7 @@ def _hits_sql(text: str) -> str:
         )
         for name, _, _, ignore, pattern in S.CATEGORIES
     )
-    return (
-        f"CASE WHEN len({text}) >= {S.MIN_CHARS} THEN list_filter([{cases}], lambda c: c IS NOT NULL) "
-        "ELSE [] END"
-    )
+    return f"list_filter([{cases}], lambda c: c IS NOT NULL)"
 
 
 _HIGH = in_list([name for name, level, *_ in S.CATEGORIES if level == "HIGH"])
@@ -647,7 +644,7 @@ def corpus_contract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").selectExpr(
         "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN repeat(text, 20) ELSE text END AS text"
     )
-    good, bad = readers.read_corpus(docs)
+    good, bad = readers.read_corpus(docs, max_chars=readers.MAX_TEXT_CHARS)
     rows = good.withColumn("reason", F.lit("ok")).select("reason").unionByName(bad.select("reason"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

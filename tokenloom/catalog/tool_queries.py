@@ -74,13 +74,13 @@ FROM (SELECT *, {tokens_sql(token_words_sql('dsl'))} AS compressed_tokens FROM t
 
 @query("tools_dsl", _dsl_sql("false"))
 def tools_dsl(spark, sf_dir):
-    good, _ = O.accept_catalogs(catalog(spark, sf_dir))
+    good = catalog(spark, sf_dir)
     return O.compile_tools(good)
 
 
 @query("tools_dsl_next_turn", _dsl_sql("pos % 4 = 0"))
 def tools_dsl_next_turn(spark, sf_dir):
-    good, _ = O.accept_catalogs(catalog(spark, sf_dir))
+    good = catalog(spark, sf_dir)
     seen = good.filter("pos % 4 = 0").selectExpr(
         "catalog_id", "'tool_' || CAST(pos AS STRING) AS name"
     )
@@ -104,7 +104,7 @@ def catalog_contract(spark, sf_dir):
 
 def tool_turns(spark, sf_dir):
     """Requests that name tools: a few of ten names per call, in order."""
-    return table(spark, sf_dir, "events").filter("event_type = 'signup'").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "'s' || CAST(user_id AS STRING) AS session_id",
         "event_id AS turn",
         "ts",
@@ -114,7 +114,7 @@ def tool_turns(spark, sf_dir):
 
 SEEN_SQL = """WITH turns AS (SELECT 's' || CAST(user_id AS STRING) AS session_id, event_id AS turn,
     unnest(range(0, event_id % 4 + 1)) AS pos, 'tool_' || ((event_id + 3 * unnest(range(0, event_id % 4 + 1))) % 10) AS tool
-  FROM events WHERE event_type = 'signup'),
+  FROM events),
 firsts AS (SELECT session_id, tool, min(turn) AS first FROM turns GROUP BY ALL)
 SELECT session_id, turn, coalesce(list(tool ORDER BY pos) FILTER (turn = first), []) AS new_tools,
   coalesce(list(tool ORDER BY pos) FILTER (turn > first), []) AS cached_tools

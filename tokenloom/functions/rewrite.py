@@ -2,8 +2,10 @@ r"""Apply an ordered list of substitution rules to a text column.
 
 The rules travel as one constant array and are folded over the text, so the plan stays one
 expression however long the list is. Before the fold each row drops the rules that cannot
-match: every word a pattern demands must occur in the text, or in the output of an earlier
-rule that itself may apply. Looking words up is far cheaper than scanning with every pattern.
+match: every word a pattern demands must occur somewhere in the text, also inside another word,
+which an earlier rule may take away, or in the output of an earlier rule that itself may apply. Where
+a rule may join what stands on its two sides, all rules are tried. A substring test is far cheaper
+than a scan with a pattern.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from tokenloom.functions.columns import let
 from tokenloom.functions.text import SPACE, unicode_pattern
 
 RULE_TYPE = (
-    "array<struct<pattern:string,replacement:string,"
-    "needs:array<struct<words:array<string>,parts:array<string>>>,glue:string>>"
+    "array<struct<pattern:string,replacement:string,needs:array<array<string>>,glue:string>>"
 )
 Rule = tuple[str, str]
 _BORDER, _UNSURE = "\x00", "\x01"
@@ -123,13 +124,12 @@ class RuleSet:
             glue = _glue_pattern(pattern, replacement)
             needs = []
             for words, parts in needed_words(pattern):
-                words, parts = set(words), set(parts)
+                wanted = words | parts
                 for earlier in made:
                     output = earlier["replacement"].lower()
-                    if any(w and w in output for w in words | parts):
-                        words.update(earlier["needs"][0]["words"])
-                        parts.update(earlier["needs"][0]["parts"])
-                needs.append({"words": sorted(words), "parts": sorted(parts)})
+                    if any(w and w in output for w in wanted):
+                        wanted |= set(earlier["needs"][0])
+                needs.append(sorted(wanted))
             made.append(
                 {
                     "pattern": self.pattern(pattern),
@@ -144,24 +144,12 @@ class RuleSet:
         return F.from_json(F.lit(json.dumps(self.entries(), ensure_ascii=False)), RULE_TYPE)
 
     def usable(self, text: Column) -> Column:
-        """The rules whose word occurs in ``text``."""
-        known = sorted({w for e in self.entries() for n in e["needs"] for w in n["words"]})
-        separators = "[^a-z0-9]+" if self.ascii else r"[^\p{L}\p{N}]+"
+        """The rules whose words occur in ``text``, alone or inside other words."""
 
         def select(low: Column) -> Column:
-            present = F.array_intersect(
-                F.split(low, separators), F.from_json(F.lit(json.dumps(known)), "array<string>")
-            )
-
-            def possible(rule: Column, hits: Column) -> Column:
-                return F.forall(
-                    rule["needs"],
-                    lambda n: F.arrays_overlap(n["words"], hits)
-                    | F.exists(n["parts"], lambda p: F.contains(low, p)),
-                )
-
-            return let(
-                present, lambda hits: F.filter(self.column(), lambda r: possible(r, hits))
+            return F.filter(
+                self.column(),
+                lambda r: F.forall(r["needs"], lambda n: F.exists(n, lambda w: F.contains(low, w))),
             )
 
         return let(F.lower(text), select)

@@ -143,9 +143,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def sentence_key(sentence: Column, size: int) -> Column:
-    """First ``size`` letters, digits and underscores: equal keys mark near-equal sentences."""
-    return F.substring(F.regexp_replace(F.lower(sentence), WORD_BREAK, ""), 1, size)
+def sentence_key(sentence: Column, size: int | None = None) -> Column:
+    """Its letters, digits and underscores, or the first ``size`` of them: equal keys mark
+    near-equal sentences."""
+    key = F.regexp_replace(F.lower(sentence), WORD_BREAK, "")
+    return key if size is None else F.substring(key, 1, size)
 
 
 def entities(text: Column) -> Column:

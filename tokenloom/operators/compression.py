@@ -272,17 +272,12 @@ def apply_pack(df: DataFrame, domain: str = "domain", text: str = "text") -> Dat
     return df.withColumn("compressed", apply_pack_column(F.col(text), F.col(domain)))
 
 
-MAX_RULES = 5_000
-
-
 def load_rules(rules_df: DataFrame) -> list[Rule]:
     """Read a user's rule list (``pos, pattern, replacement``) as literal whole-word rules.
 
-    A rule list is configuration; its size is checked before it reaches the driver.
+    A rule list is configuration and is read whole; its order is that of ``pos``.
     """
-    rows = rules_df.orderBy("pos").select("pattern", "replacement").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule list may hold {MAX_RULES} rules; apply longer lists in parts")
+    rows = rules_df.orderBy("pos").select("pattern", "replacement").collect()
     return [
         (rf"\b{escape_literal(r['pattern'])}\b", literal_replacement(r["replacement"])) for r in rows
     ]
@@ -294,23 +289,38 @@ def apply_rules(df: DataFrame, rules_df: DataFrame, text: str = "text") -> DataF
 
 
 def rule_hits(df: DataFrame, rules_df: DataFrame, text: str = "text") -> DataFrame:
-    """Matches of every rule in the original texts: rule, hits, texts with a hit."""
-    rules = RuleSet(load_rules(rules_df), ascii=True)
-    found = df.select(F.col(text).alias("_text"), F.explode(rules.usable(F.col(text))).alias("_rule"))
-    counted = found.select(
-        F.col("_rule.pattern").alias("_pattern"),
-        F.regexp_count(F.col("_text"), F.col("_rule.pattern")).alias("_n"),
-    )
-    totals = counted.groupBy("_pattern").agg(
-        F.sum("_n").alias("hits"),
-        F.count(F.when(F.col("_n") > 0, 1)).alias("texts"),
+    """Matches of every rule in the original texts: rule (its ``pos``), hits, texts with a hit.
+
+    Each rule is counted for itself, also one whose pattern another has. Counts are made inside a
+    row, so a text is never copied.
+    """
+    spec = RuleSet([], ascii=True)
+    rules = [
+        {
+            "rule": r["pos"],
+            "pattern": spec.pattern(rf"\b{escape_literal(r['pattern'])}\b"),
+            # Letters beyond ASCII have more forms than their lower case.
+            "low": r["pattern"].lower() if r["pattern"].isascii() else "",
+        }
+        for r in rules_df.select(F.col("pos").cast("long").alias("pos"), "pattern").collect()
+    ]
+    listed = F.from_json(
+        F.lit(json.dumps(rules, ensure_ascii=False)),
+        "array<struct<rule:bigint,pattern:string,low:string>>",
     )
-    names = [r["pattern"] for r in rules.entries()]
-    spark = df.sparkSession
-    listed = spark.createDataFrame(
-        [(i, n) for i, n in enumerate(names)], "rule long, _pattern string"
+
+    def counted(t: Column) -> Column:
+        near = let(F.lower(t), lambda low: F.filter(listed, lambda r: F.contains(low, r["low"])))
+        return F.transform(
+            near, lambda r: F.struct(r["rule"], F.regexp_count(t, r["pattern"]).alias("n"))
+        )
+
+    found = df.select(F.inline(let(F.col(text), counted))).filter("n > 0")
+    totals = found.groupBy("rule").agg(
+        F.sum("n").alias("hits"), F.count(F.lit(1)).alias("texts")
     )
-    return listed.join(totals, "_pattern", "left").select(
+    every = rules_df.select(F.col("pos").cast("long").alias("rule"))
+    return every.join(totals, "rule", "left").select(
         "rule",
         F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("texts"),

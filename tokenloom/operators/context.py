@@ -36,8 +36,6 @@ PHRASE_SYMBOL = "§H"
 PHRASE_TOP = 8
 PHRASE_MIN_COUNT = 3
 PHRASE_MIN_CHARS = 5
-SUMMARY_KEY_CHARS = 40
-PIN_KEY_CHARS = 60
 # --- end of fixed values ------------------------------------------------------------------------
 
 FOLD_TURNS = 256
@@ -252,15 +250,12 @@ def register_block(register: DataFrame) -> DataFrame:
     return _pairs_block(register, "rank", "symbol", "entity", "ENTITIES", "entity_register")
 
 
-# Symbols are written in private-use characters while entities are replaced, so that a later,
-# shorter entity cannot match inside one.
-_OPEN, _CLOSE = "\ue000", "\ue001"
-_DIGITS = "".join(chr(0xE010 + digit) for digit in range(10))
-RESERVED_PATTERN = r"[\x{e000}-\x{e01f}]"
-
-
 def _substitute(text: Column, entries: Column) -> Column:
-    """Replace ``entries`` (rank, entity) longest first; ties by rank."""
+    """Replace ``entries`` (rank, entity) longest first; ties by rank.
+
+    The text is an array of segments; a symbol is a segment of its own that is done, so a later,
+    shorter entity cannot match inside one, whatever characters the text has.
+    """
     ordered = F.array_sort(
         F.transform(
             entries,
@@ -272,13 +267,31 @@ def _substitute(text: Column, entries: Column) -> Column:
         )
     )
 
-    def replace(acc: Column, e: Column) -> Column:
-        number = F.translate(e["rank"].cast("string"), "0123456789", _DIGITS)
-        return F.replace(acc, e["entity"], F.concat(F.lit(_OPEN), number, F.lit(_CLOSE)))
+    def segment(done: bool, value: Column) -> Column:
+        return F.struct(F.lit(done).alias("done"), value.alias("text"))
+
+    def replace(segments: Column, e: Column) -> Column:
+        symbol = F.concat(F.lit(ENTITY_SYMBOL), e["rank"].cast("string"))
+        quoted = F.concat(F.lit("\\Q"), F.replace(e["entity"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
-    done = F.aggregate(ordered, text, replace)
-    shown = F.replace(F.replace(done, F.lit(_OPEN), F.lit(ENTITY_SYMBOL)), F.lit(_CLOSE), F.lit(""))
-    return F.translate(shown, _DIGITS, "0123456789")
+        def cut(s: Column) -> Column:
+            between = F.transform(
+                F.split(s["text"], quoted, -1),
+                lambda part, i: F.when(i == 0, F.array(segment(False, part))).otherwise(
+                    F.array(segment(True, symbol), segment(False, part))
+                ),
+            )
+            whole = s["done"] | ~F.contains(s["text"], e["entity"])
+            return F.when(whole, F.array(s)).otherwise(F.flatten(between))
+
+        return F.flatten(F.transform(segments, cut))
+
+    return F.aggregate(
+        ordered,
+        F.array(segment(False, text)),
+        replace,
+        lambda done: F.array_join(F.transform(done, lambda s: s["text"]), ""),
+    )
 
 
 def apply_register(
@@ -590,17 +603,21 @@ def scored_sentences(conv: DataFrame) -> DataFrame:
 
 
 def summarize(
-    conv: DataFrame, prior: DataFrame | None = None, budget: int = SUMMARY_BUDGET
+    conv: DataFrame,
+    prior: DataFrame | None = None,
+    budget: int = SUMMARY_BUDGET,
+    key_chars: int | None = None,
 ) -> DataFrame:
     """Extractive summary per conversation, merged with a prior one (conv_id, summary).
 
-    Near-equal sentences count once, with their best score. Then sentences are taken by score
+    Sentences that agree in their letters (or the first ``key_chars``) count once, with their
+    best score. Then sentences are taken by score
     while they fit; the first user sentence stands in when none does.
     """
     rank_key = F.struct((-F.col("score")).alias("loss"), "turn", "sent_no")
     distinct = (
         scored_sentences(conv)
-        .withColumn("_key", T.sentence_key(F.col("sent"), SUMMARY_KEY_CHARS))
+        .withColumn("_key", T.sentence_key(F.col("sent"), key_chars))
         .groupBy("conv_id", "_key")
         .agg(F.min(F.struct(rank_key.alias("at"), F.col("sent"))).alias("_s"))
         .select("conv_id", "_s.at", "_s.sent")
@@ -703,14 +720,15 @@ def word_set_ops(conv: DataFrame, queries: DataFrame) -> DataFrame:
 # --- constraints ------------------------------------------------------------------------------
 
 
-def pinned_sentences(conv: DataFrame) -> DataFrame:
-    """Permanent rules said by user or system, near-equal ones once, where first said."""
+def pinned_sentences(conv: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """Permanent rules said by user or system, where first said; those that agree in their letters
+    (or the first ``key_chars``) once."""
     rows = conv.filter(F.col("role").isin("user", "system")).select(
         "conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sent")
     )
     return (
         rows.filter(T.is_permanent(F.col("sent")))
-        .groupBy("conv_id", T.sentence_key(F.col("sent"), PIN_KEY_CHARS).alias("_key"))
+        .groupBy("conv_id", T.sentence_key(F.col("sent"), key_chars).alias("_key"))
         .agg(F.min(F.struct("turn", "sent_no", "sent")).alias("_s"))
         .select("conv_id", "_s.*")
     )

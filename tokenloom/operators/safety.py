@@ -77,7 +77,6 @@ CATEGORIES = [
         r"\[\s*\{[^{}]{20,}+\}(?:\s*,\s*\{[^{}]{20,}+\}){9,}+\s*\]",
     ),
 ]
-MIN_CHARS = 20
 # --- end of fixed values ---------------------------------------------------------------------------
 
 
@@ -96,8 +95,7 @@ def hits_column(text: Column) -> Column:
                 tests.append(F.when(found, hit))
             return F.filter(F.array(*tests), lambda h: h.isNotNull())
 
-        nothing = F.array().cast("array<struct<category:string,risk_level:string>>")
-        return F.when(F.length(t) >= MIN_CHARS, let(F.lower(t), test)).otherwise(nothing)
+        return let(F.lower(t), test)
 
     return let(text, scan)
 
@@ -129,7 +127,6 @@ def key_hint(key: Column) -> Column:
 
 
 EVENT_LIMIT = 100
-EVENT_LIMIT_MAX = 500
 
 
 def account_events(events: DataFrame, keys: DataFrame, caller_key: str) -> DataFrame:
@@ -146,9 +143,13 @@ def account_events(events: DataFrame, keys: DataFrame, caller_key: str) -> DataF
 
 
 def latest_events(events: DataFrame, limit: int = EVENT_LIMIT, order: str = "ts") -> DataFrame:
-    """Newest events first, at most 500, keys shown as hints."""
-    newest = events.orderBy(F.desc(order), *[F.asc(c) for c in ("session_id",)])
-    return newest.limit(min(limit, EVENT_LIMIT_MAX)).select(
+    """The ``limit`` newest events, newest first, keys shown as hints.
+
+    Events of the same time are ordered by session, key and categories, so that the cut is the same
+    each time.
+    """
+    newest = events.orderBy(F.desc(order), "session_id", "api_key", "categories", "risk_level")
+    return newest.limit(limit).select(
         "session_id",
         key_hint(F.col("api_key")).alias("api_key_hint"),
         order,

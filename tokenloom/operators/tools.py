@@ -116,7 +116,7 @@ def _param_column(entry: Column, required: Column) -> Column:
             obvious_column(entry["key"], kind).alias("elide_type"),
             F.when(has_default, _literal_column(default)).alias("default"),
             (has_default & empty).alias("default_empty"),
-            F.when(F.size(p["f"]["enum"]) > 0, F.slice(p["f"]["enum"], 1, MAX_ENUM)).alias("enum"),
+            F.when(F.size(p["f"]["enum"]) > 0, p["f"]["enum"]).alias("enum"),
         )
 
     return let(fields, build)
@@ -202,7 +202,7 @@ def param_registry(
 
 
 def _rendered(p: Column) -> Column:
-    choices = F.array_join(p["enum"], "|")
+    choices = F.array_join(F.slice(p["enum"], 1, MAX_ENUM), "|")
     with_default = F.concat(F.lit("="), p["default"])
     kind = F.concat(p["name"], F.lit(": "), p["type"])
     listed = F.concat(p["name"], F.lit(": "), choices)
@@ -282,10 +282,12 @@ def tool_lines(tools: DataFrame, registry: DataFrame, seen: DataFrame | None = N
     )
 
 
-def accept_catalogs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Catalogues within the size contract, and the tools of larger ones with the reason."""
+def accept_catalogs(
+    df: DataFrame, max_tools: int = MAX_TOOLS
+) -> tuple[DataFrame, DataFrame]:
+    """Catalogues of at most ``max_tools``, and the tools of larger ones with the reason."""
     large = (
-        df.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MAX_TOOLS)
+        df.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_tools)
     ).drop("_n")
     rejected = df.join(large, "catalog_id", "left_semi")
     return (
@@ -299,7 +301,7 @@ def compile_tools(
 ) -> DataFrame:
     """Compile catalogues of ``catalog_id, pos, tool_json`` to signature text with token counts.
 
-    Use ``accept_catalogs`` first: the text of one catalogue is one value.
+    The text of one catalogue is one value; ``accept_catalogs`` can set large ones aside first.
     """
     size = df.groupBy("catalog_id").agg(F.sum(T.token_words(F.col("tool_json"))).alias("_json"))
     tools = cut_lineage(normalise_tools(df))

@@ -32,7 +32,9 @@ def build_session(app: str = "tokenloom", master: str | None = None, **extra: st
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session built elsewhere."""
+    """Apply the settings that a session built elsewhere leaves open."""
+    given = spark._jsparkSession.sessionState().conf()
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if not given.contains(key):
+            spark.conf.set(key, value)
     return spark

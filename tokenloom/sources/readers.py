@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.operators.context import RESERVED_PATTERN
-
 # --- fixed values -----------------------------------------------------------------------------
 ROLES = ("user", "assistant", "system")
 MODES = ("lossless", "aggressive")
@@ -21,13 +19,12 @@ def partition_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataF
 
 
 def read_conversations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages need an id, a role of three and a text free of the reserved characters."""
+    """Messages need an id, a role of three and a text."""
     reason = (
         F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), "missing_position")
         .when(F.col("role").isNull(), "missing_role")
         .when(~F.col("role").isin(*ROLES), "unknown_role")
         .when(F.col("text").isNull(), "missing_text")
-        .when(F.col("text").rlike(RESERVED_PATTERN), "reserved_characters")
     )
     return partition_by_reason(df, reason)
 
@@ -61,11 +58,16 @@ def request_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.array_join(texts, "\n"))
 
 
-def read_corpus(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts up to the size limit; longer ones are rejected whole, never cut."""
-    reason = F.when(F.col(text).isNull(), "missing_text").when(
-        F.length(text) > MAX_TEXT_CHARS, "text_too_long"
-    )
+def read_corpus(
+    df: DataFrame, text: str = "text", max_chars: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Texts, up to ``max_chars`` if given; longer ones are rejected whole, never cut.
+
+    A service's contract has ``MAX_TEXT_CHARS``.
+    """
+    reason = F.when(F.col(text).isNull(), "missing_text")
+    if max_chars is not None:
+        reason = reason.when(F.length(text) > max_chars, "text_too_long")
     return partition_by_reason(df, reason)
 
 

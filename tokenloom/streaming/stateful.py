@@ -202,7 +202,7 @@ def stream_summary(
         value = F.when(F.col("role") == "user", T.intent_score(s)).otherwise(T.fact_density(s) * 4.0)
         return F.struct(
             value.alias("score"),
-            T.sentence_key(s, C.SUMMARY_KEY_CHARS).alias("key"),
+            T.sentence_key(s).alias("key"),
             T.token_count(s).alias("tokens"),
             s.alias("sent"),
         )
@@ -259,7 +259,8 @@ def stream_limits(
     """Accept or refuse each event (``event_id, <key>, ts``).
 
     ``kind`` is ``monthly`` or ``daily`` (calendar periods, UTC) or ``sliding``. Refused events
-    do not count.
+    do not count. Every period of a key has a count of its own, so a late event counts in its own
+    period and leaves the others as they are.
     """
     periods = {"monthly": "yyyy-MM", "daily": "yyyy-MM-dd", "sliding": None}
     if kind not in periods:
@@ -267,7 +268,7 @@ def stream_limits(
     span = minutes * 60 * 1_000_000
 
     def handle(state: tuple, rows: pd.DataFrame):
-        newest, period, used, recent = state[0], state[1], state[2], list(state[3])
+        newest, used, recent = state[0], state[1], list(state[2])
         allowed = []
         for event in rows.itertuples(index=False):
             newest = max(newest, event.us)
@@ -277,24 +278,23 @@ def stream_limits(
                 if ok:
                     recent.append(int(event.us))
             else:
-                if event.period != period:
-                    period, used = event.period, 0
                 ok = used < limit
                 used += ok
             allowed.append(ok)
         out = rows[["event_id"]].assign(allowed=allowed)
-        return (int(newest), period, int(used), recent), out
+        return (int(newest), int(used), recent), out
 
     pattern = periods[kind]
     period = F.date_format("ts", pattern) if pattern else F.lit("")
-    slim = events.select("event_id", key, "ts", _micros().alias("us"), period.alias("period"))
+    slot = F.to_json(F.struct(F.col(key).alias("key"), period.alias("period")))
+    slim = events.select("event_id", slot.alias("slot"), "ts", _micros().alias("us"))
     return _by_key(
         slim,
-        key,
+        "slot",
         ["us", "event_id"],
         "event_id long, allowed boolean",
-        "newest long, period string, used long, recent array<long>",
-        (0, "", 0, []),
+        "newest long, used long, recent array<long>",
+        (0, 0, []),
         handle,
         forget_after_days * DAY_MS,
         lateness,
