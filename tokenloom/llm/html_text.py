@@ -123,7 +123,7 @@ class Page:
             self.close_to({"p"}, frozenset({"table", "button", "td", "th", "li"}) | NEVER)
         if name in ENDS:
             self.close_to(ENDS[name], KEEPS_OPEN.get(name, AROUND_TABLE))
-            if name == "tr":
+            if name in ("tr", "tbody"):  # the cell is closed, now the row around it
                 self.close_to({"tr"}, AROUND_TABLE)
         parent = self.stack[-1]
         if name in VOID:
