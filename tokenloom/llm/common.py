@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.plans.groups import checkpoint_folder
@@ -56,7 +57,7 @@ def map_runs(
 def cut_batch(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``RUN_CHARS`` bytes of text, one row at least."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > RUN_CHARS:
             yield batch.slice(start, i - start)

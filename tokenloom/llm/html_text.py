@@ -38,6 +38,8 @@ ENDS = {
 }
 KEEPS_OPEN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}}
 AROUND_TABLE = frozenset({"table"})
+# Lists and tables pass points on to what holds them.
+ROWS = frozenset("ul ol dl table thead tbody tfoot tr".split())
 DROP = frozenset(
     "nav header footer aside form script style noscript iframe svg button select textarea template dialog title head "
     "menu object canvas audio video fieldset input map".split()
@@ -186,8 +188,10 @@ class Page:
                 score[block] += points
             node, level = self.parent[block], 0
             while node > 0 and level < 4:
-                score[node] += points / (1, 2, 6, 9)[level]
-                node, level = self.parent[node], level + 1
+                if self.tag[node] not in ROWS:
+                    score[node] += points / (1, 2, 6, 9)[level]
+                    level += 1
+                node = self.parent[node]
         for node in range(n - 1, 0, -1):  # children come after their parents
             size[self.parent[node]] += size[node]
             linked[self.parent[node]] += linked[node]
