@@ -2,16 +2,15 @@
 
 Terms are words and their first four and five letters. The vocabulary has the terms that go with a
 label in the training sample (a G-test); a document's vector is its TF-IDF over them. An inverted
-index holds the examples' vectors in blocks of consecutive examples, with each term's largest weight
-per block. A text's neighbours are found exactly: blocks are gone through by their upper bound until
-no block can hold a nearer one. Neighbours vote with their squared cosine, smoothed by the share of
+index holds each term's weights in the examples, in blocks of consecutive examples, and its largest
+weight per block. A text's neighbours are found exactly: the blocks with the largest upper bounds are
+gone through first, then those that can still hold a nearer example; the others are left out. Neighbours vote with their squared cosine, smoothed by the share of
 toxic examples; they and the shared terms are the evidence. A text without any such term is as toxic
 as the examples without one are.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,14 +26,17 @@ from tokenloom.llm.words import Words
 
 PARTS, HELD = 5, 0
 # Most labelled documents, and most terms, that the index is built from.
-LABELLED, TERMS = 20_000, 5_000
+LABELLED, TERMS = 20_000, 1_000
 THRESHOLD = 0.5
 NEIGHBOURS = 15
 # Weight of the base rate among the votes.
 SMOOTHING = 0.5
-# Least G statistic of a term: about one chance in 100,000.
-LEAST_G = 20.0
+# Least G statistic of a term: about one chance in 100,000. And how many times as often the label
+# has to be with the term as without, or the other way round.
+LEAST_G, LEAST_LIFT = 20.0, 2.0
 BLOCK = 64
+# Blocks with the largest bounds, which are gone through first.
+FIRST = 8
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
@@ -88,7 +90,7 @@ class Index:
     empty: float
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,43 +100,26 @@ class Index:
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> None:
         self.y, self.ids = y, ids
         blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(self.terms), blocks))
-        held = defaultdict(lambda: ([], []))
+        rows = np.zeros((len(self.terms), blocks * BLOCK))
         for e, (terms, counts) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), self.weights(terms, counts).tolist(), strict=True):
-                held[t][0].append(e)
-                held[t][1].append(w)
-        for t in range(len(self.terms)):
-            examples, w = (np.array(x) for x in held[t]) if t in held else (np.zeros(0, dtype=np.int64), np.zeros(0))
-            examples = examples.astype(np.int64)
-            np.maximum.at(self.most[t], examples // BLOCK, w)
-            # Where each block's entries begin in the term's list.
-            self.lists.append((examples, w, np.searchsorted(examples // BLOCK, np.arange(blocks + 1))))
+            rows[terms, e] = self.weights(terms, counts)
+        self.rows = rows.reshape(len(self.terms), blocks, BLOCK)
+        self.most = self.rows.max(axis=2)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosine (ties: the earlier example), and the cosines."""
         q = self.weights(terms, counts)
         bound = q @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, kth, at = np.zeros(0, dtype=np.int64), np.zeros(0), -1.0, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-9:
-            some = order[at : at + 8]
-            at += len(some)
-            for b in some:
-                sums = np.zeros(BLOCK)
-                for t, w in zip(terms, q, strict=True):
-                    examples, weight, begin = self.lists[t]
-                    s = slice(begin[b], begin[b + 1])
-                    sums[examples[s] - b * BLOCK] += w * weight[s]
-                hit = np.flatnonzero(sums > 0)
-                found = np.concatenate([found, hit + b * BLOCK])
-                cosines = np.concatenate([cosines, sums[hit]])
-            if len(found) > k:
-                best = np.lexsort((found, -np.round(cosines, 9)))[:k]
-                found, cosines = found[best], cosines[best]
-            if len(found) == k:
-                kth = cosines.min()
-        best = np.lexsort((found, -np.round(cosines, 9)))
+        blocks = np.flatnonzero(bound > 0)
+        if len(blocks) > FIRST:
+            first = blocks[np.argpartition(-bound[blocks], FIRST)[:FIRST]]
+            cosines = np.tensordot(q, self.rows[np.ix_(terms, first)], axes=1).ravel()
+            kth = np.partition(cosines, -k)[-k]
+            blocks = blocks[bound[blocks] >= kth - 1e-9]
+        cosines = np.tensordot(q, self.rows[np.ix_(terms, blocks)], axes=1)
+        at, inside = np.nonzero(cosines > 0)
+        found, cosines = blocks[at] * BLOCK + inside, cosines[at, inside]
+        best = np.lexsort((found, -np.round(cosines, 9)))[:k]
         return found[best], cosines[best]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -186,7 +171,10 @@ def vocabulary(sample: DataFrame) -> dict[str, int]:
     g = F.lit(0.0)
     for y, column in ((1, "n1"), (0, "n0")):
         g = g + part(F.col(column), with_term, F.lit(n[y])) + part(n[y] - F.col(column), total - with_term, F.lit(n[y]))
-    best = counted.withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS)
+    # A term that all have tells nothing: its second share is null.
+    share = (F.col("n1") / with_term, F.try_divide(n[1] - F.col("n1"), total - with_term))
+    lift = (share[0] >= LEAST_LIFT * share[1]) | (share[1] >= LEAST_LIFT * share[0])
+    best = counted.withColumn("g", g).filter((F.col("g") >= LEAST_G) & lift).orderBy(F.desc("g"), "term").limit(TERMS)
     return {r["term"]: i for i, r in enumerate(best.select("term").collect())}
 
 
