@@ -269,3 +269,21 @@ def test_symbols_in_texts_with_private_use_characters(spark, chat):
     rows = C.apply_register(conv, register).orderBy("turn").collect()
     assert rows[0]["text"] == "§E1 has §E2  and §E1 §E2 §E4 \\Q."
     assert rows[1]["text"] == "§E1 gives §E2 and 4"
+
+
+def test_long_conversations_take_the_same_jobs(spark):
+    """A chain in which each message shares words with the next, and one of 100,000 messages."""
+    n = 100_000
+    chain = spark.range(n).selectExpr(
+        "1L AS conv_id",
+        "id AS turn",
+        "'user' AS role",
+        "array_join(transform(sequence(id * 3, id * 3 + 5), x -> concat('w', x, 'x')), ' ') AS text",
+    )
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = {r["turn"] for r in C.mark_novel(chain).filter("kept").select("turn").collect()}
+    assert len(jobs.getJobIdsForGroup("chain")) < 15
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Six new words are news; of the next message three are known, which is too few to tell.
+    assert kept == set(range(0, n, 2))

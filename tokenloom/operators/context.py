@@ -18,6 +18,7 @@ from tokenloom.plans.groups import (
     numbered,
     running_total,
     split_hot,
+    walk_in_order,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -140,64 +141,21 @@ def _novelty_fold(conv: DataFrame) -> DataFrame:
     ).select(*columns, "kept")
 
 
-def _novelty_fixed_point(conv: DataFrame) -> DataFrame:
-    """The same decisions without an order-bound pass.
+def _novelty_walk(conv: DataFrame) -> DataFrame:
+    """The same pass over conversations of any length: messages stream through in order."""
 
-    Knowing more can only drop more. So a message that is new even against every message not
-    yet dropped is kept for sure, and one that is not new against the surely kept ones is
-    dropped for sure. Each round decides at least the earliest open message of every
-    conversation, usually nearly all; every step is an aggregation by (conversation, token).
-    """
-    tokens = cut_lineage(
-        conv.select(
-            "conv_id",
-            "turn",
-            F.explode(
-                F.concat(
-                    F.transform("_ents", lambda t: F.struct(t.alias("token"), F.lit(True).alias("e"))),
-                    F.transform(
-                        "_words", lambda t: F.struct(t.alias("token"), F.lit(False).alias("e"))
-                    ),
-                )
-            ).alias("_t"),
-        ).select("conv_id", "turn", "_t.token", F.col("_t.e").alias("is_entity"))
-    )
-    state = cut_lineage(
-        conv.select(
-            "conv_id",
-            "turn",
-            F.when(F.col("role") == "system", "kept").otherwise("open").alias("status"),
-        )
-    )
-    while not state.filter("status = 'open'").isEmpty():
-        placed = tokens.join(state, ["conv_id", "turn"])
-        firsts = placed.groupBy("conv_id", "token").agg(
-            F.min(F.when(F.col("status") != "dropped", F.col("turn"))).alias("first_possible"),
-            F.min(F.when(F.col("status") == "kept", F.col("turn"))).alias("first_kept"),
-        )
-        judged = placed.filter("status = 'open'").join(firsts, ["conv_id", "token"])
-        surely_new = F.col("first_possible") >= F.col("turn")
-        maybe_new = F.col("first_kept").isNull() | (F.col("first_kept") >= F.col("turn"))
+    def step(known: set, message: tuple) -> tuple:
+        conv_id, turn, role, entities, words = message
+        entities, words = set(entities or ()), set(words or ())
+        keep = role == "system" or bool(entities - known) or len(words - known) > MIN_NEW_WORDS
+        if keep:
+            known |= entities | words
+        return conv_id, turn, keep
 
-        def verdict(new: Column) -> Column:
-            entities = F.max((F.col("is_entity") & new).cast("int")) > 0
-            return entities | (F.sum((~F.col("is_entity") & new).cast("int")) > MIN_NEW_WORDS)
-
-        verdicts = judged.groupBy("conv_id", "turn").agg(
-            verdict(surely_new).alias("_surely"), verdict(maybe_new).alias("_maybe")
-        )
-        decided = (
-            F.when(F.col("status") != "open", F.col("status"))
-            .when(F.col("_surely"), "kept")
-            .when(F.coalesce("_maybe", F.lit(False)), "open")
-            .otherwise("dropped")
-        )
-        state = cut_lineage(
-            state.join(verdicts, ["conv_id", "turn"], "left").select(
-                "conv_id", "turn", decided.alias("status")
-            )
-        )
-    marks = state.select("conv_id", "turn", (F.col("status") == "kept").alias("kept"))
+    slim = conv.select("conv_id", "turn", "role", "_ents", "_words")
+    kinds = {c: conv.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, kept boolean"
+    marks = walk_in_order(slim, "conv_id", ["turn"], schema, set, step)
     return conv.drop("_ents", "_words").join(marks, ["conv_id", "turn"])
 
 
@@ -207,7 +165,7 @@ def mark_novel(conv: DataFrame, limit: int = FOLD_TURNS) -> DataFrame:
     done = _novelty_fold(_novelty_sets(usual))
     if hot is None:
         return done
-    return done.unionByName(_novelty_fixed_point(_novelty_sets(hot)))
+    return done.unionByName(_novelty_walk(_novelty_sets(hot)))
 
 
 def delta_prune(conv: DataFrame, limit: int = FOLD_TURNS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,10 @@ from tokenloom.operators.safety import key_hint
 from tokenloom.plans.groups import (
     HOT_ROWS,
     blocks_before,
-    cut_lineage,
     numbered,
     ordered_blocks,
     split_hot,
-    store_by,
+    walk_in_order,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -299,13 +300,13 @@ def sliding_limit(
     events: DataFrame,
     limit: int = CHAT_LIMIT,
     minutes: int = CHAT_MINUTES,
-    hot: int = 20_000,
+    hot: int = 1_000,
 ) -> DataFrame:
     """At most ``limit`` accepted events per session in the last ``minutes``.
 
     Refused events are not logged, so each decision needs the earlier ones. Sessions up to
-    ``hot`` events fold in one array. Longer ones are cut in blocks along time; the blocks of
-    all such sessions advance together, handing on at most ``limit`` accepted times.
+    ``hot`` events fold in one array; the events of longer ones stream through in order, with at
+    most ``limit`` accepted times at hand.
     """
     span = minutes * 60 * 1_000_000
     slim = events.select(
@@ -326,29 +327,20 @@ def sliding_limit(
         F.explode(_accepted(F.col("_a"), begin(empty), limit, span)["ids"]).alias("event_id")
     )
     if long_ones is not None:
-        order = ["us", "event_id"]
-        placed = numbered(long_ones, ["session_id"], order, "_nth", None, hot)
-        # One directory per step: each round reads its own step only.
-        steps = store_by(
-            placed.withColumn("_step", F.floor((F.col("_nth") - 1) / hot).cast("int")), "_step"
+
+        def judge(recent: deque, event: tuple) -> tuple:
+            event_id, _, us = event
+            while recent and recent[0] <= us - span:
+                recent.popleft()
+            ok = len(recent) < limit
+            if ok:
+                recent.append(us)
+            return event_id, ok
+
+        judged = walk_in_order(
+            long_ones.select("event_id", "session_id", "us"), "session_id", ["us", "event_id"], f"event_id {id_type}, ok boolean", deque, judge
         )
-        state = None
-        for i in range(steps.agg(F.max("_step")).first()[0] + 1):
-            part = steps.filter(F.col("_step") == i).groupBy("session_id").agg(
-                F.array_sort(F.collect_list(attempt)).alias("_a")
-            )
-            if state is None:
-                part = part.withColumn("_recent", empty)
-            else:
-                part = part.join(state, "session_id")
-            done = cut_lineage(
-                part.select(
-                    "session_id",
-                    _accepted(F.col("_a"), begin(F.col("_recent")), limit, span).alias("_s"),
-                )
-            )
-            state = done.select("session_id", F.col("_s.recent").alias("_recent"))
-            accepted = accepted.unionByName(done.select(F.explode("_s.ids").alias("event_id")))
+        accepted = accepted.unionByName(judged.filter("ok").select("event_id"))
     marks = accepted.withColumn("_ok", F.lit(True))
     return events.select("event_id").join(marks, "event_id", "left").select(
         "event_id", F.coalesce("_ok", F.lit(False)).alias("allowed")

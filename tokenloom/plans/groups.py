@@ -9,11 +9,12 @@ from one summary row per key and range block.
 from __future__ import annotations
 
 import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HOT_ROWS = 200_000
 
@@ -40,13 +41,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store_by(df: DataFrame, column: str) -> DataFrame:
-    """Write ``df`` to the shared folder, one directory per value of ``column``, and read it."""
-    folder = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") > limit).drop("_n")
@@ -129,3 +123,38 @@ def numbered(
 ) -> DataFrame:
     """Number the rows of each key 1..n along ``order``, with the group size if asked."""
     return running_total(df, keys, order, F.lit(1).cast("long"), out, total, limit)
+
+
+def walk_in_order(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    schema: str,
+    begin: Callable[[], object],
+    step: Callable[[object, tuple], tuple],
+) -> DataFrame:
+    """Pass the rows of each key in order through ``step(state, row)``; its tuples are the result.
+
+    For decisions that need the ones before them. Rows stream through the task in batches, so a key
+    of any length takes the memory of its state only, and one job. ``row`` has the columns of ``df``.
+    """
+    at = df.columns.index(key)
+    placed = df.repartition(key).sortWithinPartitions(key, *order)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or row[at] != current:
+                    current, state = row[at], begin()
+                made.append(step(state, row))
+            columns = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
+            )
+
+    spark = df.sparkSession
+    target = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    types, names = target.types, target.names
+    return placed.mapInArrow(walk, schema)
