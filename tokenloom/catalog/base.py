@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.plans.groups import checkpoint_folder
 from tokenloom.session import prepare
 from tokenloom.sources.readers import spread
 
@@ -136,6 +138,11 @@ def view_sql(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, for what a query writes and reads back."""
+    return f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

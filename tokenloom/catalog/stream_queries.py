@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.catalog.base import VIEWS, query, view_sql
+from tokenloom.catalog.base import VIEWS, query, run_folder, view_sql
 from tokenloom.catalog.context_queries import CHAT, NOVELTY_SQL, _summary_query
 from tokenloom.catalog.text_queries import _EVENTS
 from tokenloom.catalog.tool_queries import SEEN_SQL
@@ -22,7 +21,6 @@ from tokenloom.catalog.usage_queries import (
     TTL,
 )
 from tokenloom.operators import context as C
-from tokenloom.plans.groups import checkpoint_folder
 from tokenloom.sources import sinks
 from tokenloom.streaming import stateful as S
 
@@ -38,10 +36,6 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return open_stream(spark, sf_dir, source).selectExpr(*columns)
 
 
-def run_folder(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame) -> DataFrame:
     """Run an append stream over all available input and read what it wrote."""
     spark = stream.sparkSession

@@ -14,6 +14,7 @@ from tokenloom.catalog.base import (
     key_sql,
     query,
     quoted,
+    run_folder,
     sentences_sql,
     space_words_sql,
     strip_sql,
@@ -30,7 +31,7 @@ from tokenloom.functions.rules import basic, packs, pro, standard, vocabulary
 from tokenloom.operators import compression as C
 from tokenloom.operators import routing as R
 from tokenloom.operators import safety as S
-from tokenloom.sources import readers
+from tokenloom.sources import readers, sinks
 
 # --- measures -----------------------------------------------------------------------------------
 
@@ -691,3 +692,36 @@ def request_text(spark, sf_dir):
         ).alias("messages"),
     )
     return readers.request_text(bodies).select("conv_id", "turn", "text")
+
+
+@query(
+    "request_scan",
+    f"""{view_sql('secrets_v')}, {_EVENTS} SELECT session_id, api_key, categories, risk_level, count(*) AS n
+FROM events_v GROUP BY ALL""",
+)
+def request_scan(spark, sf_dir):
+    """A proxy's path: request body, its text, the scan, the event logged and read back."""
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    messages = F.array(F.struct(F.lit("user").alias("role"), blocks.alias("content")))
+    bodies = view(spark, sf_dir, "secrets_v").select("session_id", "api_key", messages.alias("messages"))
+    scanned = S.sensitive_events(readers.request_text(bodies).drop("messages"))
+    folder = run_folder(spark)
+    logged = scanned.withColumn("created_at", F.to_timestamp(F.lit("2024-01-01")))
+    sinks.append_events(logged, "sensitive_events", folder)
+    back = sinks.read_events(spark, "sensitive_events", folder)
+    return back.groupBy("session_id", "api_key", "categories", "risk_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "decode_symbols",
+    """SELECT doc_id, text FROM documents""",
+)
+def decode_symbols(spark, sf_dir):
+    """Texts with words replaced by symbols, one of them the beginning of another, put back."""
+    pairs = [("§E1", "the"), ("§E12", "and"), ("§E3", "de")]
+    symbols = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(o).alias("original")) for s, o in pairs])
+    encoded = F.col("text")
+    for symbol, original in pairs:
+        encoded = F.regexp_replace(encoded, rf"\b{original}\b(?!\d)", symbol)
+    docs = table(spark, sf_dir, "documents").select("doc_id", encoded.alias("text"))
+    return docs.select("doc_id", C.decode_column(F.col("text"), symbols).alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenloom.catalog.base import query, table, view, view_sql
+from tokenloom.catalog.base import query, run_folder, table, view, view_sql
 from tokenloom.operators import usage as U
 from tokenloom.sources import sinks
 
@@ -369,3 +369,55 @@ def feedback_contract(spark, sf_dir):
     good, bad = sinks.check_feedback(events)
     rows = good.withColumn("reason", F.lit("ok")).select("reason").unionByName(bad.select("reason"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "event_append",
+    f"""{CALLS} SELECT api_key, original_tokens, compressed_tokens,
+  CAST(floor(100 * (original_tokens - compressed_tokens) / original_tokens) AS BIGINT) AS pct_saved, mode, platform,
+  epoch_us(ts) AS us, CAST(ts AS DATE) AS day FROM calls_v""",
+)
+def event_append(spark, sf_dir):
+    """Calls appended to the event table in two parts, read back with their days."""
+    rows = calls(spark, sf_dir).withColumn(
+        "pct_saved", F.floor(100 * (F.col("original_tokens") - F.col("compressed_tokens")) / F.col("original_tokens"))
+    )
+    folder = run_folder(spark)
+    for half in (0, 1):
+        sinks.append_events(rows.filter(F.col("call_id") % 2 == half), "compression_events", folder, "ts")
+    back = sinks.read_events(spark, "compression_events", folder)
+    return back.withColumn("us", F.unix_micros("created_at")).drop("created_at")
+
+
+@query(
+    "feedback_append",
+    """SELECT original, rating, count(*) AS n FROM (SELECT event_type AS original, CAST(event_id % 8 AS INTEGER) AS rating
+  FROM events WHERE props IS NOT NULL AND event_id % 8 BETWEEN 1 AND 5) GROUP BY ALL""",
+)
+def feedback_append(spark, sf_dir):
+    """Valid feedback appended and read back; the rest is set aside."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_type AS original", "props AS compressed", "event_id % 8 AS rating", "'' AS comment", "ts AS created_at"
+    )
+    folder = run_folder(spark)
+    sinks.append_feedback(rows, folder)
+    back = sinks.read_events(spark, "feedback", folder)
+    return back.groupBy("original", "rating").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "subscription_status",
+    """SELECT user_id, CASE WHEN status IN ('canceled', 'unpaid', 'past_due') THEN 'canceled' ELSE 'active' END AS status
+FROM (SELECT user_id, arg_max(CASE event_id % 5 WHEN 0 THEN 'canceled' WHEN 1 THEN 'unpaid' WHEN 2 THEN 'past_due'
+  WHEN 3 THEN 'active' ELSE 'trialing' END, (ts, event_id)) AS status FROM events GROUP BY user_id)""",
+)
+def subscription_status(spark, sf_dir):
+    """Each account's status after its last billing event."""
+    billing = table(spark, sf_dir, "events").selectExpr(
+        "user_id",
+        "ts",
+        "event_id",
+        "element_at(array('canceled', 'unpaid', 'past_due', 'active', 'trialing'), CAST(event_id % 5 AS INT) + 1) AS event",
+    )
+    last = sinks.latest_by_key(billing, ["user_id"], ["ts", "event_id"])
+    return last.select("user_id", sinks.subscription_status(F.col("event")).alias("status"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,32 +90,47 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
 def upsert_stream(folder: str, keys: list[str], order: list[str]):
     """A ``foreachBatch`` handler: each batch writes the next version of the table.
 
-    Version ``n`` is built from the highest version below ``n``, so a repeated batch after a
-    failure rebuilds the same version from the same input.
+    Version ``n`` is built from the highest finished version below ``n``, so a repeated batch after
+    a failure rebuilds the same version from the same input. Versions below that one are removed.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = latest_by_key(batch, keys, order)
-        previous = _version_before(spark, folder, batch_id)
-        if previous is not None:
-            latest = upsert(spark.read.parquet(previous), latest, keys, order)
+        earlier = [v for v in _versions(spark, folder) if v < batch_id]
+        if earlier:
+            latest = upsert(spark.read.parquet(f"{folder}/version={earlier[-1]}"), latest, keys, order)
         latest.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        for old in earlier[:-1]:
+            _delete(spark, f"{folder}/version={old}")
 
     return apply
 
 
-def _version_before(spark: SparkSession, folder: str, batch_id: int) -> str | None:
-    try:
-        versions = spark.read.parquet(folder).select("version")
-    except AnalysisException:
-        return None
-    last = versions.filter(F.col("version") < batch_id).agg(F.max("version")).first()[0]
-    return None if last is None else f"{folder}/version={last}"
+def _path(spark: SparkSession, name: str):
+    """A path and its file system, wherever the table is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The finished versions, oldest first: those with the mark that Spark leaves on success."""
+    path, files = _path(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    versions = [n for n in names if n.startswith("version=")]
+    done = [n for n in versions if files.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
+    return sorted(int(n.removeprefix("version=")) for n in done)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
+    files.delete(path, True)
 
 
 def read_upserted(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(_version_before(spark, folder, 2**62))
+    return spark.read.parquet(f"{folder}/version={_versions(spark, folder)[-1]}")
 
 
 def subscription_status(event: Column) -> Column:
