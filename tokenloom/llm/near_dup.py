@@ -168,11 +168,12 @@ def block_links(split: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     percent = round(100 * threshold)
     members = sets.join(split.select("id").distinct(), "id", "left_semi")
     each = members.select("id", F.explode("members").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    shared = each.join(common, "shingle").groupBy("id").agg(F.collect_list("shingle").alias("shared"))
-    sizes = members.select("id", F.size("members").alias("n_set"))
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter("times = 1")
+    alone = once.groupBy("id").agg(F.collect_list("shingle").alias("alone"))
+    shared = F.array_except("members", F.coalesce("alone", F.array().cast("array<long>")))
+    covered = members.join(alone, "id", "left").select("id", F.size("members").alias("n_set"), shared.alias("shared"))
     # Whoever is linked has the threshold's share of its shingles in common with another.
-    covered = stored(shared.join(sizes, "id").filter(100 * F.size("shared") >= percent * F.col("n_set")))
+    covered = stored(covered.filter(100 * F.size("shared") >= percent * F.col("n_set")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # Each block meets each block of its bucket, itself included, in a group of its own.
