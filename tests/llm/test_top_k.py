@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from tokenloom.llm.top_k import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, rank string, score string, id string"
@@ -46,3 +48,19 @@ def test_few_rows_and_large_numbers(spark):
 def test_repeated_rows_are_candidates_each(spark):
     rows = [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])]
     assert run(spark, rows, 10, 5) == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 2, 65536)]
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 9, 10])
+def test_small_blocks_that_hold_the_query(spark, n):
+    """One block of a few more rows than k, the query's own among them."""
+    rng = random.Random(n)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(n)]
+    df = spark.createDataFrame([(i, v, "a", "b", "c") for i, v in rows], SCHEMA).coalesce(1)
+    assert sorted(tuple(r) for r in top_k(df, every=2, k=5).collect()) == brute(rows, 2, 5)
+
+
+def test_a_block_of_equal_vectors(spark):
+    # Four vectors lie above the equal ones, of which the fifth winner is the smallest id.
+    rows = [(0, [1.0, 0.5])] + [(i, [2.0, 1.0]) for i in range(1, 40)] + [(50 + i, [3.0 + i, 1.0]) for i in range(4)]
+    df = spark.createDataFrame([(i, v, "a", "b", "c") for i, v in reversed(rows)], SCHEMA).coalesce(1)
+    assert sorted(tuple(r) for r in top_k(df, every=10, k=5).collect()) == brute(rows, 10, 5)

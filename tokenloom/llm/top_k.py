@@ -89,7 +89,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     order = np.argsort(ids, kind="stable")
     k = min(k, scores.shape[1])
     by_id = scores[:, order]
-    kth = -np.partition(-by_id, k - 1, axis=1)[:, k - 1 : k]
+    # Not by negated scores: the negative of OWN is OWN again.
+    at = scores.shape[1] - k
+    kth = np.partition(by_id, at, axis=1)[:, at : at + 1]
     above, level = by_id > kth, by_id == kth
     room = k - above.sum(axis=1, keepdims=True)
     keep = above | (level & (np.cumsum(level, axis=1) <= room))
