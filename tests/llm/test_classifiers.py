@@ -123,6 +123,28 @@ def test_nearest_examples_are_exact():
         assert found.tolist() == best.tolist() and np.allclose(got, cosines[best])
 
 
+def test_a_rare_word_finds_its_examples(spark):
+    """Three toxic examples share a word too rare to be told from chance; every term has its weight."""
+    rng = random.Random(3)
+    filler = lambda: " ".join(f"w{rng.randrange(300)}x" for _ in range(20))
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5]
+    toxic = {i for n, i in enumerate(ids) if n % 8 == 0}
+    rare = sorted(toxic)[:3]
+    texts = {i: filler() + (" zorgblat" if i in rare else " scum" if i in toxic else "") for i in ids}
+    texts |= {5000: "zorgblat", 5001: "Quite zorgblat " + " ".join(filler().split()[:3]), 5002: filler()}
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in texts.items()], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i in toxic), "z") for i in ids], LABELS)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert set(got[5000]["neighbours"]) == set(rare) and got[5000]["predicted"] == 1
+    assert set(got[5001]["neighbours"]) == set(rare) and "zorgblat" in got[5001]["terms"]
+    assert got[5002]["neighbours"] and got[5002]["predicted"] == 0
+    # Document frequencies are those of the whole table: zorgblat is in five of its rows.
+    index = toxicity.build_index(docs, labels)
+    share = len(toxic) / len(ids)
+    expected = (np.log((len(texts) + 1) / (5 + 1)) + 1) * toxicity.association(np.array([3.0]), np.array([0.0]), share)[0]
+    assert index.idf[index.numbers["zorgblat"]] == pytest.approx(expected)
+
+
 def test_the_risk_is_learned_from_positives_and_unlabelled():
     """No negative label is needed: two clouds, 70 % of the unlabelled from the positive one."""
     rng = np.random.default_rng(2)

@@ -1,21 +1,28 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and their first four and five letters. The vocabulary has the terms that go with a
-label in the training sample (a G-test); a document's vector is its TF-IDF over them. An inverted
-index holds each term's weights in the examples, in blocks of consecutive examples, and its largest
-weight per block. A text's neighbours are found exactly: the blocks with the largest upper bounds are
-gone through first, then those that can still hold a nearer example; the others are left out. Neighbours vote with their squared cosine, smoothed by the share of
-toxic examples; they and the shared terms are the evidence. A text without any such term is as toxic
-as the examples without one are.
+Terms are words and their first four and five letters. A document's vector holds every term that any
+labelled example has: TF-IDF, with document frequencies over all documents, times how far the share
+of toxic examples with the term is from the share of all (``association``). No term is left out; one
+that tells nothing has next to no weight.
+
+An inverted index holds the examples that have a term and their weights; terms that many examples have
+are a matrix instead. Both are in single precision. A text's neighbours are found exactly: products with the
+matrix and the other terms' postings give every example's cosine but for rounding, and all examples
+that can be among the nearest are scored anew in full. Neighbours vote with their squared cosine,
+smoothed by the share of toxic examples; they and the heaviest terms are
+the evidence. A text without any known term is as toxic as the examples without one are.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +32,16 @@ from tokenloom.llm.shingles import word_and_space
 from tokenloom.llm.words import Words
 
 PARTS, HELD = 5, 0
-# Most labelled documents, and most terms, that the index is built from.
-LABELLED, TERMS = 20_000, 1_000
+# Most labelled documents that the index is built from.
+LABELLED = 20_000
 THRESHOLD = 0.5
 NEIGHBOURS = 15
 # Weight of the base rate among the votes.
 SMOOTHING = 0.5
-# Least G statistic of a term: about one chance in 100,000. And how many times as often the label
-# has to be with the term as without, or the other way round.
-LEAST_G, LEAST_LIFT = 20.0, 2.0
-BLOCK = 64
-# Blocks with the largest bounds, which are gone through first.
-FIRST = 8
+# Examples at the share of all that a term's own examples are mixed with; its least association.
+PRIOR, LEAST = 10.0, 0.001
+# A term is common if more than one in so many examples have it. Texts multiplied at a time.
+COMMON, BATCH = 16, 256
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
@@ -80,47 +85,132 @@ def term_counts(texts: pa.Array, known: dict[str, int] | None = None) -> tuple[n
     return pairs // span, pairs % span, counts, listed
 
 
+def association(n1: np.ndarray, n0: np.ndarray, share: float) -> np.ndarray:
+    """How far the share of toxic examples among those with a term is from ``share``, as a logarithm."""
+    return np.maximum(np.abs(np.log((n1 + PRIOR * share) / (n1 + n0 + PRIOR) / share)), LEAST)
+
+
+@lru_cache(maxsize=1)
+def numbers(names: str) -> dict[str, int]:
+    """Numbers of the terms of a text of lines; no term holds a line end."""
+    return {name: i for i, name in enumerate(names.split("\n"))} if names else {}
+
+
+def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """A document's terms, in order, and their counts."""
+    return zlib.compress(np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), dtype="<i4")
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+
+
+@dataclass
+class Lists:
+    """Values by key, the keys' places one after another: ``at`` and ``value`` of key i from
+    ``begin[i]`` to ``begin[i + 1]``."""
+
+    begin: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys' values are, and how many each has."""
+        sizes = self.begin[keys + 1] - self.begin[keys]
+        first = self.begin[keys] - (np.cumsum(sizes) - sizes)
+        return np.repeat(first, sizes) + np.arange(sizes.sum()), sizes
+
+    def added(self, keys: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """Per place, the sum of its values under the keys, times the keys' ``q``."""
+        where, sizes = self.places(keys)
+        return np.bincount(self.at[where], np.repeat(q, sizes) * self.value[where], minlength=n)
+
+
 @dataclass
 class Index:
-    """Examples' unit vectors by term, in blocks of examples."""
+    """Examples' unit vectors by example and by term. ``idf`` is a term's weight: IDF times association."""
 
-    terms: dict[str, int]
+    terms: dict[str, int] | str
     idf: np.ndarray
     base: float
     empty: float
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    packed: list[bytes] = field(default_factory=list)
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> None:
-        self.y, self.ids = y, ids
-        blocks = -(-len(vectors) // BLOCK)
-        rows = np.zeros((len(self.terms), blocks * BLOCK))
-        for e, (terms, counts) in enumerate(vectors):
-            rows[terms, e] = self.weights(terms, counts)
-        self.rows = rows.reshape(len(self.terms), blocks, BLOCK)
-        self.most = self.rows.max(axis=2)
+        self.packed, self.y, self.ids = [packed(t, c) for t, c in vectors], y, ids
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return numbers(self.terms) if isinstance(self.terms, str) else self.terms
+
+    @cached_property
+    def rows(self) -> Lists:
+        """The terms and weights of each example. Made by each worker, as all else that is cached."""
+        begin = np.concatenate([[0], np.cumsum([len(unpacked(x)[0]) for x in self.packed])])
+        held, weight = np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1])
+        for e, x in enumerate(self.packed):
+            terms, counts = unpacked(x)
+            held[begin[e] : begin[e + 1]] = terms
+            weight[begin[e] : begin[e + 1]] = self.weights(terms, counts)
+        return Lists(begin, held, weight)
+
+    @cached_property
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, Lists]:
+        """Each term's row in the matrix of common terms, or -1; the matrix; the others' postings."""
+        n = np.bincount(self.rows.at, minlength=len(self.idf))
+        often = np.flatnonzero(n * COMMON > len(self.y))
+        row = np.full(len(self.idf), -1, dtype=np.int32)
+        row[often] = np.arange(len(often))
+        n[often] = 0
+        begin = np.concatenate([[0], np.cumsum(n)])
+        matrix = np.zeros((len(often), len(self.y)), dtype=np.float32)
+        postings = Lists(begin, np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1], dtype=np.float32))
+        free = begin[:-1].copy()
+        # Example by example, so that no more memory is used than the lists take.
+        for e in range(len(self.y)):
+            part = slice(self.rows.begin[e], self.rows.begin[e + 1])
+            terms, weight = self.rows.at[part], self.rows.value[part]
+            common = row[terms] >= 0
+            matrix[row[terms[common]], e] = weight[common]
+            to = free[terms[~common]]
+            postings.at[to], postings.value[to] = e, weight[~common]
+            free[terms[~common]] += 1
+        return row, matrix, postings
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosine (ties: the earlier example), and the cosines."""
-        q = self.weights(terms, counts)
-        bound = q @ self.most[terms]
-        blocks = np.flatnonzero(bound > 0)
-        if len(blocks) > FIRST:
-            first = blocks[np.argpartition(-bound[blocks], FIRST)[:FIRST]]
-            cosines = np.tensordot(q, self.rows[np.ix_(terms, first)], axes=1).ravel()
-            kth = np.partition(cosines, -k)[-k]
-            blocks = blocks[bound[blocks] >= kth - 1e-9]
-        cosines = np.tensordot(q, self.rows[np.ix_(terms, blocks)], axes=1)
-        at, inside = np.nonzero(cosines > 0)
-        found, cosines = blocks[at] * BLOCK + inside, cosines[at, inside]
-        best = np.lexsort((found, -np.round(cosines, 9)))[:k]
-        return found[best], cosines[best]
+        return self.nearest_of([(terms, counts)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several texts."""
+        row, matrix, postings = self.by_term
+        weights = [self.weights(t, c) for t, c in vectors]
+        q = np.zeros((len(vectors), len(matrix)), dtype=np.float32)
+        for i, ((t, _), w) in enumerate(zip(vectors, weights, strict=True)):
+            q[i, row[t[row[t] >= 0]]] = w[row[t] >= 0]
+        # No cosine is above 1, so this is above what rounding can add or take.
+        slack = (len(matrix) + 8) * 2.0**-23
+        n, out, query = len(self.y), [], np.zeros(len(self.idf))
+        for (t, _), w, near in zip(vectors, weights, q @ matrix, strict=True):
+            rare = row[t] < 0
+            near = near + postings.added(t[rare], w[rare], n)
+            least = np.partition(near, n - k)[n - k] - 2 * slack if n > k else 0.0
+            left = np.flatnonzero(near >= least if least > 0 else near > 0)
+            query[t] = w
+            where, sizes = self.rows.places(left)
+            owner = np.repeat(np.arange(len(left)), sizes)
+            cosines = np.bincount(owner, query[self.rows.at[where]] * self.rows.value[where], minlength=len(left))
+            query[t] = 0
+            best = np.lexsort((left, -np.round(cosines, 9)))[:k]
+            out.append((left[best], cosines[best]))
+        return out
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**2
@@ -131,27 +221,34 @@ class Index:
         out: list[tuple[float, list[int], list[str]]] = [(self.empty, [], [])] * len(texts)
         if not len(self.y):
             return out
-        text, term, count, _ = term_counts(texts, self.terms)
-        names = list(self.terms)
+        text, term, count, _ = term_counts(texts, self.numbers)
+        names = list(self.numbers)
         cuts = np.flatnonzero(np.diff(text)) + 1
-        seen: dict[bytes, tuple] = {}
+        same: dict[bytes, list[int]] = {}
+        vectors = []
         for i, t, c in zip(np.unique(text), np.split(term, cuts), np.split(count, cuts), strict=False):
-            key = t.tobytes() + c.tobytes()
-            if key not in seen:
-                found, cosines = self.nearest(t, c)
+            rows = same.setdefault(t.tobytes() + c.tobytes(), [])
+            if not rows:
+                vectors.append((t, c))
+            rows.append(i)
+        owners = list(same.values())
+        for at in range(0, len(vectors), BATCH):
+            part = vectors[at : at + BATCH]
+            for (t, c), (found, cosines), rows in zip(part, self.nearest_of(part), owners[at : at + BATCH], strict=True):
                 score = self.vote(found, cosines) if len(found) else self.empty
-                seen[key] = (score, self.ids[found[:3]].tolist(), [names[x] for x in t[:5]])
-            out[i] = seen[key]
+                heaviest = t[np.argsort(-self.weights(t, c), kind="stable")[:5]]
+                for i in rows:
+                    out[i] = (score, self.ids[found[:3]].tolist(), [names[x] for x in heaviest])
         return out
 
 
-def vocabulary(sample: DataFrame) -> dict[str, int]:
-    """The terms that go with a label: documents of either label with the term against those
-    without, by the G statistic; at most ``TERMS``, the strongest."""
+def vocabulary(sample: DataFrame) -> tuple[str, np.ndarray]:
+    """Every term of the sample's documents, a line each, and its association with the label. None
+    if the sample lacks either label."""
     totals = sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["y"]: r["n"] for r in totals}
     if len(n) < 2:
-        return {}
+        return "", np.zeros(0)
 
     def work(run: pa.RecordBatch) -> dict:
         text, term, _, names = term_counts(run.column("text"))
@@ -161,58 +258,58 @@ def vocabulary(sample: DataFrame) -> dict[str, int]:
         return {"term": pa.array(names, pa.string()), "n1": pa.array(n1, pa.int64()), "n0": pa.array(n0, pa.int64())}
 
     counted = map_runs(sample, ["text", "y"], "term string, n1 long, n0 long", work)
-    counted = counted.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    total = n[0] + n[1]
+    counted = counted.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow().sort_by("term")
+    n1, n0 = (counted.column(c).to_numpy().astype(float) for c in ("n1", "n0"))
+    return "\n".join(counted.column("term").to_pylist()), association(n1, n0, n[1] / (n[0] + n[1]))
 
-    def part(seen, of_term, of_label):
-        return F.when(seen > 0, 2 * seen * F.log(seen * total / (of_term * of_label))).otherwise(0.0)
 
-    with_term = F.col("n1") + F.col("n0")
-    g = F.lit(0.0)
-    for y, column in ((1, "n1"), (0, "n0")):
-        g = g + part(F.col(column), with_term, F.lit(n[y])) + part(n[y] - F.col(column), total - with_term, F.lit(n[y]))
-    # A term that all have tells nothing: its second share is null.
-    share = (F.col("n1") / with_term, F.try_divide(n[1] - F.col("n1"), total - with_term))
-    lift = (share[0] >= LEAST_LIFT * share[1]) | (share[1] >= LEAST_LIFT * share[0])
-    best = counted.withColumn("g", g).filter((F.col("g") >= LEAST_G) & lift).orderBy(F.desc("g"), "term").limit(TERMS)
-    return {r["term"]: i for i, r in enumerate(best.select("term").collect())}
+def document_frequencies(docs: DataFrame, names: Broadcast[str], terms: int) -> tuple[int, np.ndarray]:
+    """The number of rows of ``docs``, and of those with each of the ``terms`` terms."""
+
+    def work(run: pa.RecordBatch) -> dict:
+        _, term, _, _ = term_counts(run.column("text"), numbers(names.value))
+        count = np.bincount(term, minlength=1)
+        found = np.flatnonzero(count)
+        # Rows as such count under -1.
+        return {
+            "term": pa.array(np.append(found, -1).astype(np.int32)),
+            "n": pa.array(np.append(count[found], run.num_rows).astype(np.int64)),
+        }
+
+    counted = map_runs(docs, ["text"], "term int, n long", work).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(terms)
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
 def build_index(docs: DataFrame, labels: DataFrame) -> Index:
-    """Index of at most ``LABELLED`` labelled documents outside the held-out part."""
+    """Index of at most ``LABELLED`` labelled documents outside the held-out part, with every term."""
     chosen = labelled_ids(labels, "toxic", PARTS, HELD, LABELLED)
     # At most LABELLED rows of an id and a label.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    terms = vocabulary(sample)
+    names, associated = vocabulary(sample)
+    known = docs.sparkSession.sparkContext.broadcast(names)
 
     def work(run: pa.RecordBatch) -> dict:
-        text, term, count, _ = term_counts(run.column("text"), terms)
+        text, term, count, _ = term_counts(run.column("text"), numbers(known.value))
         cuts = np.searchsorted(text, np.arange(run.num_rows + 1))
-        return {
-            "doc_id": run.column("doc_id"),
-            "y": run.column("y"),
-            "terms": pa.array([term[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64())),
-            "counts": pa.array([count[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64())),
-        }
+        made = [packed(term[a:b], count[a:b]) if b > a else b"" for a, b in zip(cuts, cuts[1:])]
+        return {"doc_id": run.column("doc_id"), "y": run.column("y"), "held": pa.array(made, pa.binary())}
 
-    rows = map_runs(sample, ["doc_id", "text", "y"], "doc_id long, y int, terms array<long>, counts array<long>", work)
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
-    y = np.array([r["y"] for r in rows], dtype=float)
+    rows = map_runs(sample, ["doc_id", "text", "y"], "doc_id long, y int, held binary", work)
+    rows = sorted(((r["doc_id"], bytes(r["held"]), r["y"]) for r in rows.collect()))
+    y = np.array([r[2] for r in rows], dtype=float)
     base = float((y.sum() + 1) / (len(y) + 10)) if len(y) else 0.0
-    blank = np.array([not r["terms"] for r in rows], dtype=bool)
+    blank = np.array([not r[1] for r in rows], dtype=bool)
     empty = float((y[blank].sum() + base) / (blank.sum() + 1)) if len(y) else 0.0
-    df = np.zeros(max(1, len(terms)))
-    vectors, labels_of, ids = [], [], []
-    for r in rows:
-        if r["terms"]:
-            t, c = np.array(r["terms"]), np.array(r["counts"], dtype=float)
-            df[t] += 1
-            vectors.append((t, c))
-            labels_of.append(r["y"])
-            ids.append(r["doc_id"])
-    index = Index(terms, np.log((len(rows) + 1) / (df + 1)) + 1, base, empty)
-    if vectors:
-        index.add(vectors, np.array(labels_of, dtype=float), np.array(ids, dtype=np.int64))
+    index = Index(names, np.zeros(len(associated)), base, empty)
+    some = [r for r in rows if r[1]]
+    index.packed, index.y = [r[1] for r in some], np.array([r[2] for r in some], dtype=float)
+    index.ids = np.array([r[0] for r in some], dtype=np.int64)
+    if names:
+        total, df = document_frequencies(docs, known, len(associated))
+        index.idf = (np.log((total + 1) / (df + 1)) + 1) * associated
     return index
 
 
@@ -220,8 +317,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted (score >= 0.5), and as
     evidence neighbours (ids of the nearest examples, three at most) and terms (five at most).
 
-    Null and empty texts, and texts without a term of the vocabulary, get the share of toxic
-    examples among those without one. Without labels of both kinds every score is that share. Rows
+    Null and empty texts, and texts without a term of any example, get the share of toxic examples
+    among those without one. Without labels of both kinds every score is that share. Rows
     with a null doc_id are scored, not held out; repeated rows are scored each. Labels other than 0
     and 1 are not used; of several for a document the largest is. Other columns are not read; an
     empty table gives no row.
