@@ -40,6 +40,30 @@ def test_the_first_to_say_it_is_answered(spark):
     assert got[1, 4]["parent_turn"] == 0 and got[1, 5]["parent_turn"] == 0 and got[1, 5]["text"] == ""
 
 
+def test_parts_of_a_message_are_found(spark):
+    rows = [
+        (1, 0, "user", "First line of it,\nsecond line.\n\nA second paragraph\nof two lines."),
+        (1, 1, "user", "Unrelated"),
+        (1, 2, "user", "> First line of it,\nyes\n> second line.\nno"),  # answers between the lines
+        (1, 3, "user", "> A  second paragraph\n> OF two lines.\nTrue."),  # one paragraph
+        (1, 4, "user", "> second line.\n> [...]\n> of two lines.\nSo what?"),  # trimmed
+        (1, 5, "user", "> > First line of it,\n> yes\n> > second line.\n> no\nWhy not?"),  # an answer between lines, quoted
+        (1, 6, "user", "> nothing\n> known\nnew"),
+        (2, 0, "user", "> second line.\nanother conversation"),
+    ]
+    got, _ = run(spark, rows)
+    assert {k: r["parent_turn"] for k, r in got.items()} == {
+        (1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): 2, (1, 6): None, (2, 0): None,
+    }
+    assert got[1, 2]["text"] == "yes\nno" and got[1, 5]["depth"] == 2
+
+
+def test_a_whole_text_goes_before_its_lines(spark):
+    rows = [(1, 0, "user", "yes\nbut"), (1, 1, "user", "yes"), (1, 2, "user", "> yes\nwhy")]
+    got, _ = run(spark, rows)
+    assert got[1, 2]["parent_turn"] == 1
+
+
 def test_long_chain(spark):
     rows = [(1, 0, "user", "m0")] + [(1, t, "user", f"> m{t - 1}\nm{t}") for t in range(1, 70)]
     got, _ = run(spark, rows)

@@ -5,6 +5,10 @@ passages. A message's own text is its lines of level 0, without the line that in
 Quoted passages and own texts are normalised (lower case, one space for white space) and hashed; the
 hash joins a passage to the message of the conversation that said it first. The earlier message of
 the shallowest linked passage is the one replied to.
+
+A passage may be a part of what was said: of passages that are no whole own text, the paragraphs and
+then the lines are joined to those of own texts in the same way. A whole text goes before paragraphs,
+these before lines, within a level.
 """
 
 from __future__ import annotations
@@ -43,6 +47,20 @@ def passages(messages: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "nth", "level", F.concat_ws("\n", F.transform("lines", lambda x: x["line"])).alias("text"))
 
 
+def units(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """What of each ``text`` can be quoted: the keys, kind (0 the whole, 1 a paragraph, 2 a line), at
+    (its place) and digest."""
+    whole = F.array(F.col("text"))
+    paragraphs, lines = F.split("text", r"\r?\n[ \t]*\r?\n"), F.split("text", r"\r?\n")
+    each = lambda kind, found: F.transform(
+        found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), normalised(x).alias("plain"))
+    )
+    made = texts.filter("text IS NOT NULL").select(
+        *keys, F.explode(F.concat(each(0, whole), each(1, paragraphs), each(2, lines))).alias("u")
+    )
+    return made.filter("u.plain <> ''").select(*keys, "u.kind", "u.at", F.sha2("u.plain", 256).alias("digest"))
+
+
 def link_replies(messages: DataFrame) -> DataFrame:
     """Reply-ordered conversations of ``messages`` (conv_id, turn, role, text).
 
@@ -63,15 +81,13 @@ def link_replies(messages: DataFrame) -> DataFrame:
     own = own.select(*keys, F.trim(F.concat_ws("\n", F.transform("own", lambda p: p["text"])), F.lit(" \n\t\r")).alias("own"))
     said = cut_lineage(placed.select(*keys, "role").join(own, keys, "left"))
 
-    digest = F.sha2(normalised(F.col("text")), 256)
-    originals = said.filter(normalised(F.col("own")) != "").select(
-        "conv_id", F.col("turn").alias("said_turn"), F.sha2(normalised(F.col("own")), 256).alias("digest")
-    )
-    originals = originals.groupBy("conv_id", "digest").agg(F.min("said_turn").alias("said_turn"))
-    quoted = parts.filter("level > 0").select(*keys, "level", "nth", digest.alias("digest"))
-    linked = quoted.join(originals, ["conv_id", "digest"]).filter("said_turn < turn")
-    # The shallowest passage counts; of several, the first in the text.
-    parents = linked.groupBy(*keys).agg(F.min(F.struct("level", "nth", "said_turn"))["said_turn"].alias("parent_turn"))
+    originals = units(said.select(*keys, F.col("own").alias("text")), ["conv_id", "turn"])
+    originals = originals.groupBy("conv_id", "kind", "digest").agg(F.min("turn").alias("said_turn"))
+    quoted = units(parts.filter("level > 0"), [*keys, "level", "nth"])
+    linked = quoted.join(originals, ["conv_id", "kind", "digest"]).filter("said_turn < turn")
+    # The shallowest passage counts; of several, the one most wholly found, then the first in the text.
+    first = F.min(F.struct("level", "kind", "nth", "at", "said_turn"))["said_turn"]
+    parents = linked.groupBy(*keys).agg(first.alias("parent_turn"))
     tree = said.join(parents, keys, "left")
 
     up = tree.select(
