@@ -55,6 +55,34 @@ def test_noise_goes_wherever_it_stands(noise):
     assert main_text(page(f"{noise}<div><div class=x><h1>Title</h1>{body}</div></div>{noise}")) == wanted
 
 
+@pytest.mark.parametrize(
+    "name", ["layout no-sidebar", "has-sidebar", "elementor-widget-container", "page-with-comments", "share-layout", "content widget"]
+)
+def test_a_wrapper_of_the_article_stays(name):
+    wanted = "\n".join(["Title", ARTICLE.strip(), "Second one, too."])
+    body = f"<h1>Title</h1><p>{ARTICLE}</p><p>Second one, too.</p>"
+    ad = "<div class=ad><p>Buy, buy, buy</p></div>"
+    assert main_text(page(f"{ad}<div class='{name}'>{body}{ad}</div>{ad}")) == wanted
+    assert main_text(page(f"<div class='{name}'><article>{body}</article></div>{ad}")) == wanted
+    # Without any heading, by its paragraphs.
+    assert main_text(page(f"{ad}<div class='{name}'><p>{ARTICLE}</p><p>{ARTICLE}</p></div>")) == "\n".join([ARTICLE.strip()] * 2)
+
+
+def test_a_title_in_a_marked_header_stays():
+    body = f"<div class='entry-header'><h1>Title</h1></div><p>{ARTICLE}</p>"
+    assert main_text(page(f"<article>{body}</article>")) == "Title\n" + ARTICLE.strip()
+
+
+def test_an_article_in_parts():
+    parts = f"<article>{f'<p>{ARTICLE}</p>' * 4}</article><article><p>{ARTICLE}</p></article>"
+    assert main_text(page(f"<div>{parts}<article><p>Teaser</p></article></div>")) == "\n".join([ARTICLE.strip()] * 5)
+
+
+def test_comments_that_are_articles_go():
+    comments = f"<section class=comments>{f'<article class=comment><p>{ARTICLE}</p></article>' * 9}</section>"
+    assert main_text(page(f"<article><h1>T</h1><p>{ARTICLE}</p></article>{comments}")) == "T\n" + ARTICLE.strip()
+
+
 def test_container_beats_link_lists():
     links = "<div><ul>" + "<li><a href=x>One link, another, more, and more</a></li>" * 40 + "</ul></div>"
     assert main_text(page(f"{links}<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div>{links}")) == "\n".join([ARTICLE.strip()] * 2)

@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page's tags are read into a light tree. Menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts and hidden parts are taken out by tag, role, or the words of class and id. Every
+comments, scripts and hidden parts are taken out by tag, role, or the words of class and id. A part
+that only its class or id marks stays if it holds a main element, an h1 or all of the page's articles,
+or, on pages without any of these, most of the page's paragraphs by their points. Every
 block that holds text gives points for its length and its commas, less the share of its text that is
 links; they go to its parent in full and to further ancestors in falling parts. The container with
 the most points, discounted by its own link density, is the best; if it lies in an article or main
@@ -52,6 +54,8 @@ DROP_WORDS = frozenset(
     "pager pagination paywall popup promo promotion recommended related replies respond share sharing sidebar sitemap "
     "skip social sponsor sponsored subscribe subscription toolbar tracking widget widgets".split()
 )
+# Words that make what follows a statement about the layout: no-sidebar, has-menu.
+LAYOUT = frozenset("no not has have with without elementor".split())
 NEVER = frozenset({"html", "body", "article", "main"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
@@ -60,12 +64,13 @@ class Page:
     """Nodes in page order, each with its parent and last descendant, and the texts between tags."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.last, self.dropped = ["#"], [-1], [0], [False]
+        self.tag, self.parent, self.last, self.dropped, self.marked = ["#"], [-1], [0], [False], [False]
         self.texts: list[tuple[int, int, bool, str]] = []  # node, block, in a link, text
         self.stack, self.blocks, self.links = [0], [0], 0
         self.read(source)
         while self.stack:
             self.close()
+        self.drop_marked()
 
     def read(self, source: str) -> None:
         at, skip = 0, None
@@ -136,7 +141,9 @@ class Page:
         self.tag.append(name)
         self.parent.append(parent)
         self.last.append(node)
+        self.marked.append(False)
         self.dropped.append(self.dropped[parent] or self.unwanted(name, attributes))
+        self.marked[node] = not self.dropped[node] and name not in NEVER and self.named_so(attributes)
         self.stack.append(node)
         if name == "a":
             self.links += 1
@@ -159,10 +166,48 @@ class Page:
                 return True
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return True
-            if key in ("class", "id") and not DROP_WORDS.isdisjoint(_WORD.findall(_SMALL.sub(" ", value).lower())):
-                return True
         return False
 
+    def named_so(self, attributes: str) -> bool:
+        """Whether a word of the class or id marks the element as no article."""
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id"):
+                for name in (m[2] or "").strip("\"'").split():
+                    words = _WORD.findall(_SMALL.sub(" ", name).lower())
+                    if any(w in DROP_WORDS and LAYOUT.isdisjoint(words[:i]) for i, w in enumerate(words)):
+                        return True
+        return False
+
+    def drop_marked(self) -> None:
+        """Drop the marked parts with all inside, but those that hold the article."""
+        if not any(self.marked):
+            return
+        points = [0.0] * len(self.tag)
+        tops, articles = ([int(t in of and not d) for t, d in zip(self.tag, self.dropped, strict=True)] for of in (("main", "h1"), ("article",)))
+        chars: dict[int, list] = {}
+        for _, block, linked, text in self.texts:
+            own = chars.setdefault(block, [0, 0, 0])
+            size = len(" ".join(text.split()))
+            own[0] += size
+            own[1] += size if linked else 0
+            own[2] += text.count(",")
+        for block, (size, linked, commas) in chars.items():
+            if size:
+                points[block] = (1 + commas + min(size / 100, 3)) * (1 - linked / size)
+        for node in range(len(self.tag) - 1, 0, -1):
+            points[self.parent[node]] += points[node]
+            tops[self.parent[node]] += tops[node]
+            articles[self.parent[node]] += articles[node]
+        for node in range(1, len(self.tag)):
+            if self.dropped[self.parent[node]]:
+                self.dropped[node] = True
+            elif self.marked[node] and not tops[node]:
+                if articles[0]:
+                    self.dropped[node] = articles[node] < articles[0]
+                else:
+                    self.dropped[node] = tops[0] > 0 or points[node] <= points[0] / 2
+        self.texts = [t for t in self.texts if not self.dropped[t[0]]]
+
     def within(self, node: int, top: int) -> bool:
         return top <= node <= self.last[top]
 
@@ -209,8 +254,12 @@ class Page:
         node = best
         while node > 0 and self.tag[node] not in ("article", "main"):
             node = self.parent[node]
-        if node > 0:
+        if node > 0 and self.tag[node] == "main":
             return [node]
+        if node > 0:  # an article may be split over several
+            beside = [i for i in range(1, len(self.tag)) if self.parent[i] == self.parent[node] and self.tag[i] == "article"]
+            top = lambda i: max(score[i : self.last[i] + 1])
+            return [i for i in beside if not self.dropped[i] and (i == node or top(i) >= max(10, 0.2 * score[best]))]
         keep = []
         for i in range(1, len(self.tag)):
             if self.parent[i] != self.parent[best] or self.dropped[i]:
