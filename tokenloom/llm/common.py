@@ -35,16 +35,17 @@ def map_runs(
     columns: list[str],
     schema: str,
     work: Callable[[pa.RecordBatch], pa.RecordBatch | dict],
-    text: str = "text",
+    text: str | None = "text",
 ) -> DataFrame:
-    """Apply ``work`` to runs of rows holding at most about ``RUN_CHARS`` characters of ``text``.
+    """Apply ``work`` to runs of rows holding at most about ``RUN_CHARS`` characters of ``text``, or to
+    whole batches if it is None.
 
     Only ``columns`` reach Python, so other columns of ``df`` may have any name.
     """
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in cut_batch(batch, text):
+            for run in cut_batch(batch, text) if text else [batch]:
                 made = work(run)
                 if isinstance(made, dict):
                     made = pa.RecordBatch.from_pydict(made)

@@ -168,3 +168,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id,
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+
+@query
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.byte_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
