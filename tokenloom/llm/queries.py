@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import table
+from tokenloom.llm.merkle import manifest_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,3 +176,13 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.llm.byte_codec import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_merkle_manifest"] = manifest_sql()
