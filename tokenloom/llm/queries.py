@@ -186,3 +186,54 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_merkle_manifest"] = manifest_sql()
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_phrases"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), s AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, cut,
+    CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT lang, a AS longer, unnest(list_concat(
+    CASE WHEN k > 2 THEN list_transform(range(1, k), lambda i: array_to_string(w[i:i + 1], ' ')) ELSE [] END,
+    CASE WHEN k > 3 THEN list_transform(range(1, k - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END)) AS phrase
+  FROM c
+), cover AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM least b LEFT JOIN cover v ON v.lang = b.lang AND v.phrase = b.phrase
+  WHERE v.longer IS NULL OR 100 * CAST(v.longer AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
