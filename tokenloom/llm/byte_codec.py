@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -82,8 +84,7 @@ def merged(match: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def repeats(match: bytes) -> bool:
     """Do any three bytes of the match come again in it?"""
-    n = len(match) - 2
-    return n > 1 and len({match[i : i + 3] for i in range(n)}) < n
+    return len(set(match)) < len(match) and len(set(zip(match, match[1:], match[2:]))) < len(match) - 2
 
 
 class ByteCodec:
@@ -114,17 +115,21 @@ class ByteCodec:
         by_id = {rank: token for token, rank in self.ranks.items()}
         self.tokens = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.large_binary())
         self.sizes = [len(by_id.get(i, b"")) for i in range(len(self.tokens))]
-        # A chunk's ids, and where its tokens' characters begin and end, 32 bits each.
-        self.table = Table(lambda chunk: self.known([chunk])[0])
+        # A chunk's ids, 32 bits each; in decimals, each with a comma; how many begin inside a character.
+        self.table: Table = Table(lambda chunk: self.digests([chunk])[0])
 
-    def known(self, chunks: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-        made = []
+    def known(self, chunks: list[str]) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+        """Ids and offsets of chunks."""
         for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids, spans = e.ids, e.offsets
-            if len(ids) > 1 and repeats(chunk.encode()):
-                ids, spans = self.by_match(chunk)
-            first, last = zip(*spans, strict=True) if spans else ((), ())
-            made.append(tuple(np.array(x, dtype="<u4").tobytes() for x in (ids, first, last)))
+            ids = e.ids
+            yield self.by_match(chunk) if len(ids) > 1 and repeats(chunk.encode()) else (ids, e.offsets)
+
+    def digests(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
+        made = []
+        for chunk, (ids, spans) in zip(chunks, self.known(chunks), strict=True):
+            # Tokens of an ASCII chunk never split a character.
+            split = 0 if chunk.isascii() else sum(spans[i][1] > spans[i + 1][0] for i in range(len(spans) - 1))
+            made.append((array("I", ids).tobytes(), (",".join(map(str, ids)) + ",").encode(), split))
         return made
 
     def by_match(self, chunk: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -147,25 +152,33 @@ class ByteCodec:
             ids += own
         return ids, spans
 
-    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per text its ids, and the code points at which each token's characters begin and end."""
+    def chunks(self, texts: pa.Array) -> tuple[Words, list[tuple[bytes, bytes, int]]]:
+        """The chunks of the texts, and the digests of the distinct ones."""
         words = Words(texts, before_any_space)
         if len(self.table) >= self.table.limit:
             self.table.turn()
         new = self.table.new(words.distinct)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.table.update(zip(part, self.known(part), strict=True))
-        made = [self.table[w] for w in words.distinct]
-        ids, first, last = (words.joined([m[i] for m in made]) for i in range(3))
-        sizes = np.fromiter((len(m[0]) // 4 for m in made), np.int64, len(made))
-        chars = np.fromiter(map(len, words.distinct), np.int64, len(made))
+            self.table.update(zip(part, self.digests(part), strict=True))
+        return words, [self.table[w] for w in words.distinct]
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text its ids, and the code points at which each token's characters begin and end."""
+        words = Words(texts, before_any_space)
+        ids, first, last = [], [], []
+        for own, spans in self.known(words.distinct):
+            ids.append(array("I", own).tobytes())
+            first.append(array("I", [f for f, _ in spans]).tobytes())
+            last.append(array("I", [e for _, e in spans]).tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        chars = np.fromiter(map(len, words.distinct), np.int64, len(ids))
         out, start = [], 0
-        for i, end in enumerate(words.ends.tolist()):
+        for i, f, e, end in zip(*map(words.joined, (ids, first, last)), words.ends.tolist(), strict=True):
             codes = words.codes[start:end]
             before = np.cumsum(chars[codes]) - chars[codes]
             shift = np.repeat(before, sizes[codes]).astype(np.uint32)
-            out.append((ids[i], first[i] + shift, last[i] + shift))
+            out.append((i, f + shift, e + shift))
             start = end
         return out
 
@@ -226,18 +239,16 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
 
     def work(run: pa.RecordBatch) -> dict:
         coder = codec(ranks)
-        n, ids, data, split = [], [], [], []
-        for i, first, last in coder.encode(run.column("text")):
-            n.append(len(i))
-            ids.append(hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest())
-            data.append(hashlib.sha256(coder.decode(i)).hexdigest())
-            split.append(int((first[1:] < last[:-1]).sum()))
+        words, made = coder.chunks(run.column("text"))
+        ids = words.joined([m[0] for m in made])
+        listed = words.joined([m[1] for m in made], "u1")
+        split = words.sums(np.fromiter((m[2] for m in made), np.int64, len(made)))
         return {
             "doc_id": run.column("doc_id"),
-            "n_tokens": pa.array(n, pa.int64()),
-            "ids_sha256": pa.array(ids, pa.string()),
-            "decoded_sha256": pa.array(data, pa.string()),
-            "n_split": pa.array(split, pa.int64()),
+            "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in listed], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(i)).hexdigest() for i in ids], pa.string()),
+            "n_split": pa.array(split.astype(np.int64)),
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()

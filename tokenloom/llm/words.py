@@ -41,13 +41,13 @@ class Words:
         total = np.concatenate([[0], np.cumsum(values[self.codes])]) if len(self.codes) else np.zeros(1, np.int64)
         return np.diff(total[self.ends], prepend=0)
 
-    def joined(self, blobs: list[bytes]) -> list[np.ndarray]:
+    def joined(self, blobs: list[bytes], kind: str = "<u4") -> list[np.ndarray]:
         """Per text, the ids of its words, one after another: ``blobs`` has those of the distinct
-        words as 32-bit little-endian integers."""
+        words as 32-bit little-endian integers, or numbers of another ``kind``."""
         if not blobs:
-            return [np.zeros(0, dtype="<u4") for _ in self.ends]
-        ids = np.frombuffer(b"".join(blobs), dtype="<u4")
-        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+            return [np.zeros(0, dtype=kind) for _ in self.ends]
+        ids = np.frombuffer(b"".join(blobs), dtype=kind)
+        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // np.dtype(kind).itemsize
         begin = np.cumsum(sizes) - sizes
         size = sizes[self.codes]
         after = np.cumsum(size)
