@@ -287,3 +287,30 @@ def test_long_conversations_take_the_same_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # Six new words are news; of the next message three are known, which is too few to tell.
     assert kept == set(range(0, n, 2))
+
+
+def test_novelty_in_blocks_equals_the_walk(spark):
+    """Doubts that reach through many blocks, random talk, nulls and system messages, against a plain walk."""
+    import random
+
+    draw, rows = random.Random(8), []
+    for conv in range(4):
+        for turn in range((40, 1, 25, 40)[conv]):
+            if conv % 2:  # every message holds the words of the one before and of the next
+                found = [f"c{conv}w{turn + i}x{k}" for i in range(2) for k in range(3)]
+            else:
+                found = draw.choices(WORDS, k=draw.randint(0, 9)) + [f"q{draw.randint(0, 40)}" for _ in range(draw.randint(0, 6))]
+            role = draw.choice(["user", "assistant", None]) if draw.random() < 0.95 else "system"
+            rows.append((conv, turn, role, " ".join(found) if draw.random() < 0.9 else None))
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    expected, known = {}, {}
+    for r in C._novelty_sets(conv).orderBy("conv_id", "turn").collect():
+        entities, said, so_far = set(r["_ents"] or ()), set(r["_words"] or ()), known.setdefault(r["conv_id"], set())
+        keep = r["role"] == "system" or bool(entities - so_far) or len(said - so_far) > C.MIN_NEW_WORDS
+        if keep:
+            so_far |= entities | said
+        expected[r["conv_id"], r["turn"]] = keep
+    assert 0 < sum(expected.values()) < len(expected)
+    for block in (3, 100):
+        found = {(r["conv_id"], r["turn"]): r["kept"] for r in C.mark_novel(conv, limit=0, block=block).collect()}
+        assert found == expected
