@@ -289,8 +289,8 @@ def test_long_conversations_take_the_same_jobs(spark):
     assert kept == set(range(0, n, 2))
 
 
-def test_novelty_in_blocks_equals_the_walk(spark):
-    """Doubts that reach through many blocks, random talk, nulls and system messages, against a plain walk."""
+def test_novelty_by_bounds_equals_the_walk(spark):
+    """Doubts that reach through whole conversations, random talk, nulls and system messages, against a plain walk."""
     import random
 
     draw, rows = random.Random(8), []
@@ -311,6 +311,5 @@ def test_novelty_in_blocks_equals_the_walk(spark):
             so_far |= entities | said
         expected[r["conv_id"], r["turn"]] = keep
     assert 0 < sum(expected.values()) < len(expected)
-    for block in (3, 100):
-        found = {(r["conv_id"], r["turn"]): r["kept"] for r in C.mark_novel(conv, limit=0, block=block).collect()}
-        assert found == expected
+    found = {(r["conv_id"], r["turn"]): r["kept"] for r in C.mark_novel(conv, limit=0).collect()}
+    assert found == expected

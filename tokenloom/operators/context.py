@@ -2,7 +2,7 @@
 
 ``conv`` is a table of messages ``conv_id, turn, role, text``; ``turn`` gives the order.
 Per-conversation collections are either bounded by a token budget or pre-aggregated; the one
-strict fold (novelty) switches to a fixed point over range blocks for long conversations.
+strict fold (novelty) is decided by bounds on each token in long conversations.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tokenloom.plans.groups import (
     numbered,
     running_total,
     split_hot,
+    walk_in_order,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -161,50 +162,14 @@ def _enough(entities: Column, words: Column) -> Column:
     return (entities > 0) | (words > MIN_NEW_WORDS)
 
 
-def _judge_block(messages: Column) -> Column:
-    """Verdicts on a block's open messages, in order, as far as they can be known: true, false or null.
-
-    A token is known if a message of the block that is surely kept has it. It may be known if an
-    undecided one has it, or one of a block before (``outside``). Else it is new.
-    """
-
-    def step(state: Column, m: Column) -> Column:
-        def decide(left: Column) -> Column:
-            unsure = F.filter(left, lambda x: x["outside"] | F.array_contains(state["maybe"], x["token"]))
-
-            def verdict(unsure: Column) -> Column:
-                entities, words = _by_kind(left)
-                high = m["new_entities"] + entities, m["new_words"] + words
-                low = [n - doubt for n, doubt in zip(high, _by_kind(unsure), strict=True)]
-                return F.when(_enough(*low), True).when(~_enough(*high), False)
-
-            def advance(kept: Column) -> Column:
-                own = F.transform(m["tokens"], lambda x: x["token"])
-                return F.struct(
-                    F.when(kept, F.array_union(state["known"], own)).otherwise(state["known"]).alias("known"),
-                    F.when(kept.isNull(), F.array_union(state["maybe"], own)).otherwise(state["maybe"]).alias("maybe"),
-                    F.concat(state["out"], F.array(F.struct(m["turn"].alias("turn"), kept.alias("kept")))).alias("out"),
-                )
-
-            return let(let(unsure, verdict), advance)
-
-        return let(F.filter(m["tokens"], lambda x: ~F.array_contains(state["known"], x["token"])), decide)
-
-    none = F.array().cast("array<string>")
-    out = F.transform(F.slice(messages, 1, 0), lambda m: F.struct(m["turn"].alias("turn"), F.lit(None).cast("boolean").alias("kept")))
-    start = F.struct(none.alias("known"), none.alias("maybe"), out.alias("out"))
-    return F.aggregate(messages, start, step, lambda s: s["out"])
-
-
-def _novelty_blocks(conv: DataFrame, block: int) -> DataFrame:
-    """The same decisions for conversations of any length, as a fixed point over range blocks.
+def _novelty_bounds(conv: DataFrame) -> DataFrame:
+    """The same decisions for conversations of any length, by bounds that need no order.
 
     A token is surely new in the first message that has it; messages with enough of those are surely
-    kept. Tokens that a surely kept message had before are known; open messages without enough others are
-    dropped. What is left holds tokens only seen in dropped or open messages before: it is cut into
-    blocks of ``block`` messages, and each block decides what its own order and the bounds from outside
-    allow. In each round at least the first block of every conversation is settled; only a chain of doubts
-    through all blocks takes a round for each. No task holds more than a block, none walks a conversation.
+    kept. Tokens that a surely kept message had before are known; messages without enough others are
+    dropped. Both are groupings by token, so a long conversation is spread over all tasks. Only what is
+    left in doubt, messages with tokens that dropped or doubtful ones had before, needs the order: it
+    walks with those tokens alone.
     """
     keys = ["conv_id", "turn"]
     slim = conv.select(*keys, F.coalesce(F.col("role") == "system", F.lit(False)).alias("_system"), "_ents", "_words")
@@ -213,12 +178,19 @@ def _novelty_blocks(conv: DataFrame, block: int) -> DataFrame:
         F.min(F.when(F.col("entity"), F.col("turn"))).alias("as_entity"),
         F.min(F.when(~F.col("entity"), F.col("turn"))).alias("as_word"),
     )
-    fresh = first.groupBy(*keys).agg(
-        F.count(F.when(F.col("as_entity") == F.col("turn"), 1)).alias("_e"),
-        F.count(F.when(F.col("as_word") == F.col("turn"), 1)).alias("_w"),
+    # New tokens and the messages themselves meet in one grouping.
+    new = first.select(
+        *keys,
+        (F.col("as_entity") == F.col("turn")).cast("int").alias("_e"),
+        (F.col("as_word") == F.col("turn")).cast("int").alias("_w"),
+    )
+    judged = slim.unionByName(new, allowMissingColumns=True).groupBy(*keys).agg(
+        F.max("_system").alias("_system"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("_ents", "_words")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_e", "_w")],
     )
-    sure = F.col("_system") | F.coalesce(_enough(F.col("_e"), F.col("_w")), F.lit(False))
-    judged = cut_lineage(slim.join(fresh, keys, "left").select(*keys, "_ents", "_words", sure.alias("sure")))
+    sure = F.col("_system") | _enough(F.col("_e"), F.col("_w"))
+    judged = judged.select(*keys, "_ents", "_words", sure.alias("sure"))
 
     bounds = _token_rows(judged, *keys, "sure").groupBy("conv_id", "token").agg(
         F.when(F.min("turn") == F.max("turn"), 1).otherwise(2).alias("_n"), F.min(F.when(F.col("sure"), F.col("turn"))).alias("known")
@@ -232,50 +204,37 @@ def _novelty_blocks(conv: DataFrame, block: int) -> DataFrame:
         F.count(F.when(alone & ~F.col("entity"), 1)).alias("new_words"),
         F.collect_list(F.when(~alone, F.struct("token", "entity"))).alias("tokens"),
     )
-    kept = [judged.filter("sure").select(*keys)]
     entities, words = _by_kind("tokens")
     possible = _enough(F.col("new_entities") + entities, F.col("new_words") + words)
-    undecided = cut_lineage(open_.filter(possible))
-
-    while not undecided.isEmpty():
-        placed = numbered(undecided, ["conv_id"], ["turn"], "_nth")
-        placed = cut_lineage(placed.withColumn("block", F.floor((F.col("_nth") - 1) / block)).drop("_nth"))
-        each = placed.select("conv_id", "block", "turn", "new_entities", "new_words", F.inline("tokens"))
-        before = each.groupBy("conv_id", "token").agg(F.min("block").alias("_first"))
-        each = each.join(before, ["conv_id", "token"]).withColumn("outside", F.col("_first") < F.col("block"))
-        whole = each.groupBy("conv_id", "block", "turn", "new_entities", "new_words").agg(
-            F.collect_list(F.struct("token", "entity", "outside")).alias("tokens")
-        )
-        blocks = whole.groupBy("conv_id", "block").agg(
-            F.array_sort(F.collect_list(F.struct("turn", "new_entities", "new_words", "tokens"))).alias("messages")
-        )
-        verdicts = cut_lineage(blocks.select("conv_id", F.inline(_judge_block(F.col("messages")))))
-        settled = verdicts.filter("kept").select(*keys)
-        kept.append(settled)
-        rest = placed.join(verdicts.filter("kept IS NULL").select(*keys), keys)
-        given = each.join(settled, keys, "left_semi").groupBy("conv_id", "token").agg(F.min("turn").alias("known"))
-        left = rest.select(*keys, "new_entities", "new_words", F.inline("tokens")).join(given, ["conv_id", "token"], "left")
-        left = left.filter("known IS NULL OR known >= turn")
-        undecided = cut_lineage(
-            left.groupBy(*keys, "new_entities", "new_words").agg(F.collect_list(F.struct("token", "entity")).alias("tokens"))
-        )
-    marks = kept[0]
-    for more in kept[1:]:
-        marks = marks.unionByName(more)
-    out = conv.drop("_ents", "_words").join(marks.withColumn("kept", F.lit(True)), keys, "left")
+    doubtful = open_.filter(possible)
+
+    def settle(known: set, message: tuple) -> tuple:
+        conv_id, turn, new_entities, new_words, tokens = message
+        fresh = [x for x in tokens if x["token"] not in known]
+        n = sum(x["entity"] for x in fresh)
+        keep = new_entities + n > 0 or new_words + len(fresh) - n > MIN_NEW_WORDS
+        if keep:
+            known.update(x["token"] for x in fresh)
+        return conv_id, turn, keep
+
+    kinds = {c: conv.schema[c].dataType.simpleString() for c in keys}
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, kept boolean"
+    settled = walk_in_order(doubtful, "conv_id", ["turn"], schema, set, settle)
+    marks = judged.filter("sure").select(*keys, F.lit(True).alias("kept")).unionByName(settled)
+    out = conv.drop("_ents", "_words").join(marks, keys, "left")
     return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def mark_novel(conv: DataFrame, limit: int = FOLD_TURNS, block: int = FOLD_TURNS) -> DataFrame:
+def mark_novel(conv: DataFrame, limit: int = FOLD_TURNS) -> DataFrame:
     """Add ``kept``: false for a message that brings no new entity and at most five new words.
 
-    Conversations of more than ``limit`` messages are decided in blocks of ``block`` messages.
+    Conversations of more than ``limit`` messages are decided by bounds on each token.
     """
     usual, hot = split_hot(conv, ["conv_id"], limit)
     done = _novelty_fold(_novelty_sets(usual))
     if hot is None:
         return done
-    return done.unionByName(_novelty_blocks(_novelty_sets(hot), block))
+    return done.unionByName(_novelty_bounds(_novelty_sets(hot)))
 
 
 def delta_prune(conv: DataFrame, limit: int = FOLD_TURNS) -> DataFrame:

@@ -50,10 +50,9 @@ def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (or None)."""
-    hot = hot_keys(df, keys, limit)
+    hot = cut_lineage(hot_keys(df, keys, limit))
     if hot.isEmpty():
         return df, None
-    hot = cut_lineage(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
