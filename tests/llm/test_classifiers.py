@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +105,7 @@ def test_filters_keep_whole_rows(tables):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
-    terms = {f"t{i}": i for i in range(40)}
+    terms = pa.array([f"t{i}" for i in range(40)])
     index = toxicity.Index(terms, rng.uniform(1, 3, 40), 0.2, 0.1)
     vectors = []
     for _ in range(900):
@@ -142,7 +144,63 @@ def test_a_rare_word_finds_its_examples(spark):
     index = toxicity.build_index(docs, labels)
     share = len(toxic) / len(ids)
     expected = (np.log((len(texts) + 1) / (5 + 1)) + 1) * toxicity.association(np.array([3.0]), np.array([0.0]), share)[0]
-    assert index.idf[index.numbers["zorgblat"]] == pytest.approx(expected)
+    assert index.idf[index.terms.index("zorgblat").as_py()] == pytest.approx(expected)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Terms, weights, neighbours and votes, from the definition."""
+    rng = random.Random(7)
+    words = ["Scum!", "scummy", "vile-", "(nice)", "kind", "Garten", "gardens", "état", "ok", "of", "étés", "hates", "hated,"]
+    texts = {i: " ".join(rng.choices(words, k=rng.randrange(9))) for i in range(160)}
+    labels = {i: int("um" in t or rng.random() < 0.1) for i, t in texts.items() if i % 3}
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in texts.items()], DOCS)
+    given = spark.createDataFrame([(i, 1, y, "z") for i, y in labels.items()], LABELS)
+
+    def terms(text):
+        found = Counter()
+        for w in text.lower().split():
+            bare = w.strip(toxicity.STRIP)
+            if len(bare) > 2:
+                found.update([bare, *(bare[:n] + "*" for n in (4, 5) if len(bare) > n)])
+        return found
+
+    counts = {i: terms(t) for i, t in texts.items()}
+    train = [i for i in sorted(labels) if zlib.crc32(str(i).encode()) % 5]
+    share = sum(labels[i] for i in train) / len(train)
+    frequency = Counter(t for c in counts.values() for t in c)
+    weight = {}
+    for t in {t for i in train for t in counts[i]}:
+        n1, n0 = (sum(labels[i] == y for i in train if t in counts[i]) for y in (1, 0))
+        told = abs(math.log((n1 + 10 * share) / (n1 + n0 + 10) / share))
+        weight[t] = (math.log((len(texts) + 1) / (frequency[t] + 1)) + 1) * max(told, 0.001)
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in counts[i].items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: v for i in train if (v := vector(i))}
+    base = (share * len(train) + 1) / (len(train) + 10)
+    blank = [i for i in train if i not in vectors]
+    empty = (sum(labels[i] for i in blank) + base) / (len(blank) + 1)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, given).collect()}
+    assert len(got) == len(texts)
+    for i in texts:
+        v, score = vector(i), empty
+        cosines = {e: sum(x * u.get(t, 0.0) for t, x in v.items()) for e, u in vectors.items()}
+        near = sorted((-round(c, 9), e) for e, c in cosines.items() if c > 0)[:15]
+        if near:
+            w = [cosines[e] ** 2 for _, e in near]
+            told = sum(a * labels[e] for a, (_, e) in zip(w, near, strict=True))
+            score = (told + 0.5 * base) / (sum(w) + 0.5)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
+        assert got[i]["neighbours"] == [e for _, e in near[:3]]
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(1, t, "a", "b", "c", "d") for t in ("vile scum", "vile scum", "zzz scum")] + [(2, "kind words", "a", "b", "c", "d")], DOCS)
+    given = spark.createDataFrame([(1, 1, 1, "z"), (2, 1, 0, "z")], LABELS)
+    assert toxicity.build_index(docs, given).ids.tolist() == [1, 2]
 
 
 def test_the_risk_is_learned_from_positives_and_unlabelled():

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,43 +45,48 @@ COMMON, BATCH = 16, 256
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word in lower case without marks around it, and its first four and five letters."""
-    bare = word.strip(STRIP)
-    if len(bare) < 3:
-        return ()
-    return (bare, *(bare[:n] + "*" for n in (4, 5) if len(bare) > n))
+def terms_of(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The terms of distinct words, and which word each is of: the word without marks around it, and its
+    first four and five letters."""
+    bare = pc.utf8_trim(words, characters=STRIP)
+    size = pc.utf8_length(bare).to_numpy()
+    owners, terms = [np.flatnonzero(size > 2)], [bare.filter(pa.array(size > 2))]
+    for n in (4, 5):
+        longer = bare.filter(pa.array(size > n))
+        owners.append(np.flatnonzero(size > n))
+        terms.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(longer, 0, n), "*", ""))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], pa.concat_arrays(terms).take(pa.array(order))
 
 
 def lower_words(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.string())), word_and_space)
 
 
-def term_counts(texts: pa.Array, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def term_counts(texts: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Text, term and count of each term of each text, and the terms. Only ``known`` terms if given."""
     words = lower_words(texts)
-    names: dict[str, int] = {} if known is None else known
-    owner, ids = [], []
-    for i, w in enumerate(words.distinct):
-        for term in terms_of(w):
-            t = names.setdefault(term, len(names)) if known is None else names.get(term)
-            if t is not None:
-                owner.append(i)
-                ids.append(t)
-    listed = list(names) if known is None else []
+    owner, terms = terms_of(pa.array(words.distinct, pa.string()))
+    if known is None:
+        coded = terms.dictionary_encode()
+        ids, listed = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    else:
+        ids, listed = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy().astype(np.int64), known
+        owner, ids = owner[ids >= 0], ids[ids >= 0]
     none = np.zeros(0, dtype=np.int64)
-    if not ids:
+    if not len(ids):
         return none, none, none, listed
     # Words of one code have several terms: a list of terms for each code.
     size = np.bincount(owner, minlength=len(words.distinct))
-    begin, terms = np.cumsum(size) - size, np.array(ids, dtype=np.int64)
+    begin = np.cumsum(size) - size
     text_of = np.repeat(np.arange(len(words.ends)), np.diff(words.ends, prepend=0))
     has = size[words.codes] > 0
     codes, text_of = words.codes[has], text_of[has]
     each = size[codes]
     at = np.repeat(begin[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    span = max(1, len(names))
-    pairs, counts = np.unique(np.repeat(text_of, each) * span + terms[at], return_counts=True)
+    span = max(1, len(listed))
+    pairs, counts = np.unique(np.repeat(text_of, each) * span + ids[at], return_counts=True)
     return pairs // span, pairs % span, counts, listed
 
 
@@ -90,12 +95,6 @@ def association(n1: np.ndarray, n0: np.ndarray, share: float) -> np.ndarray:
     return np.maximum(np.abs(np.log((n1 + PRIOR * share) / (n1 + n0 + PRIOR) / share)), LEAST)
 
 
-@lru_cache(maxsize=1)
-def numbers(names: str) -> dict[str, int]:
-    """Numbers of the terms of a text of lines; no term holds a line end."""
-    return {name: i for i, name in enumerate(names.split("\n"))} if names else {}
-
-
 def packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
     """A document's terms, in order, and their counts."""
     return zlib.compress(np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4").tobytes(), 1)
@@ -123,15 +122,20 @@ class Lists:
 
     def added(self, keys: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
         """Per place, the sum of its values under the keys, times the keys' ``q``."""
-        where, sizes = self.places(keys)
-        return np.bincount(self.at[where], np.repeat(q, sizes) * self.value[where], minlength=n)
+        if not len(keys):
+            return np.zeros(n)
+        first, last = self.begin[keys].tolist(), self.begin[keys + 1].tolist()
+        at = np.concatenate([self.at[a:b] for a, b in zip(first, last, strict=True)])
+        value = np.concatenate([self.value[a:b] for a, b in zip(first, last, strict=True)])
+        sizes = self.begin[keys + 1] - self.begin[keys]
+        return np.bincount(at, np.repeat(q.astype(np.float32), sizes) * value, minlength=n)
 
 
 @dataclass
 class Index:
     """Examples' unit vectors by example and by term. ``idf`` is a term's weight: IDF times association."""
 
-    terms: dict[str, int] | str
+    terms: pa.Array
     idf: np.ndarray
     base: float
     empty: float
@@ -146,10 +150,6 @@ class Index:
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> None:
         self.packed, self.y, self.ids = [packed(t, c) for t, c in vectors], y, ids
 
-    @cached_property
-    def numbers(self) -> dict[str, int]:
-        return numbers(self.terms) if isinstance(self.terms, str) else self.terms
-
     @cached_property
     def rows(self) -> Lists:
         """The terms and weights of each example. Made by each worker, as all else that is cached."""
@@ -221,8 +221,7 @@ class Index:
         out: list[tuple[float, list[int], list[str]]] = [(self.empty, [], [])] * len(texts)
         if not len(self.y):
             return out
-        text, term, count, _ = term_counts(texts, self.numbers)
-        names = list(self.numbers)
+        text, term, count, _ = term_counts(texts, self.terms)
         cuts = np.flatnonzero(np.diff(text)) + 1
         same: dict[bytes, list[int]] = {}
         vectors = []
@@ -238,36 +237,36 @@ class Index:
                 score = self.vote(found, cosines) if len(found) else self.empty
                 heaviest = t[np.argsort(-self.weights(t, c), kind="stable")[:5]]
                 for i in rows:
-                    out[i] = (score, self.ids[found[:3]].tolist(), [names[x] for x in heaviest])
+                    out[i] = (score, self.ids[found[:3]].tolist(), self.terms.take(pa.array(heaviest)).to_pylist())
         return out
 
 
-def vocabulary(sample: DataFrame) -> tuple[str, np.ndarray]:
-    """Every term of the sample's documents, a line each, and its association with the label. None
-    if the sample lacks either label."""
+def vocabulary(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """Every term of the sample's documents, and its association with the label. None if the sample
+    lacks either label."""
     totals = sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["y"]: r["n"] for r in totals}
     if len(n) < 2:
-        return "", np.zeros(0)
+        return pa.array([], pa.string()), np.zeros(0)
 
     def work(run: pa.RecordBatch) -> dict:
         text, term, _, names = term_counts(run.column("text"))
         y = run.column("y").to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, dtype=int)
         n1 = np.bincount(term[y == 1], minlength=len(names)) if names else np.zeros(0, dtype=int)
         n0 = np.bincount(term[y == 0], minlength=len(names)) if names else np.zeros(0, dtype=int)
-        return {"term": pa.array(names, pa.string()), "n1": pa.array(n1, pa.int64()), "n0": pa.array(n0, pa.int64())}
+        return {"term": names, "n1": pa.array(n1, pa.int64()), "n0": pa.array(n0, pa.int64())}
 
     counted = map_runs(sample, ["text", "y"], "term string, n1 long, n0 long", work)
     counted = counted.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow().sort_by("term")
     n1, n0 = (counted.column(c).to_numpy().astype(float) for c in ("n1", "n0"))
-    return "\n".join(counted.column("term").to_pylist()), association(n1, n0, n[1] / (n[0] + n[1]))
+    return pa.array(counted.column("term").to_pylist(), pa.string()), association(n1, n0, n[1] / (n[0] + n[1]))
 
 
-def document_frequencies(docs: DataFrame, names: Broadcast[str], terms: int) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, names: Broadcast[pa.Array], terms: int) -> tuple[int, np.ndarray]:
     """The number of rows of ``docs``, and of those with each of the ``terms`` terms."""
 
     def work(run: pa.RecordBatch) -> dict:
-        _, term, _, _ = term_counts(run.column("text"), numbers(names.value))
+        _, term, _, _ = term_counts(run.column("text"), names.value)
         count = np.bincount(term, minlength=1)
         found = np.flatnonzero(count)
         # Rows as such count under -1.
@@ -286,13 +285,14 @@ def document_frequencies(docs: DataFrame, names: Broadcast[str], terms: int) ->
 def build_index(docs: DataFrame, labels: DataFrame) -> Index:
     """Index of at most ``LABELLED`` labelled documents outside the held-out part, with every term."""
     chosen = labelled_ids(labels, "toxic", PARTS, HELD, LABELLED)
-    # At most LABELLED rows of an id and a label.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # At most LABELLED rows of an id and a label; of several texts of an id the least stands.
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     names, associated = vocabulary(sample)
     known = docs.sparkSession.sparkContext.broadcast(names)
 
     def work(run: pa.RecordBatch) -> dict:
-        text, term, count, _ = term_counts(run.column("text"), numbers(known.value))
+        text, term, count, _ = term_counts(run.column("text"), known.value)
         cuts = np.searchsorted(text, np.arange(run.num_rows + 1))
         made = [packed(term[a:b], count[a:b]) if b > a else b"" for a, b in zip(cuts, cuts[1:])]
         return {"doc_id": run.column("doc_id"), "y": run.column("y"), "held": pa.array(made, pa.binary())}
@@ -307,7 +307,7 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index:
     some = [r for r in rows if r[1]]
     index.packed, index.y = [r[1] for r in some], np.array([r[2] for r in some], dtype=float)
     index.ids = np.array([r[0] for r in some], dtype=np.int64)
-    if names:
+    if len(names):
         total, df = document_frequencies(docs, known, len(associated))
         index.idf = (np.log((total + 1) / (df + 1)) + 1) * associated
     return index
