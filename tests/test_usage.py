@@ -116,3 +116,34 @@ def test_history_percent_rounds_half_up(spark):
     df = spark.createDataFrame([(8, 7), (200, 199), (0, 0)], "a long, b long")
     out = [r[0] for r in df.select(U.history_percent(F.col("a"), F.col("b"))).collect()]
     assert out == [13, 1, 0]
+
+
+def test_sliding_limit_equals_a_plain_walk(spark):
+    """Bursts, quiet hours, floods without a pause and equal times, in sessions of every size."""
+    import datetime
+    import random
+
+    draw, rows = random.Random(11), []
+    for session in range(8):
+        at = 0
+        for _ in range((0, 1, 40, 150, 150, 300, 300, 80)[session]):
+            # Session 6 never pauses, 7 has equal times only.
+            at += 0 if session == 7 else draw.randint(0, 9) if session == 6 or draw.random() < 0.8 else draw.randint(50, 200)
+            rows.append((len(rows), f"s{session}", at))
+    draw.shuffle(rows)
+    start = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame(
+        [(i, s, start + datetime.timedelta(seconds=at)) for i, s, at in rows], "event_id long, session_id string, ts timestamp"
+    )
+    for limit in (1, 3, 12):
+        expected = {}
+        for session in {s for _, s, _ in rows}:
+            accepted = []
+            for at, i in sorted((at, i) for i, s, at in rows if s == session):
+                ok = sum(t > at - 60 for t in accepted) < limit
+                accepted += [at] * ok
+                expected[i] = ok
+        assert len(set(expected.values())) == 2
+        for hot in (0, 100):
+            found = {r["event_id"]: r["allowed"] for r in U.sliding_limit(events, limit, 1, hot).collect()}
+            assert found == expected

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,10 @@ from tokenloom.operators.safety import key_hint
 from tokenloom.plans.groups import (
     HOT_ROWS,
     blocks_before,
+    cut_lineage,
     numbered,
     ordered_blocks,
     split_hot,
-    walk_in_order,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -296,6 +299,68 @@ def _accepted(attempts: Column, start: Column, limit: int, span: int) -> Column:
     return F.aggregate(attempts, start, step)
 
 
+def _busy_stretches(events: DataFrame, limit: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """The events (event_id, session_id, us) that are surely accepted, and the others in stretches.
+
+    An event is heavy if its session had ``limit`` others, refused ones included, within ``span`` before; all
+    others are surely accepted. Time is cut in buckets of ``span``; those within one of a heavy event are
+    busy. A decision in doubt only looks back one span, so a run of busy buckets decides without the rest
+    of its session, and the events of all other buckets are accepted. Needs one numbering along each session and
+    joins on (session, number) and (session, bucket); no task holds a session.
+    """
+    rows = numbered(events, ["session_id"], ["us", "event_id"], "nth", None, HOT_ROWS)
+    rows = cut_lineage(rows.withColumn("bucket", F.floor(F.col("us") / span)))
+    # The event ``limit`` places before.
+    before = rows.select("session_id", (F.col("nth") + limit).alias("nth"), F.col("us").alias("_us"))
+    heavy = rows.join(before, ["session_id", "nth"]).filter(F.col("_us") > F.col("us") - span)
+    near = F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket")
+    busy = heavy.select("session_id", "bucket").distinct().select("session_id", near).distinct()
+    # There are as many buckets as spans of time, however many events they hold.
+    order = Window.partitionBy("session_id").orderBy("bucket")
+    starts = F.coalesce(F.col("bucket") - F.lag("bucket").over(order) > 1, F.lit(True)).cast("int")
+    busy = busy.withColumn("_start", starts).withColumn("stretch", F.sum("_start").over(order))
+    busy = cut_lineage(busy.select("session_id", "bucket", "stretch"))
+    slim = rows.select("event_id", "session_id", "us", "bucket")
+    quiet = slim.join(busy, ["session_id", "bucket"], "left_anti").select("event_id")
+    return quiet, slim.join(busy, ["session_id", "bucket"]).select("event_id", "session_id", "stretch", "us")
+
+
+def _jump_through(stretches: DataFrame, limit: int, span: int) -> DataFrame:
+    """The accepted events of busy stretches: event_id.
+
+    The next event that can be accepted after ``limit`` others is the first one a span after the earliest
+    of them: it is found by a search in the ordered times, so refused events cost nothing.
+    """
+    placed = stretches.repartition("session_id", "stretch").sortWithinPartitions("session_id", "stretch", "us", "event_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, recent = None, deque(maxlen=limit)
+        for batch in batches:
+            us = batch.column("us").to_numpy()
+            session, stretch = batch.column("session_id"), batch.column("stretch").to_numpy()
+            codes = session.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(codes) != 0) | (np.diff(stretch) != 0)) + 1
+            ok = np.zeros(len(us), dtype=bool)
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), len(us)], strict=True):
+                key = session[first].as_py(), int(stretch[first])
+                if key != current:
+                    current = key
+                    recent.clear()
+                at = first
+                while at < end:
+                    if len(recent) == limit:
+                        at += int(np.searchsorted(us[at:end], recent[0] + span))
+                        if at >= end:
+                            break
+                    ok[at] = True
+                    recent.append(int(us[at]))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([batch.column("event_id").filter(pa.array(ok))], names=["event_id"])
+
+    kind = stretches.schema["event_id"].dataType.simpleString()
+    return placed.mapInArrow(walk, f"event_id {kind}")
+
+
 def sliding_limit(
     events: DataFrame,
     limit: int = CHAT_LIMIT,
@@ -305,13 +370,16 @@ def sliding_limit(
     """At most ``limit`` accepted events per session in the last ``minutes``.
 
     Refused events are not logged, so each decision needs the earlier ones. Sessions up to
-    ``hot`` events fold in one array; the events of longer ones stream through in order, with at
-    most ``limit`` accepted times at hand.
+    ``hot`` events fold in one array. Longer ones are cut where no decision looks across, and jump from
+    one accepted event to the next; only a session that stays above the limit without a pause is one
+    stretch, and passes as sorted batches with ``limit`` times at hand.
     """
     span = minutes * 60 * 1_000_000
     slim = events.select(
         "event_id", "session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     )
+    if limit < 1:
+        return slim.select("event_id", F.lit(False).alias("allowed"))
     attempt = F.struct("us", "event_id")
     id_type = slim.schema["event_id"].dataType.simpleString()
     usual, long_ones = split_hot(slim, ["session_id"], hot)
@@ -327,20 +395,8 @@ def sliding_limit(
         F.explode(_accepted(F.col("_a"), begin(empty), limit, span)["ids"]).alias("event_id")
     )
     if long_ones is not None:
-
-        def judge(recent: deque, event: tuple) -> tuple:
-            event_id, _, us = event
-            while recent and recent[0] <= us - span:
-                recent.popleft()
-            ok = len(recent) < limit
-            if ok:
-                recent.append(us)
-            return event_id, ok
-
-        judged = walk_in_order(
-            long_ones.select("event_id", "session_id", "us"), "session_id", ["us", "event_id"], f"event_id {id_type}, ok boolean", deque, judge
-        )
-        accepted = accepted.unionByName(judged.filter("ok").select("event_id"))
+        quiet, busy = _busy_stretches(long_ones, limit, span)
+        accepted = accepted.unionByName(quiet).unionByName(_jump_through(busy, limit, span))
     marks = accepted.withColumn("_ok", F.lit(True))
     return events.select("event_id").join(marks, "event_id", "left").select(
         "event_id", F.coalesce("_ok", F.lit(False)).alias("allowed")
