@@ -192,7 +192,9 @@ def test_glued_words_meet_every_rule(spark, name):
         parts = []
         for _ in range(chance.randint(1, 7)):
             word = chance.choice(words)
-            word = chance.choice([word, word, word.upper(), word.capitalize()])
+            # Four letters beyond ASCII match ASCII ones where case is told by Unicode.
+            folded = word.replace(*chance.choice([("s", "ſ"), ("i", "ı"), ("i", "İ"), ("k", "\u212a")]))
+            word = chance.choice([word, word, word.upper(), word.capitalize(), folded])
             parts += [word, chance.choice(["", "", " ", " ", "  ", "'", ", "])]
         texts.append(("".join(parts),))
         pattern = chance.choice(rules.rules)[0]
@@ -228,3 +230,43 @@ def test_domain_and_topic(one):
     assert one(R.detect_domain_column, "only revenue here") is None
     assert one(R.topic_column, "What does it COST?") == "pricing"
     assert one(R.topic_column, "zzz") == "other"
+
+
+def test_joined_rules_equal_listed_rules(spark):
+    """Long rule tables: chains of rules, words that grow together, marks, cases, letters beyond ASCII."""
+    import random
+
+    chance = random.Random(12)
+    words = ["foo", "bar", "baz", "kiss", "sink", "é", "État", "ÉTAT", "ſink", "\u212aiss", "straße", "STRASSE", "a_b", "x1", "日本", "->", "c++", "$5", "a.b"]
+    rows = []
+    for pos in range(150):
+        pattern = chance.choice(["", " ", "-"]).join(chance.choices(words, k=chance.randint(1, 2)))
+        pattern = chance.choice([pattern, pattern, pattern + chance.choice("-+."), chance.choice("-(") + pattern])
+        put = chance.choice(["", "X", "$1", "\\", chance.choice(words), chance.choice(words) + " " + chance.choice(words), None])
+        rows.append((pos, pattern, put))
+    rules = spark.createDataFrame(rows, "pos long, pattern string, replacement string")
+    texts = ["", None, "foo-bar", "foofoo", "x" * 50_000 + " foo " + "bar " * 5_000]
+    for _ in range(400):
+        parts = [chance.choice([w, w.upper(), w.lower()]) for w in chance.choices(words, k=chance.randint(1, 9))]
+        texts.append("".join(p + chance.choice([" ", " ", "-", "", ", "]) for p in parts))
+    df = spark.createDataFrame([(t, "clash") for t in texts], "text string, rules string").repartition(4)
+    listed = C.apply_rules(df, rules, most=1000)
+    joined = C.apply_rules(df, rules, most=0)
+    assert joined.columns == listed.columns
+    key = lambda r: (r["text"] or "", r["compressed"] or "")
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, listed.collect()), key=str)
+    assert sum(key(r)[0] != key(r)[1] for r in listed.collect()) > 100
+    hits = [sorted(map(tuple, C.rule_hits(df, rules, most=m).collect())) for m in (0, 1000)]
+    assert hits[0] == hits[1] and sum(h[1] for h in hits[0]) > 100
+    assert C.apply_rules(df.limit(0), rules, most=0).count() == 0
+    assert C.apply_rules(df, rules.limit(0), most=-1).filter("NOT text <=> compressed").count() == 0
+
+
+def test_a_hundred_thousand_rules(spark):
+    n = 100_000
+    rules = spark.range(n).selectExpr("id AS pos", "concat('common word', id) AS pattern", "concat('w', id) AS replacement")
+    df = spark.range(300).selectExpr("id", "concat('A common word', id * 7, ' and Common Word', id, '; common word') AS text")
+    got = {r["id"]: r["compressed"] for r in C.apply_rules(df, rules).collect()}
+    assert got == {i: f"A w{i * 7} and w{i}; common word" for i in range(300)}
+    hits = C.rule_hits(df, rules).filter("hits > 0").agg(F.sum("hits"), F.count("rule")).first()
+    assert tuple(hits) == (600, len({i * k for i in range(300) for k in (1, 7)}))

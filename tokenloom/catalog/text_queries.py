@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tokenloom.catalog.base import (
+    SQL,
     count_sql,
     density_sql,
     entities_sql,
@@ -536,6 +537,18 @@ def rule_hits(spark, sf_dir):
     return C.rule_hits(view(spark, sf_dir, "prompts_v"), _custom_rules(spark))
 
 
+@query("apply_rules_joined", SQL["apply_rules"])
+def apply_rules_joined(spark, sf_dir):
+    """The form for long rule tables, forced."""
+    docs = view(spark, sf_dir, "prompts_v")
+    return C.apply_rules(docs, _custom_rules(spark), most=0).select("doc_id", "compressed")
+
+
+@query("rule_hits_joined", SQL["rule_hits"])
+def rule_hits_joined(spark, sf_dir):
+    return C.rule_hits(view(spark, sf_dir, "prompts_v"), _custom_rules(spark), most=0)
+
+
 @query(
     "retention",
     f"""{view_sql('prompts_v')}

@@ -25,12 +25,15 @@ RULE_TYPE = (
 )
 Rule = tuple[str, str]
 _BORDER, _UNSURE = "\x00", "\x01"
+# Letters that match an ASCII letter where case is told by Unicode, and those letters.
+FOLDING = ("ſıİ\u212a", "siik")
 
 
-def needed_words(pattern: str) -> list[tuple[set[str], set[str]]]:
+def needed_words(pattern: str, ascii: bool = False) -> list[tuple[set[str], set[str]]]:
     """What every match of ``pattern`` contains: for each entry one of its words or parts.
 
-    Words stand alone in the match, parts may touch other letters. All lower case.
+    Words stand alone in the match, parts may touch other letters. All lower case. Where borders are
+    ``ascii``, letters beyond it are parts of their own: an earlier rule's output may stand beside them.
     """
     if pattern == " {2,}":
         return [(set(), {"  "})]
@@ -63,7 +66,7 @@ def needed_words(pattern: str) -> list[tuple[set[str], set[str]]]:
     if "|" in p:
         return [(set(), {""})]
     p = re.sub(r".(?:[?*]|\{[^}]*\})", _UNSURE, p)
-    for match in re.finditer(r"[^\W_]+", p):
+    for match in re.finditer(r"[a-z0-9]+|(?:(?![\x00-\x7f])[^\W_])+" if ascii else r"[^\W_]+", p):
         before, after = p[: match.start()][-1:], p[match.end() :][:1]
         alone = before == _BORDER and after == _BORDER and match[0].isascii()
         needs.append(({match[0]}, set()) if alone else (set(), {match[0]}))
@@ -123,13 +126,13 @@ class RuleSet:
         for pattern, replacement in self.rules:
             glue = _glue_pattern(pattern, replacement)
             needs = []
-            for words, parts in needed_words(pattern):
+            for words, parts in needed_words(pattern, self.ascii):
                 wanted = words | parts
                 for earlier in made:
                     output = earlier["replacement"].lower()
                     if any(w and w in output for w in wanted):
                         wanted |= set(earlier["needs"][0])
-                needs.append(sorted(wanted))
+                needs.append(sorted(w.translate(str.maketrans(*FOLDING)) for w in wanted))
             made.append(
                 {
                     "pattern": self.pattern(pattern),
@@ -152,7 +155,7 @@ class RuleSet:
                 lambda r: F.forall(r["needs"], lambda n: F.exists(n, lambda w: F.contains(low, w))),
             )
 
-        return let(F.lower(text), select)
+        return let(F.lower(F.translate(text, *FOLDING)), select)
 
     def apply(self, text: Column, guarded: bool = True) -> Column:
         """``text`` after every rule in order; ``guarded=False`` tries them all."""
@@ -182,6 +185,28 @@ class RuleSet:
         return let(text, rewrite)
 
 
+# A border of words in ASCII, as a browser has them.
+BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<!\w)", r"(?!\w)"
+
+
+class LiteralRules(RuleSet):
+    """Ordered rules whose patterns are texts between borders of ASCII words."""
+
+    def __init__(self, rules: Sequence[Rule]):
+        super().__init__([(whole_words(p), literal_replacement(r)) for p, r in rules], ascii=True)
+
+    def pattern(self, pattern: str) -> str:
+        return ("(?i)" if pattern.isascii() else "(?iu)") + pattern
+
+
+def whole_words(text: str) -> str:
+    """A pattern for ``text`` itself, with a border of ASCII words at each end."""
+    before = NO_WORD_BEFORE if re.match("[A-Za-z]", text) else BORDER
+    after = NO_WORD_AFTER if re.search(r"[A-Za-z]\Z", text) else BORDER
+    return before + escape_literal(text) + after
+
+
 def literal_replacement(text: str) -> str:
     """``text`` as a replacement that stands for itself."""
     return text.replace("\\", "\\\\").replace("$", "\\$")

@@ -5,21 +5,24 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
 from tokenloom.functions.columns import half_even, let
 from tokenloom.functions.rewrite import (
+    LiteralRules,
     Rule,
     RuleSet,
-    escape_literal,
-    literal_replacement,
+    whole_words,
 )
 from tokenloom.functions.rules import basic, packs, pro, standard, vocabulary
+from tokenloom.operators.custom_rules import apply_many, count_hits
 from tokenloom.operators.routing import detect_domain_column
 
 TIERS = ("standard", "pro", "developer")
+# Rules of a user up to which they are a constant in the plan.
+LISTED_RULES = 500
 
 
 def compress_basic_column(text: Column) -> Column:
@@ -272,37 +275,42 @@ def apply_pack(df: DataFrame, domain: str = "domain", text: str = "text") -> Dat
     return df.withColumn("compressed", apply_pack_column(F.col(text), F.col(domain)))
 
 
-def load_rules(rules_df: DataFrame) -> list[Rule]:
-    """Read a user's rule list (``pos, pattern, replacement``) as literal whole-word rules.
+def listed_rules(rules_df: DataFrame, most: int) -> list[Row] | None:
+    """A user's rules (``pos, pattern, replacement``) in order, or None if there are more than ``most``."""
+    rows = rules_df.filter("pattern IS NOT NULL").orderBy("pos").limit(most + 1).collect()
+    return rows if len(rows) <= most else None
 
-    A rule list is configuration and is read whole; its order is that of ``pos``.
-    """
-    rows = rules_df.orderBy("pos").select("pattern", "replacement").collect()
-    return [
-        (rf"\b{escape_literal(r['pattern'])}\b", literal_replacement(r["replacement"])) for r in rows
-    ]
 
+def apply_rules(df: DataFrame, rules_df: DataFrame, text: str = "text", most: int = LISTED_RULES) -> DataFrame:
+    """Add ``compressed``: ``text`` after a user's rules, literal whole-word substitutions in the order of ``pos``.
 
-def apply_rules(df: DataFrame, rules_df: DataFrame, text: str = "text") -> DataFrame:
-    rules = RuleSet(load_rules(rules_df), ascii=True)
+    Up to ``most`` rules are a constant in the plan; more are joined with the texts by their rarest words.
+    """
+    rows = listed_rules(rules_df, most)
+    if rows is None:
+        return apply_many(df, rules_df, text)
+    rules = LiteralRules([(r["pattern"], r["replacement"] or "") for r in rows])
     return df.withColumn("compressed", rules.apply(F.col(text)))
 
 
-def rule_hits(df: DataFrame, rules_df: DataFrame, text: str = "text") -> DataFrame:
+def rule_hits(df: DataFrame, rules_df: DataFrame, text: str = "text", most: int = LISTED_RULES) -> DataFrame:
     """Matches of every rule in the original texts: rule (its ``pos``), hits, texts with a hit.
 
     Each rule is counted for itself, also one whose pattern another has. Counts are made inside a
-    row, so a text is never copied.
+    row, so a text is never copied. More than ``most`` rules are joined as in ``apply_rules``.
     """
-    spec = RuleSet([], ascii=True)
+    rows = listed_rules(rules_df, most)
+    if rows is None:
+        return count_hits(df, rules_df, text)
+    spec = LiteralRules([])
     rules = [
         {
             "rule": r["pos"],
-            "pattern": spec.pattern(rf"\b{escape_literal(r['pattern'])}\b"),
+            "pattern": spec.pattern(whole_words(r["pattern"])),
             # Letters beyond ASCII have more forms than their lower case.
             "low": r["pattern"].lower() if r["pattern"].isascii() else "",
         }
-        for r in rules_df.select(F.col("pos").cast("long").alias("pos"), "pattern").collect()
+        for r in rows
     ]
     listed = F.from_json(
         F.lit(json.dumps(rules, ensure_ascii=False)),
