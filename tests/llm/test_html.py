@@ -99,3 +99,42 @@ def test_table_of_pages(spark):
     expected = [(1, "u", "é & a", 5)] * 2 + [(2, None, "", 0), (0, "v", "", 0), (3, "w", "deep", 4), (4, "x", ("long, " * 50_000).strip(), 299_999)]
     assert found == sorted(expected, key=str)
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+PROSE = "<p>" + "The river rose in the night, and the town woke to water. " * 3 + "</p>"
+TEXT = " ".join(PROSE[3:-4].split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script>if(a<b){x()}</script><article>PROSE</article>",
+        "<article>PROSE<script>for(i=0;i<n;i++){s+='</p>'}</script></article>",
+        "<article><style>a<b{}</style>PROSE</article>",
+        "<article><!-->PROSE<!----><!-- a > b --!></article>",
+        "<article>PROSE<div class=ad><h1>Buy now</h1><p>Cheap, cheap, cheap</p></div></article>",
+        "<div class='banner ad'><h1>Buy now</h1></div><article>PROSE</article>",
+        "<article>PROSE</article><section class=comments><article class=comment-body><p>First, I say, I am first here.</p></article></section>",
+        "<div class=story>PROSE<section class=comments><article class='comment'><p>I, for one, agree with it all.</p></article></section></div>",
+        "<article>PROSE<article class=comment><p>Nested, but a comment all the same.</p></article></article>",
+        "<div class='layout has-sidebar'><article>PROSE</article><div class=sidebar><p>Other news, and more.</p></div></div>",
+        "<div class='sidebar-layout'><article>PROSE</article></div>",
+    ],
+)
+def test_probed_pages(page):
+    assert main_text(page.replace("PROSE", PROSE)) == TEXT
+
+
+def test_a_header_keeps_the_only_title():
+    page = f"<div class='entry-header'><h1>High water</h1></div><div class=story>{PROSE}</div>"
+    assert main_text(f"<article>{page}</article>") == f"High water\n{TEXT}"
+
+
+def test_many_scripts_take_linear_time():
+    import time
+
+    page = "<article>" + (PROSE + "<script>if(a<b && c>d){x('</div>')}</script><a href='x>") * 20_000 + "</article>"
+    start = time.process_time()
+    main_text("<article>" + (PROSE + "<script>if(a<b){x()}</script>") * 16_000 + "</article>")
+    assert time.process_time() - start < 15
+    assert main_text(page[:200_000]).startswith(TEXT)

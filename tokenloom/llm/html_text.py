@@ -2,8 +2,9 @@
 
 A page's tags are read into a light tree. Menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts and hidden parts are taken out by tag, role, or the words of class and id. A part
-that only its class or id marks stays if it holds a main element, an h1 or all of the page's articles,
-or, on pages without any of these, most of the page's paragraphs by their points. Every
+that only its class or id marks stays if it holds a main element or all of the page's articles outside
+such parts; one named as a header also if it holds the page's only h1. On pages without any of these, a part
+stays that holds most of the page's paragraphs by their points. Every
 block that holds text gives points for its length and its commas, less the share of its text that is
 links; they go to its parent in full and to further ancestors in falling parts. The container with
 the most points, discounted by its own link density, is the best; if it lies in an article or main
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenloom.llm.common import map_runs, texts_of
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -54,17 +56,25 @@ DROP_WORDS = frozenset(
     "pager pagination paywall popup promo promotion recommended related replies respond share sharing sidebar sitemap "
     "skip social sponsor sponsored subscribe subscription toolbar tracking widget widgets".split()
 )
+# Of those, words of parts that may hold the article's own title, and words of reader comments.
+TITLE_WORDS = frozenset({"header", "masthead", "banner"})
+COMMENT_WORDS = frozenset({"comment", "comments", "disqus", "replies", "respond"})
 # Words that make what follows a statement about the layout: no-sidebar, has-menu.
 LAYOUT = frozenset("no not has have with without elementor".split())
 NEVER = frozenset({"html", "body", "article", "main"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 
+@lru_cache(maxsize=None)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b", re.IGNORECASE)
+
+
 class Page:
     """Nodes in page order, each with its parent and last descendant, and the texts between tags."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.last, self.dropped, self.marked = ["#"], [-1], [0], [False], [False]
+        self.tag, self.parent, self.last, self.dropped, self.marked = ["#"], [-1], [0], [False], [0]
         self.texts: list[tuple[int, int, bool, str]] = []  # node, block, in a link, text
         self.stack, self.blocks, self.links = [0], [0], 0
         self.read(source)
@@ -73,12 +83,8 @@ class Page:
         self.drop_marked()
 
     def read(self, source: str) -> None:
-        at, skip = 0, None
-        for m in _TAG.finditer(source):
-            if skip is not None:
-                if m.start() < skip:
-                    continue
-                skip = None
+        at = 0
+        while m := _TAG.search(source, at):
             if m.start() > at:
                 self.text(source[at : m.start()])
             at = m.end()
@@ -90,8 +96,9 @@ class Page:
                 continue
             self.start(name, m[3] or "")
             if name in RAW:
-                found = re.compile(rf"</{name}\b", re.IGNORECASE).search(source, at)
-                at = skip = found.start() if found else len(source)
+                # Whatever is inside is no tag, up to the element's own end.
+                found = _raw_end(name).search(source, at)
+                at = found.start() if found else len(source)
         if at < len(source):
             self.text(source[at:])
 
@@ -141,9 +148,12 @@ class Page:
         self.tag.append(name)
         self.parent.append(parent)
         self.last.append(node)
-        self.marked.append(False)
+        self.marked.append(0)
         self.dropped.append(self.dropped[parent] or self.unwanted(name, attributes))
-        self.marked[node] = not self.dropped[node] and name not in NEVER and self.named_so(attributes)
+        if not self.dropped[node] and (name not in NEVER or name == "article"):
+            mark = self.named_so(attributes)
+            # An article is one, whatever it is called, but for reader comments.
+            self.marked[node] = mark if name != "article" or mark == 3 else 0
         self.stack.append(node)
         if name == "a":
             self.links += 1
@@ -168,22 +178,32 @@ class Page:
                 return True
         return False
 
-    def named_so(self, attributes: str) -> bool:
-        """Whether a word of the class or id marks the element as no article."""
+    def named_so(self, attributes: str) -> int:
+        """Whether a word of the class or id marks the element as no article: 1 if it may hold a title,
+        3 if it holds comments, 2 if it is anything else of that kind."""
+        mark = 0
         for m in _ATTRIBUTE.finditer(attributes):
             if m[1].lower() in ("class", "id"):
                 for name in (m[2] or "").strip("\"'").split():
                     words = _WORD.findall(_SMALL.sub(" ", name).lower())
-                    if any(w in DROP_WORDS and LAYOUT.isdisjoint(words[:i]) for i, w in enumerate(words)):
-                        return True
-        return False
+                    for i, w in enumerate(words):
+                        if w in DROP_WORDS and LAYOUT.isdisjoint(words[:i]):
+                            mark = max(mark, 1 if w in TITLE_WORDS else 3 if w in COMMENT_WORDS else 2)
+        return mark
 
     def drop_marked(self) -> None:
         """Drop the marked parts with all inside, but those that hold the article."""
         if not any(self.marked):
             return
-        points = [0.0] * len(self.tag)
-        tops, articles = ([int(t in of and not d) for t, d in zip(self.tag, self.dropped, strict=True)] for of in (("main", "h1"), ("article",)))
+        n = len(self.tag)
+        points, tops, titles, articles = [0.0] * n, [0] * n, [0] * n, [0] * n
+        hidden = [False] * n  # in a part marked as more than a title's
+        for node in range(1, n):
+            hidden[node] = hidden[self.parent[node]] or self.marked[node] > 1
+            if not self.dropped[node]:
+                tops[node] = int(self.tag[node] == "main")
+                titles[node] = int(self.tag[node] == "h1")
+                articles[node] = int(self.tag[node] == "article" and not hidden[node])
         chars: dict[int, list] = {}
         for _, block, linked, text in self.texts:
             own = chars.setdefault(block, [0, 0, 0])
@@ -194,18 +214,20 @@ class Page:
         for block, (size, linked, commas) in chars.items():
             if size:
                 points[block] = (1 + commas + min(size / 100, 3)) * (1 - linked / size)
-        for node in range(len(self.tag) - 1, 0, -1):
-            points[self.parent[node]] += points[node]
-            tops[self.parent[node]] += tops[node]
-            articles[self.parent[node]] += articles[node]
-        for node in range(1, len(self.tag)):
+        for node in range(n - 1, 0, -1):
+            for counts in (points, tops, titles, articles):
+                counts[self.parent[node]] += counts[node]
+        for node in range(1, n):
             if self.dropped[self.parent[node]]:
                 self.dropped[node] = True
             elif self.marked[node] and not tops[node]:
+                most = points[node] > points[0] * (0.9 if self.marked[node] == 3 else 0.5)
+                if self.marked[node] == 1 and titles[node] and (titles[node] == titles[0] or most):
+                    continue
                 if articles[0]:
                     self.dropped[node] = articles[node] < articles[0]
                 else:
-                    self.dropped[node] = tops[0] > 0 or points[node] <= points[0] / 2
+                    self.dropped[node] = tops[0] > 0 or not most or (titles[0] > titles[node])
         self.texts = [t for t in self.texts if not self.dropped[t[0]]]
 
     def within(self, node: int, top: int) -> bool:
