@@ -107,7 +107,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Lists:
-    """Values by key, the keys' places one after another: ``at`` and ``value`` of key i from
+    """Numbers by key, the keys' places one after another: ``at`` and ``value`` of key i from
     ``begin[i]`` to ``begin[i + 1]``."""
 
     begin: np.ndarray
@@ -151,20 +151,26 @@ class Index:
         self.packed, self.y, self.ids = [packed(t, c) for t, c in vectors], y, ids
 
     @cached_property
-    def rows(self) -> Lists:
-        """The terms and weights of each example. Made by each worker, as all else that is cached."""
+    def rows(self) -> tuple[Lists, np.ndarray]:
+        """The terms and counts of each example, and its vector's length. Made by each worker, as all
+        else that is cached; the packed form is given up for it."""
         begin = np.concatenate([[0], np.cumsum([len(unpacked(x)[0]) for x in self.packed])])
-        held, weight = np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1])
+        most = max((int(unpacked(x)[1].max()) for x in self.packed), default=0)
+        held = np.empty(begin[-1], dtype=np.int32)
+        count = np.empty(begin[-1], dtype=np.uint16 if most < 1 << 16 else np.uint32)
+        length = np.empty(len(self.packed))
         for e, x in enumerate(self.packed):
             terms, counts = unpacked(x)
-            held[begin[e] : begin[e + 1]] = terms
-            weight[begin[e] : begin[e + 1]] = self.weights(terms, counts)
-        return Lists(begin, held, weight)
+            held[begin[e] : begin[e + 1]], count[begin[e] : begin[e + 1]] = terms, counts
+            length[e] = np.sqrt((((1 + np.log(counts)) * self.idf[terms]) ** 2).sum())
+        self.packed = []
+        return Lists(begin, held, count), length
 
     @cached_property
     def by_term(self) -> tuple[np.ndarray, np.ndarray, Lists]:
         """Each term's row in the matrix of common terms, or -1; the matrix; the others' postings."""
-        n = np.bincount(self.rows.at, minlength=len(self.idf))
+        rows, length = self.rows
+        n = np.bincount(rows.at, minlength=len(self.idf))
         often = np.flatnonzero(n * COMMON > len(self.y))
         row = np.full(len(self.idf), -1, dtype=np.int32)
         row[often] = np.arange(len(often))
@@ -175,8 +181,9 @@ class Index:
         free = begin[:-1].copy()
         # Example by example, so that no more memory is used than the lists take.
         for e in range(len(self.y)):
-            part = slice(self.rows.begin[e], self.rows.begin[e + 1])
-            terms, weight = self.rows.at[part], self.rows.value[part]
+            part = slice(rows.begin[e], rows.begin[e + 1])
+            terms = rows.at[part]
+            weight = (1 + np.log(rows.value[part].astype(float))) * self.idf[terms] / length[e]
             common = row[terms] >= 0
             matrix[row[terms[common]], e] = weight[common]
             to = free[terms[~common]]
@@ -198,15 +205,17 @@ class Index:
         # No cosine is above 1, so this is above what rounding can add or take.
         slack = (len(matrix) + 8) * 2.0**-23
         n, out, query = len(self.y), [], np.zeros(len(self.idf))
+        rows, length = self.rows
         for (t, _), w, near in zip(vectors, weights, q @ matrix, strict=True):
             rare = row[t] < 0
             near = near + postings.added(t[rare], w[rare], n)
             least = np.partition(near, n - k)[n - k] - 2 * slack if n > k else 0.0
             left = np.flatnonzero(near >= least if least > 0 else near > 0)
-            query[t] = w
-            where, sizes = self.rows.places(left)
+            query[t] = w * self.idf[t]
+            where, sizes = rows.places(left)
             owner = np.repeat(np.arange(len(left)), sizes)
-            cosines = np.bincount(owner, query[self.rows.at[where]] * self.rows.value[where], minlength=len(left))
+            products = query[rows.at[where]] * (1 + np.log(rows.value[where].astype(float)))
+            cosines = np.bincount(owner, products, minlength=len(left)) / length[left]
             query[t] = 0
             best = np.lexsort((left, -np.round(cosines, 9)))[:k]
             out.append((left[best], cosines[best]))
