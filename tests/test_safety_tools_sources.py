@@ -76,9 +76,10 @@ def tool(name, props, required=(), description="", key="parameters"):
     return {"name": name, "description": description, key: {"properties": props, "required": list(required)}}
 
 
-def lines(spark, *tools):
+def lines(spark, *tools, short=True):
     made = O.normalise_tools(catalogue(spark, *tools))
-    rows = O.tool_lines(made, O.param_registry(made)).orderBy("pos").collect()
+    limits = {"max_enum": O.MAX_ENUM, "max_comment": O.MAX_COMMENT} if short else {}
+    rows = O.tool_lines(made, O.param_registry(made), **limits).orderBy("pos").collect()
     return [r["line"] for r in rows]
 
 
@@ -128,6 +129,14 @@ def test_comment_is_cut(spark):
     assert cut == "f()  # " + "d" * 73 + "…"
 
 
+def test_nothing_is_cut_unless_asked_for(spark):
+    choices = [f"c{i}" for i in range(9)]
+    made = tool("f", {"x": {"type": "string", "enum": choices}}, description="d" * 300)
+    assert lines(spark, made, short=False) == [f"f(x: {'|'.join(choices)})  # " + "d" * 300]
+    whole = O.compile_tools(catalogue(spark, made)).first()["dsl"]
+    assert "|".join(choices) in whole and "d" * 300 in whole
+
+
 def test_registry_and_cache(spark):
     shared = {"region": {"type": "string"}}
     tools = [tool(f"t{i}", {**shared, "z": {"type": "number"}} if i < 3 else shared) for i in range(4)]

@@ -50,10 +50,14 @@ _LINES_SQL = """lines AS (SELECT catalog_id, pos, name, CASE WHEN len(comment) >
    FROM part LEFT JOIN registry ON registry.catalog_id = CAST(floor((p_partkey - 1) / 40) AS BIGINT)))"""
 
 
+# The short form of signatures: what is left out is told by this form, not by the operator.
+SHORT = {"max_enum": O.MAX_ENUM, "max_comment": O.MAX_COMMENT}
+
+
 @query("tool_lines", f"WITH {_PARAMS_SQL}, {_LINES_SQL} SELECT * FROM lines")
 def tool_lines(spark, sf_dir):
     tools = O.normalise_tools(catalog(spark, sf_dir))
-    return O.tool_lines(tools, O.param_registry(tools)).select("catalog_id", "pos", "name", "line")
+    return O.tool_lines(tools, O.param_registry(tools), **SHORT).select("catalog_id", "pos", "name", "line")
 
 
 def _dsl_sql(cached: str) -> str:
@@ -75,7 +79,7 @@ FROM (SELECT *, {tokens_sql(token_words_sql('dsl'))} AS compressed_tokens FROM t
 @query("tools_dsl", _dsl_sql("false"))
 def tools_dsl(spark, sf_dir):
     good = catalog(spark, sf_dir)
-    return O.compile_tools(good)
+    return O.compile_tools(good, **SHORT)
 
 
 @query("tools_dsl_next_turn", _dsl_sql("pos % 4 = 0"))
@@ -84,7 +88,7 @@ def tools_dsl_next_turn(spark, sf_dir):
     seen = good.filter("pos % 4 = 0").selectExpr(
         "catalog_id", "'tool_' || CAST(pos AS STRING) AS name"
     )
-    return O.compile_tools(good, seen)
+    return O.compile_tools(good, seen, **SHORT)
 
 
 @query(

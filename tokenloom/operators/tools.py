@@ -45,7 +45,7 @@ OBVIOUS = {
 MAX_ENUM = 3
 MAX_TOOLS = 128
 MIN_SHARED = 3
-MAX_COMMENT, CUT_COMMENT = 80, 77
+MAX_COMMENT, CUT_BY = 80, 3
 TYPE_SYMBOL = "§T"
 # --- end of fixed values ------------------------------------------------------------------------
 
@@ -201,8 +201,8 @@ def param_registry(
     )
 
 
-def _rendered(p: Column) -> Column:
-    choices = F.array_join(F.slice(p["enum"], 1, MAX_ENUM), "|")
+def _rendered(p: Column, max_enum: int | None) -> Column:
+    choices = F.array_join(p["enum"] if max_enum is None else F.slice(p["enum"], 1, max_enum), "|")
     with_default = F.concat(F.lit("="), p["default"])
     kind = F.concat(p["name"], F.lit(": "), p["type"])
     listed = F.concat(p["name"], F.lit(": "), choices)
@@ -225,8 +225,11 @@ def _rendered(p: Column) -> Column:
     )
 
 
-def alias_params(tools: DataFrame, registry: DataFrame) -> DataFrame:
-    """Every parameter as it reads in a signature; shared ones by their symbol."""
+def alias_params(tools: DataFrame, registry: DataFrame, max_enum: int | None = None) -> DataFrame:
+    """Every parameter as it reads in a signature; shared ones by their symbol.
+
+    All choices of a parameter are listed, or the first ``max_enum``.
+    """
     names = registry.select("catalog_id", F.col("name").alias("_n"), F.col("type").alias("_t"), "symbol")
     rows = _params(tools).alias("a")
     same = (
@@ -239,14 +242,24 @@ def alias_params(tools: DataFrame, registry: DataFrame) -> DataFrame:
         "pos",
         "tool",
         "param_no",
-        F.coalesce("symbol", _rendered(F.col("a.p"))).alias("rendered"),
+        F.coalesce("symbol", _rendered(F.col("a.p"), max_enum)).alias("rendered"),
     )
 
 
-def tool_lines(tools: DataFrame, registry: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """One signature line per tool; tools in ``seen`` (catalog_id, name) are marked as cached."""
+def tool_lines(
+    tools: DataFrame,
+    registry: DataFrame,
+    seen: DataFrame | None = None,
+    max_enum: int | None = None,
+    max_comment: int | None = None,
+) -> DataFrame:
+    """One signature line per tool; tools in ``seen`` (catalog_id, name) are marked as cached.
+
+    Choices and descriptions are whole, or the first ``max_enum`` and, with the comment sign, cut to
+    ``max_comment`` characters or fewer.
+    """
     signed = (
-        alias_params(tools, registry)
+        alias_params(tools, registry, max_enum)
         .groupBy("catalog_id", "pos")
         .agg(F.array_sort(F.collect_list(F.struct("param_no", "rendered"))).alias("_p"))
     )
@@ -261,9 +274,10 @@ def tool_lines(tools: DataFrame, registry: DataFrame, seen: DataFrame | None = N
         ", ",
     )
     comment = F.concat(F.lit("  # "), F.col("description"))
-    cut = F.when(
-        F.length(comment) > MAX_COMMENT, F.concat(F.substring(comment, 1, CUT_COMMENT), F.lit("…"))
-    ).otherwise(comment)
+    cut = comment
+    if max_comment is not None:
+        short = F.concat(F.substring(comment, 1, max_comment - CUT_BY), F.lit("…"))
+        cut = F.when(F.length(comment) > max_comment, short).otherwise(comment)
     line = F.concat(
         F.col("name"),
         F.lit("("),
@@ -297,16 +311,20 @@ def accept_catalogs(
 
 
 def compile_tools(
-    df: DataFrame, seen: DataFrame | None = None, min_tools: int = MIN_SHARED
+    df: DataFrame,
+    seen: DataFrame | None = None,
+    min_tools: int = MIN_SHARED,
+    max_enum: int | None = None,
+    max_comment: int | None = None,
 ) -> DataFrame:
     """Compile catalogues of ``catalog_id, pos, tool_json`` to signature text with token counts.
 
-    The text of one catalogue is one value; ``accept_catalogs`` can set large ones aside first.
+    ``MAX_ENUM`` and ``MAX_COMMENT`` give the short form of the signatures. The text of one catalogue is one value; ``accept_catalogs`` can set large ones aside first.
     """
     size = df.groupBy("catalog_id").agg(F.sum(T.token_words(F.col("tool_json"))).alias("_json"))
     tools = cut_lineage(normalise_tools(df))
     registry = cut_lineage(param_registry(tools, min_tools))
-    lines = tool_lines(tools, registry, seen)
+    lines = tool_lines(tools, registry, seen, max_enum, max_comment)
 
     def listed(column: str, wanted: Column) -> Column:
         rows = F.array_sort(F.collect_list(F.when(wanted, F.struct("pos", F.col(column).alias("v")))))
