@@ -270,3 +270,19 @@ def test_a_hundred_thousand_rules(spark):
     assert got == {i: f"A w{i * 7} and w{i}; common word" for i in range(300)}
     hits = C.rule_hits(df, rules).filter("hits > 0").agg(F.sum("hits"), F.count("rule")).first()
     assert tuple(hits) == (600, len({i * k for i in range(300) for k in (1, 7)}))
+
+
+def test_compress_detects_the_language(spark):
+    spanish = "Es necesario que los datos de la empresa se guarden en el sistema para que no se pierdan."
+    rows = [(1, "Please explain in detail how the database and the cache work with each other.", None), (2, spanish, "auto"), (3, spanish, "en"), (4, "数据库 cache 数据", "zh"), (5, "", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r["id"]: r for r in C.compress_detected(df, lang="lang").collect()}
+    assert {i: r["lang"] for i, r in got.items()} == {1: "en", 2: "es", 3: "en", 4: "zh", 5: "en"}
+    # Five ideographs and a word.
+    assert got[4]["original_tokens"] == 6 and got[5]["cr"] == 0.0
+    for r in got.values():
+        assert r["token_savings"] == r["original_tokens"] - r["compressed_tokens"]
+    given = {r["id"]: r["compressed"] for r in C.compress(df.filter("id = 1").withColumn("lang", F.lit("en"))).collect()}
+    assert got[1]["compressed"] == given[1]
+    anew = {r["id"]: r["lang"] for r in C.compress_detected(df.drop("lang"), "pro").collect()}
+    assert anew[2] == anew[3] == "es"

@@ -163,6 +163,20 @@ def language_sql(text: str) -> str:
 GROUP BY lang, detected"""
 
 
+def detected_sql(source: str, columns: str) -> str:
+    """``columns`` of each row of ``source``, and the language of its ``text`` as ``lang``."""
+    counts = ", ".join(
+        f"len(list_filter(w, lambda x: x IN ({', '.join(map(quoted, words.split('|')))}))) AS {lang}"
+        for lang, words in R.FUNCTION_WORDS.items()
+    )
+    order = " ".join(f"WHEN {lang} = b THEN '{lang}'" for lang in R.FUNCTION_WORDS)
+    return f"""SELECT {columns}, CASE WHEN b::DOUBLE / greatest(n_words, 1) > {R.MIN_SHARE}::DOUBLE
+    THEN CASE {order} END ELSE 'en' END AS lang FROM
+  (SELECT *, greatest({', '.join(R.FUNCTION_WORDS)}) AS b FROM
+    (SELECT {columns}, n_words, {counts} FROM
+      (SELECT {columns}, {space_words_sql('text')} AS n_words, {words_sql('text')} AS w FROM {source})))"""
+
+
 def browser_language_sql(text: str) -> str:
     columns = ", ".join(
         f"len(regexp_extract_all(t, '\\b(?:{words})\\b')) AS {lang}"
@@ -404,6 +418,18 @@ def compress_standard(spark, sf_dir):
     return C.compress(rows, "standard").drop("text", "lang")
 
 
+@query(
+    "compress_detected",
+    f"""{view_sql('prompts_v')}, found AS MATERIALIZED ({detected_sql('prompts_v', 'doc_id, text')}),
+plain AS (SELECT *, text AS raw FROM found), {standard_sql('plain')}
+SELECT *, original_tokens - compressed_tokens AS token_savings FROM ({measured_sql('standard_5', 'doc_id, lang')})""",
+)
+def compress_detected(spark, sf_dir):
+    """The default call: no language given."""
+    rows = view(spark, sf_dir, "prompts_v").select("doc_id", "text")
+    return C.compress_detected(rows).drop("text")
+
+
 @query(
     "compress_standard_telegraphic",
     f"""{view_sql('prompts_v')}, plain AS (SELECT *, text AS raw FROM prompts_v),

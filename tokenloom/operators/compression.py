@@ -18,7 +18,7 @@ from tokenloom.functions.rewrite import (
 )
 from tokenloom.functions.rules import basic, packs, pro, standard, vocabulary
 from tokenloom.operators.custom_rules import apply_many, count_hits
-from tokenloom.operators.routing import detect_domain_column
+from tokenloom.operators.routing import detect_domain_column, detect_language_column
 
 TIERS = ("standard", "pro", "developer")
 # Rules of a user up to which they are a constant in the plan.
@@ -244,6 +244,29 @@ def compress(
     return with_tokens(compress_text(df, tier, text, lang, **options), text)
 
 
+def token_count_in(text: Column, lang: Column) -> Column:
+    """Tokens as the language counts them: Chinese by ideographs, others by words."""
+    return F.when(lang == "zh", T.token_count_chinese(text)).otherwise(T.token_count(text))
+
+
+def compress_detected(df: DataFrame, tier: str = "standard", text: str = "text", lang: str | None = None) -> DataFrame:
+    """Compress each text in its own language: adds compressed, original_tokens, compressed_tokens, token_savings, cr.
+
+    Without a ``lang`` column, or where it is null or ``auto``, the language is detected; it is given as ``lang``, in
+    place of a column of that name. Counts follow the language.
+    """
+    found = detect_language_column(F.col(text))
+    if lang is not None:
+        found = F.when(F.col(lang).isNull() | (F.col(lang) == "auto"), found).otherwise(F.col(lang))
+    df = compress_text(df.withColumn("lang", found), tier, text)
+    before, after = (token_count_in(F.col(c), F.col("lang")) for c in (text, "compressed"))
+    df = df.withColumn("original_tokens", before).withColumn("compressed_tokens", after)
+    ratio = (1 - F.col("compressed_tokens") / F.col("original_tokens")) * 100
+    return df.withColumn("token_savings", F.col("original_tokens") - F.col("compressed_tokens")).withColumn(
+        "cr", half_even(F.greatest(F.lit(0.0), ratio), 1)
+    )
+
+
 def compress_basic(df: DataFrame, text: str = "text") -> DataFrame:
     """Basic compression with the saved tokens and a whole-number percentage."""
     out = df.withColumn("compressed", compress_basic_column(F.col(text)))
