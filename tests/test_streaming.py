@@ -128,3 +128,15 @@ def test_event_stream_sink(spark, tmp_path):
     )
     writer.trigger(availableNow=True).start().awaitTermination()
     assert sinks.read_events(spark, "sensitive_events", str(tmp_path / "out")).count() == 60
+
+
+def test_daily_limit_keeps_a_state_for_a_month(spark, tmp_path):
+    """The days of a key's month share a state, and so a call of Python; each has its own count."""
+    hours = F.timestamp_seconds(1_704_067_200 + F.col("id") * 6 * 3600)
+    df = spark.range(80).select(F.col("id").alias("event_id"), F.lit("u").alias("user"), hours.alias("ts"))
+    stream = S.stream_limits(in_files(spark, df, "event_id", tmp_path / "in"), "daily", "user", 2)
+    running = stream.writeStream.format("memory").queryName("daily").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    allowed = {r["event_id"] for r in spark.table("daily").filter("allowed").collect()}
+    assert allowed == {i for i in range(80) if i % 4 < 2}

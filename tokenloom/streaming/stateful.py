@@ -265,36 +265,65 @@ def stream_limits(
     periods = {"monthly": "yyyy-MM", "daily": "yyyy-MM-dd", "sliding": None}
     if kind not in periods:
         raise ValueError(f"kind must be one of {', '.join(periods)}")
+    pattern = periods[kind]
+    if pattern is None:
+        return _stream_sliding(events, key, limit, minutes, forget_after_days, lateness)
+
+    def handle(state: tuple, rows: pd.DataFrame):
+        newest, used = state[0], dict(zip(state[1], state[2]))
+        allowed = []
+        for period, us in zip(rows["period"], rows["us"]):
+            newest = max(newest, us)
+            ok = used.get(period, 0) < limit
+            used[period] = used.get(period, 0) + ok
+            allowed.append(ok)
+        out = rows[["event_id"]].assign(allowed=allowed)
+        return (int(newest), list(used), [int(n) for n in used.values()]), out
+
+    # A group has the periods of a key and month: one for every day costs most of the time in Python.
+    slot = F.to_json(F.struct(F.col(key).alias("key"), F.date_format("ts", "yyyy-MM").alias("month")))
+    period = F.coalesce(F.date_format("ts", pattern), F.lit("")).alias("period")
+    slim = events.select("event_id", slot.alias("slot"), period, "ts", _micros().alias("us"))
+    return _by_key(
+        slim,
+        "slot",
+        ["us", "event_id"],
+        "event_id long, allowed boolean",
+        "newest long, periods array<string>, used array<long>",
+        (0, [], []),
+        handle,
+        forget_after_days * DAY_MS,
+        lateness,
+    )
+
+
+def _stream_sliding(
+    events: DataFrame, key: str, limit: int, minutes: int, forget_after_days: int, lateness: str
+) -> DataFrame:
     span = minutes * 60 * 1_000_000
 
     def handle(state: tuple, rows: pd.DataFrame):
-        newest, used, recent = state[0], state[1], list(state[2])
+        newest, recent = state[0], list(state[1])
         allowed = []
-        for event in rows.itertuples(index=False):
-            newest = max(newest, event.us)
-            if kind == "sliding":
-                recent = [t for t in recent if t > event.us - span]
-                ok = len(recent) < limit
-                if ok:
-                    recent.append(int(event.us))
-            else:
-                ok = used < limit
-                used += ok
+        for us in rows["us"]:
+            newest = max(newest, us)
+            recent = [t for t in recent if t > us - span]
+            ok = len(recent) < limit
+            if ok:
+                recent.append(int(us))
             allowed.append(ok)
         out = rows[["event_id"]].assign(allowed=allowed)
-        return (int(newest), int(used), recent), out
+        return (int(newest), recent), out
 
-    pattern = periods[kind]
-    period = F.date_format("ts", pattern) if pattern else F.lit("")
-    slot = F.to_json(F.struct(F.col(key).alias("key"), period.alias("period")))
+    slot = F.to_json(F.struct(F.col(key).alias("key"), F.lit("").alias("period")))
     slim = events.select("event_id", slot.alias("slot"), "ts", _micros().alias("us"))
     return _by_key(
         slim,
         "slot",
         ["us", "event_id"],
         "event_id long, allowed boolean",
-        "newest long, used long, recent array<long>",
-        (0, 0, []),
+        "newest long, recent array<long>",
+        (0, []),
         handle,
         forget_after_days * DAY_MS,
         lateness,
