@@ -196,3 +196,16 @@ def test_upsert_and_rotation(spark):
     assert {tuple(r) for r in rotated.collect()} == {("new", 7), ("same", 1)}
     states = spark.createDataFrame([("unpaid",), ("paid",)], "e string")
     assert [r[0] for r in states.select(sinks.subscription_status(F.col("e"))).collect()] == ["canceled", "active"]
+
+
+def test_a_catalogue_in_one_file_is_parsed_by_all_cores_and_once(spark, tmp_path):
+    from tokenloom.catalog import QUERIES
+    from tokenloom.catalog.tool_queries import catalog
+
+    parts = spark.range(1, 81).select(F.col("id").alias("p_partkey"), F.lit("a small part").alias("p_name"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert catalog(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    lines = QUERIES["tool_lines"](spark, str(tmp_path))
+    # The tools come from the store: no part of the plan reads and parses the file again.
+    assert not lines.inputFiles()
+    assert lines.count() == 80

@@ -103,7 +103,7 @@ ACCOUNTS = [
     "CASE WHEN user_id % 13 = 0 THEN 'canceled' ELSE 'active' END AS status",
     "'project' || CAST(user_id AS STRING) AS project_name",
 ]
-HEAVY = {"documents", "conversations", "pages"}
+HEAVY = {"documents", "conversations", "pages", "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.catalog.base import query, table, token_words_sql, tokens_sql, view, view_sql
 from tokenloom.operators import tools as O
+from tokenloom.plans.groups import cut_lineage
 
 TOOLS = view_sql("tools_v")
 
@@ -56,7 +57,8 @@ SHORT = {"max_enum": O.MAX_ENUM, "max_comment": O.MAX_COMMENT}
 
 @query("tool_lines", f"WITH {_PARAMS_SQL}, {_LINES_SQL} SELECT * FROM lines")
 def tool_lines(spark, sf_dir):
-    tools = O.normalise_tools(catalog(spark, sf_dir))
+    # Read three times: parsed once.
+    tools = cut_lineage(O.normalise_tools(catalog(spark, sf_dir)))
     return O.tool_lines(tools, O.param_registry(tools), **SHORT).select("catalog_id", "pos", "name", "line")
 
 
