@@ -286,3 +286,17 @@ def test_compress_detects_the_language(spark):
     assert got[1]["compressed"] == given[1]
     anew = {r["id"]: r["lang"] for r in C.compress_detected(df.drop("lang"), "pro").collect()}
     assert anew[2] == anew[3] == "es"
+
+
+def test_telegraphic_patterns_are_constants(spark):
+    """A pattern taken from an array of rules is compiled for every row; these are not."""
+    texts = ["Currently there is the plan, which was a plan so that it was noted that we simply wait.", "this a b", "", None]
+    texts += ["THE end is the  end in order to just see", "xis the yhas an z", "the the a an the x", "ſo that baſically"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = df.select(C.telegraphic_column(F.col("text")).alias("a"))
+    assert "lambda" not in out._jdf.queryExecution().analyzed().toString()
+    both = df.select(
+        C.telegraphic_column(F.col("text")).alias("a"),
+        RuleSet(standard.TELEGRAPHIC, ascii=True).apply(F.col("text")).alias("b"),
+    )
+    assert all(r["a"] == r["b"] for r in both.collect())

@@ -94,7 +94,7 @@ def abbreviate_column(text: Column) -> Column:
 
 def telegraphic_column(text: Column) -> Column:
     """Drop articles, copulas and filler (the opt-in browser pass)."""
-    return RuleSet(standard.TELEGRAPHIC, ascii=True).apply(text)
+    return RuleSet(standard.TELEGRAPHIC, ascii=True).chain(text)
 
 
 def strip_requests_column(text: Column) -> Column:
