@@ -209,3 +209,14 @@ def test_a_catalogue_in_one_file_is_parsed_by_all_cores_and_once(spark, tmp_path
     # The tools come from the store: no part of the plan reads and parses the file again.
     assert not lines.inputFiles()
     assert lines.count() == 80
+
+
+def test_the_registry_reads_stored_tools(spark, tmp_path, monkeypatch):
+    from tokenloom.catalog import QUERIES, tool_queries
+
+    given, plain = [], O.param_registry
+    monkeypatch.setattr(tool_queries.O, "param_registry", lambda tools: given.append(tools) or plain(tools))
+    parts = spark.range(1, 41).select(F.col("id").alias("p_partkey"), F.lit("a small part").alias("p_name"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["tools_registry"](spark, str(tmp_path)).count() == 1
+    assert not given[0].inputFiles()
