@@ -125,6 +125,43 @@ def test_nearest_examples_are_exact():
         assert found.tolist() == best.tolist() and np.allclose(got, cosines[best])
 
 
+def held_bytes(x) -> int:
+    if isinstance(x, np.ndarray):
+        return x.nbytes
+    return sum(held_bytes(v) for v in (x if isinstance(x, (tuple, list)) else vars(x).values() if hasattr(x, "__dict__") else ()))
+
+
+def test_examples_of_several_languages_are_indexed_apart():
+    """Languages share few words, so that their common words need no matrix over all examples; neighbours are
+    exact for texts of one language, of several, of light terms alone, and of unknown ones."""
+    rng = np.random.default_rng(5)
+    n, each = 4 * 500, 300
+    weight = rng.uniform(1, 3, 4 * each + 20)
+    weight[:: 7] = 0.01
+    index = toxicity.Index(pa.array([f"t{i}" for i in range(len(weight))]), weight, 0.2, 0.1)
+
+    def text(language: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        often = (each * rng.random(size) ** 2).astype(int) + language * each
+        t = np.unique(np.concatenate([often, rng.integers(0, len(weight), 2)]))
+        return t, rng.integers(1, 6, len(t)).astype(float)
+
+    vectors = [text(e % 4, 60) for e in range(n)]
+    index.add(vectors, rng.integers(0, 2, n).astype(float), np.arange(n))
+    dense = np.zeros((n, len(weight)))
+    for e, (t, c) in enumerate(vectors):
+        dense[e, t] = index.weights(t, c)
+    both = [np.unique(np.concatenate([text(a, 30)[0], text(a + 1, 30)[0]])) for a in (0, 1, 2)]
+    light = [np.array([0]), np.arange(0, 210, 7), np.arange(0, len(weight), 7)]
+    asked = [text(a % 4, 5 + a) for a in range(80)] + [(t, np.ones(len(t))) for t in both + light]
+    for (t, c), (found, got) in zip(asked, index.nearest_of(asked), strict=True):
+        cosines = dense[:, t] @ index.weights(t, c)
+        best = np.lexsort((np.arange(n), -np.round(cosines, 9)))[:15]
+        best = best[cosines[best] > 0]
+        assert found.tolist() == best.tolist() and np.allclose(got, cosines[best])
+    # One matrix of the common terms over all examples takes over two MB.
+    assert held_bytes(index.by_term) < 2_000_000
+
+
 def test_a_rare_word_finds_its_examples(spark):
     """Three toxic examples share a word too rare to be told from chance; every term has its weight."""
     rng = random.Random(3)
