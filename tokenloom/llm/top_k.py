@@ -1,12 +1,13 @@
 """Exact top-k search by distributed histogram selection.
 
-Candidates and queries are packed into blocks; every query block meets every candidate block in one
-task, which scores the two by one matrix product. Each round counts scores in a global histogram per
+Candidates are packed into blocks, dealt evenly and stored. Queries go to the workers in groups of bounded
+size, one group at a time; a task scores its candidate blocks against the group's query blocks by matrix
+products, so no vector is copied for a partner. Each round counts scores in a global histogram per
 query, over the interval that still holds the query's kth highest score, and narrows the interval to
 one bin; when bins are one score wide, the kth score is known. The last round keeps the rows that
 reach it and breaks ties by id. Scores are made anew in each round, so none are stored.
 
-A block adds only what can matter: scores below its own k best cannot be among the k best of all, so
+A task adds only what can matter: scores below its own k best cannot be among the k best of all, so
 it counts k scores per query at most, and in the last round gives its k best by score and id.
 """
 
@@ -16,15 +17,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stored
+from tokenloom.sources.readers import spread
 
 QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 4096
+# Rows of a candidate block, and bytes of its vectors as longs.
+CANDIDATE_BLOCK, BLOCK_BYTES = 4096, 1 << 21
+# Queries, and bytes of their vectors as longs, that go to the workers at a time.
+GROUP, GROUP_BYTES = 32_768, 1 << 24
 BINS = 1024
-OWN = np.iinfo(np.int64).min
+# No score: below all scores, and its negative is above them.
+OWN = np.iinfo(np.int64).min + 1
+# A block's columns are looked at in stretches that end here, so that the first ones tell what can matter of the rest.
+STRETCHES = (128, 1024)
+# Scores of a query that may matter, in a stretch, above which its best are told apart before they are sorted.
+DENSE = 64
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -37,51 +49,68 @@ def integer_vectors(rows: DataFrame, id_column: str, vector: str, scale: int) ->
     return rows.filter(usable).select(F.col(id_column).cast("long").alias("id"), whole.alias("vec"))
 
 
-def packed(rows: DataFrame, size: int, kind: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Blocks of at most ``size`` rows with vectors of one length: the matrix, the ids and the
-    ``extra`` columns of longs, as bytes in columns that begin with ``kind``."""
-    longs = ("id", *extra)
+def by_dimension(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of the vectors: the length, the ids and the matrix of the rows that have it."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    begin, ids = np.cumsum(sizes) - sizes, ids.to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield dim, ids[rows], flat[begin[rows][:, None] + np.arange(dim)]
+
+
+def narrow(matrix: np.ndarray) -> np.ndarray:
+    """The matrix in the smallest whole numbers that hold it."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return matrix.astype(kind)
+    return matrix
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
-            *columns, vectors = zip(*held.pop(dim), strict=True)
-            data = {"dim": pa.array([dim], pa.int32())}
-            for name, values in zip(longs, columns, strict=True):
-                data[f"{kind}_{name}"] = pa.array([np.array(values, dtype=np.int64).tobytes()], pa.binary())
-            data[f"{kind}_matrix"] = pa.array([np.array(vectors, dtype=np.float64).tobytes()], pa.binary())
-            return pa.RecordBatch.from_pydict(data)
+def packed(rows: DataFrame) -> DataFrame:
+    """Candidate blocks of vectors of one length: dim, the ids and the matrix as bytes."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def blocks(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            """Blocks of what is held, down to fewer than ``least`` rows."""
+            size = max(1, min(CANDIDATE_BLOCK, BLOCK_BYTES // (8 * dim)))
+            ids, matrix = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            at = 0
+            while len(ids) - at >= min(least, size):
+                part = narrow(matrix[at : at + size])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "dim": pa.array([dim], pa.int32()),
+                        "c_id": pa.array([ids[at : at + size].tobytes()], pa.binary()),
+                        "c_matrix": pa.array([part.tobytes()], pa.binary()),
+                    }
+                )
+                at += size
+            if at < len(ids):
+                held[dim] = [(ids[at:], matrix[at:])]
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*longs, "vec")), strict=True):
-                dim = len(row[-1])
-                held.setdefault(dim, []).append(row)
-                if len(held[dim]) == size:
-                    yield block(dim)
+            for dim, ids, matrix in by_dimension(batch.column("id"), batch.column("vec")):
+                held.setdefault(dim, []).append((ids, matrix))
+                yield from blocks(dim, CANDIDATE_BLOCK)
         for dim in list(held):
-            yield block(dim)
-
-    schema = ", ".join(["dim int", *(f"{kind}_{name} binary" for name in longs), f"{kind}_matrix binary"])
-    return rows.select(*longs, "vec").mapInArrow(work, schema)
-
-
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and their scores as integers; a query's own row has none (a masked
-    value below all scores)."""
-    q_ids = np.frombuffer(row["q_id"], dtype=np.int64)
-    c_ids = np.frombuffer(row["c_id"], dtype=np.int64)
-    q = np.frombuffer(row["q_matrix"]).reshape(len(q_ids), -1)
-    c = np.frombuffer(row["c_matrix"]).reshape(len(c_ids), -1)
-    # Whole numbers in doubles are exact as long as no sum can pass 2**53.
-    bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
-    if bound < 2**53:
-        scores = (q @ c.T).astype(np.int64)
-    else:
-        scores = q.astype(np.int64) @ c.astype(np.int64).T
-    own = q_ids[:, None] == c_ids[None, :]
-    scores[own] = OWN
-    return q_ids, c_ids, scores
+            yield from blocks(dim, 1)
+
+    return rows.select("id", "vec").mapInArrow(work, "dim int, c_id binary, c_matrix binary")
+
+
+def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The inner products of the rows of two matrices, in numbers that hold them exactly."""
+    most = [max(-int(m.min(initial=0)), int(m.max(initial=0))) for m in (q, c)]
+    bound = most[0] * most[1] * q.shape[1]
+    # Whole numbers in floats are exact as long as no sum can reach the limit.
+    for kind, limit in ((np.float32, 2**24), (np.float64, 2**53)):
+        if bound < limit:
+            return q.astype(kind) @ c.astype(kind).T
+    return q.astype(np.int64) @ c.astype(np.int64).T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,36 +129,108 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row, order[column]
 
 
-def meet(queries: DataFrame, candidates: DataFrame, lanes: int) -> DataFrame:
-    """Every query block beside every candidate block of its dimension. Candidate blocks are dealt
-    into lanes and each lane gets all query blocks, so the work spreads over ``lanes`` tasks."""
-    queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return candidates.join(queries, ["lane", "dim"])
+class Best:
+    """A task's best scores so far, k for each query of a block: ``scores``, highest first, and ``ids``.
 
+    Scores count from the query's ``low`` on, up to below ``low + width`` if there is a width. Equal ones go to
+    the smaller id if ``by_id``, else to any.
+    """
 
-def histograms(met: DataFrame, width: int, step: int) -> DataFrame:
-    """Per query and bin of its interval (``width`` scores, ``step`` to a bin), the scores counted: query_id, bin, n. A block leaves out
-    bins below the one in which its own count reaches what the query still wants."""
+    def __init__(self, block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, width: int | None, by_id: bool):
+        self.queries, self.matrix, self.low = block
+        self.k, self.by_id = k, by_id
+        self.high = np.full_like(self.low, np.iinfo(np.int64).max) if width is None else self.low + width
+        self.scores = np.full((len(self.queries), k), OWN)
+        self.ids = np.full((len(self.queries), k), np.iinfo(np.int64).max)
+        # Scores above it can matter.
+        self.floor = self.low - 1
+
+    def add(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        scores = _scores(self.matrix, c)
+        for begin, end in zip((0, *STRETCHES), (*STRETCHES, None), strict=True):
+            if begin < len(c_ids):
+                self.take(c_ids[begin:end], scores[:, begin:end])
+
+    def take(self, c_ids: np.ndarray, scores: np.ndarray) -> None:
+        floor, high = self.floor, self.high
+        if scores.dtype != np.int64:
+            # Bounds beyond all scores of the type say the same at its limit, where they are exact.
+            limit = 2**24 if scores.dtype == np.float32 else 2**53
+            floor, high = (np.clip(x, -limit, limit).astype(scores.dtype) for x in (floor, high))
+        use = (scores > floor[:, None]) & (scores < high[:, None])
+        n = np.count_nonzero(use)
+        if not n:
+            return
+        if n > DENSE * len(use):
+            use &= self.queries[:, None] != c_ids[None, :]
+            kept = np.full(scores.shape, OWN)
+            np.copyto(kept, scores, where=use, casting="unsafe")
+            row, column = _best(kept, c_ids, self.k)
+        else:
+            row, column = np.nonzero(use)
+            other = self.queries[row] != c_ids[column]
+            row, column = row[other], column[other]
+        some = np.unique(row)
+        every = np.concatenate([row, np.repeat(some, self.k)])
+        score = np.concatenate([scores[row, column].astype(np.int64), self.scores[some].ravel()])
+        ids = np.concatenate([c_ids[column], self.ids[some].ravel()])
+        order = np.lexsort((ids, -score, every))
+        # Each of these queries has its k of before at least.
+        first = np.searchsorted(every[order], some)
+        order = order[first[:, None] + np.arange(self.k)]
+        self.scores[some], self.ids[some] = score[order], ids[order]
+        # An equal score can only matter by its id.
+        self.floor[some] = np.maximum(self.low[some] - 1, self.scores[some, -1] - self.by_id)
+
+
+def sent(queries: DataFrame) -> Broadcast:
+    """One group of queries for the workers: for each length of vector, blocks of ids, matrix and low."""
+    made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    rows = queries.select("id", "vec", "low").toArrow().combine_chunks()
+    if rows.num_rows:
+        vectors = rows["vec"].combine_chunks()
+        place = pa.array(np.arange(rows.num_rows))
+        ids, low = (rows[c].to_numpy() for c in ("id", "low"))
+        for dim, at, matrix in by_dimension(place, vectors):
+            made[dim] = [
+                (ids[at[i : i + QUERY_BLOCK]], narrow(matrix[i : i + QUERY_BLOCK]), low[at[i : i + QUERY_BLOCK]])
+                for i in range(0, len(at), QUERY_BLOCK)
+            ]
+    return queries.sparkSession.sparkContext.broadcast(made)
+
+
+def best_of_task(batches: Iterable[pa.RecordBatch], queries: Broadcast, k: int, width: int | None, by_id: bool) -> Iterator[Best]:
+    """The best scores of the candidate blocks of a task, for every block of queries."""
+    made: dict[int, list[Best]] = {}
+    for batch in batches:
+        for dim, c_id, c_matrix in zip(*batch.columns, strict=True):
+            dim, c_ids = dim.as_py(), np.frombuffer(c_id.as_buffer(), dtype=np.int64)
+            if dim not in queries.value:
+                continue
+            data = c_matrix.as_buffer()
+            c = np.frombuffer(data, dtype=f"i{data.size // (len(c_ids) * dim)}").reshape(-1, dim)
+            if dim not in made:
+                made[dim] = [Best(block, k, width, by_id) for block in queries.value[dim]]
+            for best in made[dim]:
+                best.add(c_ids, c)
+    for bests in made.values():
+        yield from bests
+
+
+def histograms(candidates: DataFrame, queries: Broadcast, k: int, width: int, step: int) -> DataFrame:
+    """Per query and bin of its interval (``width`` scores, ``step`` to a bin), the scores counted: query_id, bin, n. A task
+    counts its k best of the interval."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, _, scores = _scores(row)
-                low = np.frombuffer(row["q_low"], dtype=np.int64)[:, None]
-                want = np.frombuffer(row["q_want"], dtype=np.int64)[:, None]
-                inside = (scores != OWN) & (scores >= low) & (scores < low + width)
-                bins = (scores - low) // step
-                at = (np.arange(len(q_ids))[:, None] * BINS + bins)[inside]
-                counts = np.bincount(at, minlength=len(q_ids) * BINS).reshape(-1, BINS)
-                higher = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
-                q, b = np.nonzero((counts > 0) & (higher < want))
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(q_ids[q]), "bin": pa.array(b, pa.int64()), "n": pa.array(counts[q, b], pa.int64())}
-                )
+        for best in best_of_task(batches, queries, k, width, False):
+            q, at = np.nonzero(best.scores != OWN)
+            bins = (best.scores[q, at] - best.low[q]) // step
+            keys, n = np.unique(q * BINS + bins, return_counts=True)
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": pa.array(best.queries[keys // BINS]), "bin": pa.array(keys % BINS), "n": pa.array(n.astype(np.int64))}
+            )
 
-    return met.select("q_id", "q_matrix", "q_low", "q_want", "c_id", "c_matrix").mapInArrow(
-        work, "query_id long, bin long, n long"
-    )
+    return candidates.mapInArrow(work, "query_id long, bin long, n long")
 
 
 def narrowed(spans: DataFrame, counted: DataFrame, step: int) -> DataFrame:
@@ -148,22 +249,17 @@ def narrowed(spans: DataFrame, counted: DataFrame, step: int) -> DataFrame:
     return short.select("id", "vec", F.coalesce("to", "low").alias("low"), F.coalesce("left", "want").alias("want"))
 
 
-def reaching(met: DataFrame, k: int) -> DataFrame:
-    """Scores that reach the query's kth, at most k of a block: query_id, vec_id, score."""
+def reaching(candidates: DataFrame, queries: Broadcast, k: int) -> DataFrame:
+    """Scores that reach the query's kth, at most k of a task: query_id, vec_id, score."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, c_ids, scores = _scores(row)
-                low = np.frombuffer(row["q_low"], dtype=np.int64)[:, None]
-                q, c = _best(np.where(scores >= low, scores, OWN), c_ids, k)
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(q_ids[q]), "vec_id": pa.array(c_ids[c]), "score": pa.array(scores[q, c])}
-                )
+        for best in best_of_task(batches, queries, k, None, True):
+            q, at = np.nonzero(best.scores != OWN)
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": pa.array(best.queries[q]), "vec_id": pa.array(best.ids[q, at]), "score": pa.array(best.scores[q, at])}
+            )
 
-    return met.select("q_id", "q_matrix", "q_low", "c_id", "c_matrix").mapInArrow(
-        work, "query_id long, vec_id long, score long"
-    )
+    return candidates.mapInArrow(work, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -185,21 +281,39 @@ def top_k(
     table gives no row. Other columns are not read.
     """
     lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = stored(integer_vectors(vectors, id_column, vector, scale))
-    candidates = packed(whole, CANDIDATE_BLOCK, "c").withColumn("lane", F.pmod(F.xxhash64("c_id"), F.lit(lanes)).cast("int"))
-    candidates = stored(candidates)
+    whole = stored(integer_vectors(spread(vectors.select(id_column, vector)), id_column, vector, scale))
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    rows, largest = whole.agg(F.count(F.lit(1)), F.max(norm)).first()
     # No inner product is larger than the largest squared length.
-    limit = min(int(whole.agg(F.max(norm)).first()[0] or 0) + 1, 2**62 - 1)
-    spans = whole.filter(F.col("id") % every == 0).dropDuplicates(["id"])
-    spans = stored(spans.select("id", "vec", F.lit(-limit).cast("long").alias("low"), F.lit(k).cast("long").alias("want")))
+    limit = min(int(largest or 0) + 1, 2**62 - 1)
+    candidates = stored(packed(whole.repartition(max(1, min(lanes, -(-rows // CANDIDATE_BLOCK))))))
+    queries = stored(whole.filter(F.col("id") % every == 0).dropDuplicates(["id"]))
+    count, size = queries.agg(F.count(F.lit(1)), F.sum(8 * F.size("vec"))).first()
+    groups = max(1, -(-count // GROUP), -(-(size or 0) // GROUP_BYTES))
+    found = []
+    for group in range(groups):
+        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group)
+        found.append(best_of_group(own, candidates, k, limit))
+    every_group = found[0]
+    for more in found[1:]:
+        every_group = every_group.unionByName(more)
+    return every_group
+
+
+def best_of_group(queries: DataFrame, candidates: DataFrame, k: int, limit: int) -> DataFrame:
+    """The k best of each query (id, vec), whose scores lie between ``-limit`` and ``limit``."""
+    spans = queries.select("id", "vec", F.lit(-limit).cast("long").alias("low"), F.lit(k).cast("long").alias("want"))
     width = 2 * limit + 1
     while width > 1:
         step = -(-width // BINS)
-        met = meet(packed(spans, QUERY_BLOCK, "q", ("low", "want")), candidates, lanes)
-        spans = stored(narrowed(spans, histograms(met, width, step), step))
+        group = sent(spans)
+        spans = stored(narrowed(spans, histograms(candidates, group, k, width, step), step))
+        group.unpersist()
         width = step
-    best = reaching(meet(packed(spans, QUERY_BLOCK, "q", ("low", "want")), candidates, lanes), k)
+    group = sent(spans)
+    best = reaching(candidates, group, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    made = stored(ranked.select("query_id", "rank", "vec_id", "score"))
+    group.unpersist()
+    return made
