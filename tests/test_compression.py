@@ -300,3 +300,25 @@ def test_telegraphic_patterns_are_constants(spark):
         RuleSet(standard.TELEGRAPHIC, ascii=True).apply(F.col("text")).alias("b"),
     )
     assert all(r["a"] == r["b"] for r in both.collect())
+
+
+def test_tiers_are_compared_from_one_pro_tier(spark, monkeypatch):
+    """The developer tier goes on from the pro tier; each tier is as it is for itself."""
+    texts = [
+        ("en", "You are an expert. Please explain in order to help (which is a rather long remark here) the patient 20 percent."),
+        ("en", "The database function is very slow and the server returns json. I want you to fix the bug."),
+        ("es", "Por favor explica el resultado."),
+        ("de", "Bitte  erklären. "),
+        (None, "as is"),
+        ("en", None),
+    ]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, lang string, text string")
+    calls, requests = [], C.strip_requests_column
+    monkeypatch.setattr(C, "strip_requests_column", lambda text: calls.append(text) or requests(text))
+    compared = C.compare_tiers(df)
+    assert len(calls) == 1
+    found = {(r["id"], r["tier"]): r for r in compared.collect()}
+    assert len(found) == 18
+    for tier in C.TIERS:
+        for row in C.compress(df, tier).collect():
+            assert found[row["id"], tier].asDict() == row.asDict() | {"tier": tier}
